@@ -1,0 +1,26 @@
+"""Registered queries and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a plan under a name, with its SQL counterpart where one exists."""
+
+    def add(plan: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name!r} is registered twice")
+        QUERIES[name] = plan
+        if sql is not None:
+            ORACLES[name] = sql
+        return plan
+
+    return add
