@@ -2,48 +2,32 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
 
 
-def _names(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _variant(text: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(text), path, kind)
+def _no(condition: Column) -> Column:
+    """True unless the condition is known to hold."""
+    return ~F.coalesce(condition, F.lit(False))
 
 
-@dataclass(frozen=True)
-class RequestCheck:
-    """Columns that describe one JSON candidate."""
+def _outside(keys: Column) -> Column:
+    known = F.array(*[F.lit(k) for k in V.REQUEST_KEYS])
+    return F.size(F.array_except(keys, known)) > 0
 
-    status: Column
-    reason: Column
-    targets: Column
-    filters: Column
-    out_of_scope: Column
 
+def check_requests(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """Judge the JSON candidate in column ``text``.
 
-def validate_request(text: Column) -> RequestCheck:
-    """A JSON object of the three known keys, typed strictly.
-
-    VARIANT keeps the JSON types, so a filter value of 24 is told apart from
-    "24"; a plain map<string,string> would turn one into the other.
+    Adds ``status`` ('ok' or 'invalid'), ``reason``, ``envelope`` (reason code
+    of the outer shape alone, where the flag is required), and for accepted
+    candidates ``targets``, ``filters`` (in written order) and
+    ``out_of_scope``. VARIANT keeps the JSON types, so a filter value of 24 is
+    told apart from "24"; a plain map<string,string> would turn one into the
+    other. The text is parsed once; later steps read the parsed value.
     """
-    document = F.try_parse_json(text)
-    kind = F.schema_of_variant(document)
-    keys = F.when(kind.startswith("OBJECT<"), F.json_object_keys(text))
-    has_targets = F.array_contains(keys, "target_features")
-    has_filters = F.array_contains(keys, "filters")
-    has_flag = F.array_contains(keys, "out_of_scope")
-    targets = _variant(text, "$.target_features", "array<variant>")
-    filters = _variant(text, "$.filters", "map<string,variant>")
-    flag_kind = F.schema_of_variant(_variant(text, "$.out_of_scope", "variant"))
 
     def is_text(v: Column) -> Column:
         return F.schema_of_variant(v) == "STRING"
@@ -51,57 +35,64 @@ def validate_request(text: Column) -> RequestCheck:
     def as_text(v: Column) -> Column:
         return F.try_variant_get(v, "$", "string")
 
-    bad_target = F.exists(
-        targets,
-        lambda t: ~F.coalesce(is_text(t) & as_text(t).isin(*V.FEATURES), F.lit(False)),
+    v, keys, targets, filters, flag = (
+        F.col(f"_{c}") for c in ("document", "keys", "targets", "filters", "flag")
     )
+    parsed = df.withColumn("_document", F.try_parse_json(text))
+    shaped = parsed.withColumns(
+        {
+            "_object": F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)),
+            "_targets": F.try_variant_get(v, "$.target_features", "array<variant>"),
+            "_filters": F.try_variant_get(v, "$.filters", "map<string,variant>"),
+            "_flag": F.schema_of_variant(F.try_variant_get(v, "$.out_of_scope", "variant")),
+        }
+    ).withColumn("_keys", F.when(F.col("_object"), F.json_object_keys(text)))
+
+    def has(key: str) -> Column:
+        return F.array_contains(keys, key)
+
+    bad_target = F.exists(targets, lambda t: _no(is_text(t) & as_text(t).isin(*V.FEATURES)))
     bad_name = F.exists(F.map_keys(filters), lambda k: ~k.isin(*V.FEATURES))
-    bad_value = F.exists(
-        F.map_values(filters), lambda v: ~F.coalesce(is_text(v), F.lit(False))
+    bad_value = F.exists(F.map_values(filters), lambda x: _no(is_text(x)))
+    bad_flag = _no(flag == "BOOLEAN")
+    shape = (
+        F.when(v.isNull(), "not_json")
+        .when(~F.col("_object"), "not_object")
+        .when(_outside(keys), "unknown_key")
     )
     reason = (
-        F.when(document.isNull(), "not_json")
-        .when(~(kind.startswith("OBJECT<") | (kind == "OBJECT<>")), "not_object")
-        .when(F.size(F.array_except(keys, _names(V.REQUEST_KEYS))) > 0, "unknown_key")
-        .when(has_targets & (targets.isNull() | bad_target), "bad_target")
-        .when(has_filters & filters.isNull(), "bad_filters")
-        .when(has_filters & bad_name, "bad_filter_name")
-        .when(has_filters & bad_value, "bad_filter_value")
-        .when(has_flag & (F.coalesce(flag_kind, F.lit("VOID")) != "BOOLEAN"), "bad_flag")
+        shape.when(has("target_features") & (targets.isNull() | bad_target), "bad_target")
+        .when(has("filters") & filters.isNull(), "bad_filters")
+        .when(has("filters") & bad_name, "bad_filter_name")
+        .when(has("filters") & bad_value, "bad_filter_value")
+        .when(has("out_of_scope") & bad_flag, "bad_flag")
+        .otherwise("")
     )
-    ok = reason.isNull()
-    return RequestCheck(
-        status=F.when(ok, "ok").otherwise("invalid"),
-        reason=F.coalesce(reason, F.lit("")),
-        targets=F.when(
-            ok, F.coalesce(F.transform(targets, as_text), F.array().cast("array<string>"))
-        ),
-        # from_json keeps the order in which the filters were written
-        filters=F.when(
-            ok,
-            F.coalesce(
-                F.from_json(text, "filters map<string,string>")["filters"],
-                F.create_map().cast("map<string,string>"),
+    judged = shaped.withColumns(
+        {f"{prefix}reason": reason, f"{prefix}envelope": shape.when(bad_flag, "bad_flag").otherwise("")}
+    )
+    ok = F.col(f"{prefix}reason") == ""
+    written = F.from_json(F.col(text), "filters map<string,string>")["filters"]
+    result = judged.withColumns(
+        {
+            f"{prefix}status": F.when(ok, "ok").otherwise("invalid"),
+            f"{prefix}targets": F.when(
+                ok, F.coalesce(F.transform(targets, as_text), F.array().cast("array<string>"))
+            ),
+            f"{prefix}filters": F.when(
+                ok, F.coalesce(written, F.create_map().cast("map<string,string>"))
+            ),
+            f"{prefix}out_of_scope": F.when(
+                ok, F.coalesce(F.try_variant_get(v, "$.out_of_scope", "boolean"), F.lit(False))
             ),
-        ),
-        out_of_scope=F.when(
-            ok, F.coalesce(_variant(text, "$.out_of_scope", "boolean"), F.lit(False))
-        ),
+        }
     )
+    return result.drop("_document", "_object", "_targets", "_filters", "_flag", "_keys")
 
 
-def validate_envelope(text: Column) -> Column:
-    """Reason code of the outer shape: '', 'not_object', 'unknown_key' or 'bad_flag'."""
-    document = F.try_parse_json(text)
-    kind = F.schema_of_variant(document)
-    keys = F.json_object_keys(text)
-    flag = F.schema_of_variant(_variant(text, "$.out_of_scope", "variant"))
-    return (
-        F.when(document.isNull() | ~kind.startswith("OBJECT<"), "not_object")
-        .when(F.size(F.array_except(keys, _names(V.REQUEST_KEYS))) > 0, "unknown_key")
-        .when(F.coalesce(flag, F.lit("VOID")) != "BOOLEAN", "bad_flag")
-        .otherwise("")
-    )
+def accepted(prefix: str = "") -> Column:
+    """True where a judged candidate passes both the request and the envelope check."""
+    return (F.col(f"{prefix}status") == "ok") & (F.col(f"{prefix}envelope") == "")
 
 
 def slot_ok(feature: Column, value: Column) -> Column:

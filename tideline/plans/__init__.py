@@ -1,6 +1,6 @@
 """Query plans over the given tables, with their SQL counterparts."""
 
-from tideline.plans import partitions, quality  # noqa: F401
+from tideline.plans import metrics, partitions, quality, text_queries  # noqa: F401
 from tideline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

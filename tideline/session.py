@@ -16,6 +16,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tideline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "12g")
