@@ -19,7 +19,8 @@ def round_dp(value: Column, digits: int) -> Column:
 def hash60(*parts: Column) -> Column:
     """60-bit uniform integer from the md5 of the parts joined by ':'."""
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint"))  # typed as never null
 
 
 def micros(ts: Column) -> Column:

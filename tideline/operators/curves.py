@@ -19,11 +19,16 @@ from tideline.operators.prefix import attach_totals, running, value_cells
 
 
 def score_cuts(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Distinct scores with pos, neg and the counts of both at higher scores."""
+    """Distinct scores with pos, neg and the counts of both at higher scores.
+
+    Null scores are left out by a count, not by a filter on the score: that
+    filter would be pushed below the projection that computes the score and
+    compute it twice.
+    """
     counted = (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*groups, F.col(score).alias("score"))
-        .agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("_n"))
+        df.groupBy(*groups, F.col(score).alias("score"))
+        .agg(F.sum(label).cast("long").alias("pos"), F.count(score).alias("_n"))
+        .where(F.col("_n") > 0)
         .withColumn("neg", F.col("_n") - F.col("pos"))
         .drop("_n")
         .withColumn("_down", -F.col("score"))
@@ -98,9 +103,8 @@ def curve_metrics(
 def pr_f1_curve(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
     """Precision, recall and F1 at every distinct score."""
     cuts = score_cuts(df, score, label, groups)
-    totals = df.where(F.col(score).isNotNull()).groupBy(*groups).agg(
-        F.sum(label).cast("long").alias("_p")
-    )
+    scored = F.when(F.col(score).isNotNull(), F.col(label))
+    totals = df.groupBy(*groups).agg(F.coalesce(F.sum(scored), F.lit(0)).alias("_p"))
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
     precision = tp.cast("double") / (tp + fp)

@@ -18,6 +18,13 @@ _COARSE = 1024  # cells per power of two
 _FINE = 16384  # fine cells per coarse cell
 
 
+def _never_null(cell: Column) -> Column:
+    """Cells are join keys. Declared non-null they bring no IS NOT NULL filter,
+    which Catalyst would push, with the whole expression behind it, to the scan.
+    """
+    return F.coalesce(cell.cast("long"), F.lit(0).cast("long"))
+
+
 def value_cells(value: Column) -> list[Column]:
     """Two nested cells that never decrease as a double grows.
 
@@ -37,12 +44,12 @@ def value_cells(value: Column) -> list[Column]:
     fine = F.when(tiny, F.lit(0)).otherwise(
         sign * F.floor((place - F.floor(place)) * F.lit(float(_FINE)))
     )
-    return [coarse.cast("long"), fine.cast("long")]
+    return [_never_null(coarse), _never_null(fine)]
 
 
 def integer_cells(value: Column, shifts: Sequence[int]) -> list[Column]:
     """Nested cells of an integer order key, one per right shift."""
-    return [F.shiftright(value.cast("long"), s) for s in shifts]
+    return [_never_null(F.shiftright(value.cast("long"), s)) for s in shifts]
 
 
 def hash_cells(h: Column) -> list[Column]:
@@ -122,5 +129,14 @@ def attach_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str]) -> Da
     """Add per-group totals; without groups the single row is a scalar subquery."""
     if groups:
         return df.join(totals, list(groups))
-    one_row = totals.select(F.struct(*totals.columns)).scalar()
-    return df.withColumns({c: one_row[c] for c in totals.columns})
+    held = df.withColumn("_totals", one_row(totals))
+    return held.withColumns({c: F.col("_totals")[c] for c in totals.columns}).drop("_totals")
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a scalar struct.
+
+    Put it into a column once and read its fields from there: every mention of
+    the scalar itself would plan the subquery again.
+    """
+    return df.select(F.struct(*df.columns)).scalar()

@@ -88,15 +88,15 @@ def stats_row(stats: DataFrame) -> Column:
 
 def scale_columns(df: DataFrame, columns: Sequence[str], stats: DataFrame) -> DataFrame:
     """Impute and scale with fitted statistics; one narrow projection."""
-    row = stats_row(stats)
-    return df.withColumns(
+    row = F.col("_stats")
+    return df.withColumn("_stats", stats_row(stats)).withColumns(
         {
             f"{c}_scaled": standard_scale(
                 median_impute(F.col(c), row[c]["median"]), row[c]["mean"], row[c]["std"]
             )
             for c in columns
         }
-    )
+    ).drop("_stats")
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -117,18 +117,19 @@ def one_hot_long(
     known = listed.agg(F.map_from_entries(F.collect_list(F.struct("feature", "c")))).scalar()
 
     def cells_of(column: str) -> Column:
-        hot = lambda category: F.coalesce(F.col(column).cast("string") == category, F.lit(False))
+        value = F.col(column).cast("string")
         return F.transform(
-            known[column],
+            F.col("_known")[column],
             lambda category: F.struct(
                 F.lit(column).alias("feature"),
                 category.alias("category"),
-                hot(category).cast("int").alias("hot"),
+                F.coalesce(value == category, F.lit(False)).cast("int").alias("hot"),
             ),
         )
 
     cells = F.array(*[cells_of(c) for c in columns])
-    return df.select(key, F.inline(F.flatten(cells)))
+    rows = df.select(key, *columns).withColumn("_known", known)
+    return rows.select(key, F.inline(F.flatten(cells)))
 
 
 def imbalance_weights(df: DataFrame, label: str = "label", groups: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import vocabulary as V
 from tideline.functions.numeric import round_dp
 from tideline.operators.cleaning import ratio_expr
+from tideline.operators.prefix import one_row
 from tideline.operators.quantiles import medians, unpivot
 
 
@@ -121,9 +122,12 @@ def baseline_profile(
     modal = modes(df, categorical).agg(
         *[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in categorical]
     )
-    one = modal.select(F.struct("*")).scalar()
     types = dict(df.dtypes)
-    return means.withColumns(
-        {c: one[c].cast(types[c]) for c in categorical}
-        | {V.RATIO: ratio_expr(F.col("Total_Charges"), F.col("tenure"))}
+    return (
+        means.withColumn("_modes", one_row(modal))
+        .withColumns(
+            {c: F.col("_modes")[c].cast(types[c]) for c in categorical}
+            | {V.RATIO: ratio_expr(F.col("Total_Charges"), F.col("tenure"))}
+        )
+        .drop("_modes")
     )

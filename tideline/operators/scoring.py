@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tideline.functions import vocabulary as V
 from tideline.functions.numeric import round_dp
 from tideline.operators.cleaning import ratio_expr
+from tideline.operators.prefix import one_row
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,7 @@ def what_if(
     The baseline is one row, read as a scalar subquery; the flag fact is Yes
     or No, numbers are text.
     """
-    base = baseline.select(F.struct(*[F.col(c) for c in V.FEATURES])).scalar()
+    base = F.col("_baseline")
 
     def override(c: str) -> Column:
         fact = F.col(facts)[c]
@@ -139,8 +140,11 @@ def what_if(
             return F.coalesce(fact == V.POSITIVE, base[c].cast("boolean"))
         return F.coalesce(fact, base[c].cast(types.get(c, "string")))
 
-    return scenarios.withColumns({c: override(c) for c in V.FEATURES}).withColumn(
-        V.RATIO, ratio_expr(F.col("Total_Charges"), F.col("tenure"))
+    return (
+        scenarios.withColumn("_baseline", one_row(baseline.select(*V.FEATURES)))
+        .withColumns({c: override(c) for c in V.FEATURES})
+        .withColumn(V.RATIO, ratio_expr(F.col("Total_Charges"), F.col("tenure")))
+        .drop("_baseline")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
 from tideline.functions.numeric import hash60, round_dp
-from tideline.operators.prefix import hash_cells, running
+from tideline.operators.prefix import hash_cells, integer_cells, running
 
 
 def _seed(seed: int | Column) -> Column:
@@ -105,7 +105,7 @@ def stratified_folds(
     ranked = running(
         hashed,
         groups=by,
-        cells=[F.col(label).cast("long"), *hash_cells(F.col("_h"))],
+        cells=[*integer_cells(F.col(label), (0,)), *hash_cells(F.col("_h"))],
         order=["_h", key],
         sums=["_one"],
     )

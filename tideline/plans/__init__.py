@@ -1,6 +1,13 @@
 """Query plans over the given tables, with their SQL counterparts."""
 
-from tideline.plans import metrics, partitions, quality, text_queries  # noqa: F401
+from tideline.plans import (  # noqa: F401
+    metrics,
+    partitions,
+    quality,
+    scoring_queries,
+    stateful,
+    text_queries,
+)
 from tideline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

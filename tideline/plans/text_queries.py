@@ -76,7 +76,7 @@ def canon_sql(feature: str, value: str) -> str:
 def grounded_sql(value: str, text: str) -> str:
     runs = rf"regexp_extract_all({text}, '[0-9]+(?:[.,][0-9]+)*')"
     return (
-        f"coalesce(len([x for x in {runs} if try_cast(replace(x, ',', '') AS DOUBLE) "
+        f"coalesce(len([run for run in {runs} if try_cast(replace(run, ',', '') AS DOUBLE) "
         f"= try_cast(replace({value}, ',', '') AS DOUBLE)]) > 0, false)"
     )
 
