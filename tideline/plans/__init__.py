@@ -1,6 +1,7 @@
 """Query plans over the given tables, with their SQL counterparts."""
 
 from tideline.plans import (  # noqa: F401
+    learning,
     metrics,
     partitions,
     quality,
