@@ -7,6 +7,7 @@ from tideline.plans import (  # noqa: F401
     quality,
     scoring_queries,
     stateful,
+    streams,
     text_queries,
 )
 from tideline.plans.registry import ORACLES, QUERIES
