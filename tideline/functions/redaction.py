@@ -10,19 +10,28 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CUSTOMER_ID = r"\d{4}[A-Z]{5}"
 CUSTOMER_ID_HYPHEN = r"\d{4}-?[A-Z]{5}"
 PHONE = r"(?U)(?<![\w-])\+?\d[\d\s().-]{7,}\d(?!\d)"
+PHONE_LIKE = r"(?U)\d[\d\s().-]{7,}\d"
 MARK_EMAIL, MARK_CUSTOMER_ID, MARK_PHONE = "[EMAIL]", "[CUSTOMER_ID]", "[PHONE]"
 # ----------------------------------------------------------------------------
 
 
+def _scrub_email(text: Column) -> Column:
+    return F.when(text.contains("@"), F.regexp_replace(text, EMAIL, MARK_EMAIL)).otherwise(text)
+
+
+def _scrub_phone(text: Column) -> Column:
+    """The look-behind is tried at every character, so a plainer pattern that
+    covers every match decides first whether the text needs it at all."""
+    return F.when(text.rlike(PHONE_LIKE), F.regexp_replace(text, PHONE, MARK_PHONE)).otherwise(text)
+
+
 def redact(text: Column, *, strict: bool = True) -> Column:
     """Replace e-mails, then customer ids, then phone-like digit runs.
 
     ``strict=False`` also catches customer ids written with a hyphen.
     """
     ids = CUSTOMER_ID if strict else CUSTOMER_ID_HYPHEN
-    out = F.regexp_replace(text, EMAIL, MARK_EMAIL)
-    out = F.regexp_replace(out, ids, MARK_CUSTOMER_ID)
-    return F.regexp_replace(out, PHONE, MARK_PHONE)
+    return _scrub_phone(F.regexp_replace(_scrub_email(text), ids, MARK_CUSTOMER_ID))
 
 
 def redact_map(facts: Column) -> Column:
@@ -43,12 +52,15 @@ def redact_map(facts: Column) -> Column:
 
 def pii_counts(text: Column) -> dict[str, Column]:
     """Matches per kind, counted in the order the scrubber replaces them."""
-    no_email = F.regexp_replace(text, EMAIL, MARK_EMAIL)
+    no_email = _scrub_email(text)
     no_ids = F.regexp_replace(no_email, CUSTOMER_ID, MARK_CUSTOMER_ID)
+    none = F.lit(0)
     return {
-        "emails": F.regexp_count(text, F.lit(EMAIL)),
+        "emails": F.when(text.contains("@"), F.regexp_count(text, F.lit(EMAIL))).otherwise(none),
         "customer_ids": F.regexp_count(no_email, F.lit(CUSTOMER_ID)),
-        "phones": F.regexp_count(no_ids, F.lit(PHONE)),
+        "phones": F.when(
+            no_ids.rlike(PHONE_LIKE), F.regexp_count(no_ids, F.lit(PHONE))
+        ).otherwise(none),
     }
 
 

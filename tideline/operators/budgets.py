@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.prefix import integer_cells, running
+from tideline.operators.prefix import hot_groups, integer_cells, running
 from tideline.session import scratch_path
 
 DETAIL = ("key", "ts_us", "event_id")
@@ -84,14 +84,11 @@ def call_budget(
     log are written to the shared folder, so a lost executor costs one slab.
     """
     calls = calls.select(*DETAIL)
-    per_key = calls.groupBy("key").agg(F.count("*").alias("_calls"))
-    hot = per_key.where(F.col("_calls") > max_rows)
-    rounds = hot.agg(F.max("_calls")).first()[0]
-    if rounds is None:
+    hot = hot_groups(calls, ["key"], max_rows)
+    if hot is None:
         return _folded(calls, max_calls, window_us)
 
-    # at most rows / max_rows keys can be hot, so the list is small by definition
-    hot_keys = F.broadcast(hot.select("key"))
+    hot_keys = F.broadcast(hot)
     cold = calls.join(hot_keys, "key", "left_anti")
     parts = [_folded(cold, max_calls, window_us)]
 

@@ -140,3 +140,13 @@ def one_row(df: DataFrame) -> Column:
     the scalar itself would plan the subquery again.
     """
     return df.select(F.struct(*df.columns)).scalar()
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
+    """Groups with more than ``max_rows`` rows, or None if there are none.
+
+    One count of the key columns alone. Fewer than rows / max_rows groups can
+    be that large, so the list is small enough to broadcast.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
+    return None if large.isEmpty() else large.select(*keys)

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.prefix import integer_cells, running
+from tideline.operators.prefix import hot_groups, integer_cells, running
+
+Step = Callable[[DataFrame], DataFrame]
 
 TIME_SHIFTS = (42, 32)  # cells of about 51 days and 71 minutes in microseconds
 
 
+MAX_ROWS = 2_000_000  # turns of one session that a single task may order
+
+
+def _in_order(
+    turns: DataFrame, session: Sequence[str], max_rows: int, short: Step, long: Step
+) -> DataFrame:
+    """``short`` for sessions one task can order, ``long`` for the others.
+
+    The short form needs a single shuffle and reads its input once; the long
+    one spreads a session over many tasks and reads it twice.
+    """
+    hot = hot_groups(turns, session, max_rows)
+    if hot is None:
+        return short(turns)
+    listed = F.broadcast(hot)
+    return short(turns.join(listed, list(session), "left_anti")).unionByName(
+        long(turns.join(listed, list(session), "left_semi"))
+    )
+
+
 def session_profile(
     turns: DataFrame,
     *,
@@ -19,6 +41,7 @@ def session_profile(
     order: Sequence[str],
     facts: Mapping[str, Column],
     shifts: Sequence[int] = TIME_SHIFTS,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Per turn, the latest value of every feature stated so far in its session.
 
@@ -28,16 +51,29 @@ def session_profile(
     """
     names = {f: f"_f{i}" for i, f in enumerate(facts)}
     wide = turns.withColumns({names[f]: value for f, value in facts.items()})
-    carried = running(
-        wide,
-        groups=session,
-        cells=integer_cells(F.col(order[0]), shifts),
-        order=order,
-        lasts=list(names.values()),
+    upto = (
+        Window.partitionBy(*session)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return carried.withColumns(
-        {f: F.col(f"{n}_carried") for f, n in names.items()}
-    ).drop(*names.values(), *[f"{n}_carried" for n in names.values()])
+
+    def short(rows: DataFrame) -> DataFrame:
+        latest = {f: F.last(n, ignorenulls=True).over(upto) for f, n in names.items()}
+        return rows.withColumns(latest).drop(*names.values())
+
+    def long(rows: DataFrame) -> DataFrame:
+        carried = running(
+            rows,
+            groups=session,
+            cells=integer_cells(F.col(order[0]), shifts),
+            order=order,
+            lasts=list(names.values()),
+        )
+        return carried.withColumns(
+            {f: F.col(f"{n}_carried") for f, n in names.items()}
+        ).drop(*names.values(), *[f"{n}_carried" for n in names.values()])
+
+    return _in_order(wide, session, max_rows, short, long)
 
 
 def final_profile(
@@ -57,6 +93,7 @@ def session_epochs(
     order: Sequence[str],
     reset: Column,
     shifts: Sequence[int] = TIME_SHIFTS,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Add ``epoch``: resets of the session before or at this turn.
 
@@ -64,17 +101,29 @@ def session_epochs(
     (session, epoch).
     """
     flagged = turns.withColumn("_reset", reset.cast("long"))
-    counted = running(
-        flagged,
-        groups=session,
-        cells=integer_cells(F.col(order[0]), shifts),
-        order=order,
-        sums=["_reset"],
-    )
-    return counted.withColumn("epoch", F.col("_reset_before") + F.col("_reset")).drop(
-        "_reset", "_reset_before"
+    upto = (
+        Window.partitionBy(*session)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
+    def short(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("epoch", F.sum("_reset").over(upto)).drop("_reset")
+
+    def long(rows: DataFrame) -> DataFrame:
+        counted = running(
+            rows,
+            groups=session,
+            cells=integer_cells(F.col(order[0]), shifts),
+            order=order,
+            sums=["_reset"],
+        )
+        return counted.withColumn("epoch", F.col("_reset_before") + F.col("_reset")).drop(
+            "_reset", "_reset_before"
+        )
+
+    return _in_order(flagged, session, max_rows, short, long)
+
 
 def facts_map(features: Sequence[str]) -> Column:
     """The stated features of a row as a map, silent ones left out."""

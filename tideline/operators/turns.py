@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
 from tideline.functions.requests import accepted, check_requests
-from tideline.functions.text import canon_value, grounded_number
+from tideline.functions.text import canon_value, grounded_number, normalize_text
 from tideline.operators.scoring import (
     LinearModel,
     compose_answer,
@@ -20,17 +20,29 @@ from tideline.operators.scoring import (
 from tideline.operators.sessions import facts_map, session_profile
 
 
-def _canonical(filters: Column) -> Column:
-    """Filters in written order with their canonical values (null = unreadable)."""
-    return F.transform(
+def _read_filters(df: DataFrame, filters: str, name: str) -> DataFrame:
+    """Add the filters in written order as (key, canonical value) entries.
+
+    Every wording is normalised once, before the cases that look at it.
+    """
+    folded = F.transform(
         F.map_entries(filters),
         lambda e: F.struct(
-            e["key"].alias("key"), canon_value(e["key"], e["value"]).alias("value")
+            e["key"].alias("key"),
+            e["value"].alias("value"),
+            normalize_text(e["value"]).alias("needle"),
         ),
     )
+    canonical = F.transform(
+        "_folded",
+        lambda e: F.struct(
+            e["key"].alias("key"), canon_value(e["key"], e["value"], e["needle"]).alias("value")
+        ),
+    )
+    return df.withColumn("_folded", folded).withColumn(name, canonical).drop("_folded")
 
 
-def _misses(entries: Column) -> Column:
+def _unread(entries: str) -> Column:
     return F.filter(entries, lambda e: e["value"].isNull())
 
 
@@ -41,44 +53,47 @@ def read_turns(turns: DataFrame) -> DataFrame:
     repair candidate, whose facts replace all of the first one's, unless it is
     invalid or out of scope itself. Numbers the user never wrote are dropped.
     A refused turn states no facts. Narrow throughout: no turn looks at
-    another one.
+    another one. Later candidates are parsed only where they are needed.
     """
-    judged = turns
-    for i in ("1", "2", "repair"):
-        judged = check_requests(judged, f"candidate_{i}", f"_{i}_")
+    judged = check_requests(turns, "candidate_1", "_1_")
+    judged = judged.withColumn(
+        "_text_2", F.when(~F.coalesce(accepted("_1_"), F.lit(False)), F.col("candidate_2"))
+    )
+    judged = check_requests(judged, "_text_2", "_2_")
     first, second = accepted("_1_"), accepted("_2_")
-    repairs = F.coalesce(accepted("_repair_") & ~F.col("_repair_out_of_scope"), F.lit(False))
     chosen = judged.select(
         *turns.columns,
-        F.when(first, F.col("_1_filters")).when(second, F.col("_2_filters")).alias("_filters"),
+        F.when(first, F.col("_1_filters")).when(second, F.col("_2_filters")).alias("_chosen"),
         F.when(first, F.col("_1_out_of_scope"))
         .when(second, F.col("_2_out_of_scope"))
         .alias("_refused"),
-        F.when(repairs, F.col("_repair_filters")).alias("_repair"),
     )
-    read = chosen.withColumns(
-        {"_first": _canonical(F.col("_filters")), "_second": _canonical(F.col("_repair"))}
+    read = _read_filters(chosen, "_chosen", "_entries_1")
+    read = read.withColumn(
+        "_text_r", F.when(F.size(_unread("_entries_1")) > 0, F.col("candidate_repair"))
     )
-    needs_repair = (F.size(_misses(F.col("_first"))) > 0) & F.col("_second").isNotNull()
-    settled = read.withColumn(
-        "_entries", F.when(needs_repair, F.col("_second")).otherwise(F.col("_first"))
-    ).withColumn("_bad", _misses(F.col("_entries")))
-    status = (
-        F.when(F.col("_filters").isNull(), "invalid")
+    read = check_requests(read, "_text_r", "_r_")
+    repairs = F.coalesce(accepted("_r_") & ~F.col("_r_out_of_scope"), F.lit(False))
+    read = read.withColumn("_repair", F.when(repairs, F.col("_r_filters")))
+    read = _read_filters(read, "_repair", "_entries_r")
+    settled = read.withColumn("_entries", F.coalesce("_entries_r", "_entries_1"))
+    bad = _unread("_entries")
+    judged = settled.withColumn(
+        "status",
+        F.when(F.col("_chosen").isNull(), "invalid")
         .when(F.col("_refused"), "out_of_scope")
-        .when(F.size("_bad") > 0, "unmapped")
-        .otherwise("ok")
+        .when(F.size(bad) > 0, "unmapped")
+        .otherwise("ok"),
     )
     kept = F.filter(
-        F.col("_entries"),
+        "_entries",
         lambda e: ~e["key"].isin(*V.NUMERIC_FEATURES)
         | grounded_number(e["value"], F.col("user_text")),
     )
-    marked = settled.withColumn("status", status)
-    return marked.select(
+    return judged.select(
         *turns.columns,
         "status",
-        F.when(F.col("status") == "unmapped", F.col("_bad")[0]["key"]).alias("bad_feature"),
+        F.when(F.col("status") == "unmapped", bad[0]["key"]).alias("bad_feature"),
         F.when(F.col("status") == "ok", F.map_from_entries(kept)).alias("facts"),
     )
 
@@ -87,9 +102,8 @@ def process_turns(
     turns: DataFrame, *, session: Sequence[str] = ("session_id",), order: Sequence[str] = ("ts_us", "turn")
 ) -> DataFrame:
     """Every turn with its verdict and the session profile after it."""
-    read = read_turns(turns)
     stated = session_profile(
-        read,
+        read_turns(turns),
         session=session,
         order=order,
         facts={f: F.col("facts")[f] for f in V.FEATURES},

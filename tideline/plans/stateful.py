@@ -201,7 +201,8 @@ processed AS (SELECT *, array_to_string(list_sort([x for x in [{', '.join(
 )
 def read_turns_query(spark, sf_dir):
     read = read_turns(turns(spark, sf_dir))
-    return read.select("turn", "status", "bad_feature", S.facts_text(F.col("facts")).alias("facts"))
+    facts = F.when(F.col("status") == "ok", S.facts_text(F.col("facts")))
+    return read.select("turn", "status", "bad_feature", facts.alias("facts"))
 
 
 @query(

@@ -163,8 +163,9 @@ def normalize_text(spark, sf_dir):
 )
 def canon_category(spark, sf_dir):
     chosen = wordings(spark, sf_dir).where(F.col("feature").isin(*V.WORDINGS))
-    return chosen.select(
-        "event_id", T.canon_category(F.col("feature"), F.col("value")).alias("canonical")
+    folded = chosen.withColumn("needle", T.normalize_text(F.col("value")))
+    return folded.select(
+        "event_id", T.canon_category(F.col("feature"), F.col("needle")).alias("canonical")
     )
 
 
@@ -188,8 +189,8 @@ def contains_phrase(spark, sf_dir):
     f"WITH {WORDINGS_SQL} SELECT event_id, {yes_no_sql(normalize_sql('value'))} AS answer FROM wordings",
 )
 def yes_no(spark, sf_dir):
-    n = T.normalize_text(F.col("value"))
-    return wordings(spark, sf_dir).select("event_id", T.yes_no(n).alias("answer"))
+    folded = wordings(spark, sf_dir).withColumn("needle", T.normalize_text(F.col("value")))
+    return folded.select("event_id", T.yes_no(F.col("needle")).alias("answer"))
 
 
 @query(
@@ -199,10 +200,11 @@ def yes_no(spark, sf_dir):
 )
 def canon_service_flag(spark, sf_dir):
     chosen = wordings(spark, sf_dir).where(F.col("feature").isin(V.FLAG, *V.SERVICE_FLAGS))
-    return chosen.select(
+    folded = chosen.withColumn("needle", T.normalize_text(F.col("value")))
+    return folded.select(
         "event_id",
         "feature",
-        T.canon_service_flag(F.col("feature"), F.col("value")).alias("canonical"),
+        T.canon_service_flag(F.col("feature"), F.col("needle")).alias("canonical"),
     )
 
 
@@ -221,9 +223,7 @@ def extract_number(spark, sf_dir):
     f"WITH {WORDINGS_SQL} SELECT event_id, feature, {canon_sql('feature', 'value')} AS canonical FROM wordings",
 )
 def canon_value(spark, sf_dir):
-    return wordings(spark, sf_dir).select(
-        "event_id", "feature", T.canon_value(F.col("feature"), F.col("value")).alias("canonical")
-    )
+    return T.canonicalize(wordings(spark, sf_dir)).select("event_id", "feature", "canonical")
 
 
 @query(
@@ -291,7 +291,7 @@ def _slot_sql(feature: str, value: str) -> str:
 )
 def slot_pattern(spark, sf_dir):
     feature, value = F.col("feature"), F.col("value")
-    read = wordings(spark, sf_dir).withColumn("canonical", T.canon_value(feature, value))
+    read = T.canonicalize(wordings(spark, sf_dir))
     return read.select(
         "event_id",
         "feature",
