@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
+from tideline.functions.fence import fenced
 
 
 def _no(condition: Column) -> Column:
@@ -69,13 +70,16 @@ def check_requests(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
         .otherwise("")
     )
     judged = shaped.withColumns(
-        {f"{prefix}reason": reason, f"{prefix}envelope": shape.when(bad_flag, "bad_flag").otherwise("")}
+        {"_reason": reason, "_envelope": shape.when(bad_flag, "bad_flag").otherwise("")}
     )
-    ok = F.col(f"{prefix}reason") == ""
+    ok = F.col("_reason") == ""
     written = F.from_json(F.col(text), "filters map<string,string>")["filters"]
-    result = judged.withColumns(
+    return fenced(
+        judged,
         {
             f"{prefix}status": F.when(ok, "ok").otherwise("invalid"),
+            f"{prefix}reason": F.col("_reason"),
+            f"{prefix}envelope": F.col("_envelope"),
             f"{prefix}targets": F.when(
                 ok, F.coalesce(F.transform(targets, as_text), F.array().cast("array<string>"))
             ),
@@ -85,9 +89,9 @@ def check_requests(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
             f"{prefix}out_of_scope": F.when(
                 ok, F.coalesce(F.try_variant_get(v, "$.out_of_scope", "boolean"), F.lit(False))
             ),
-        }
+        },
+        keep=df.columns,
     )
-    return result.drop("_document", "_object", "_targets", "_filters", "_flag", "_keys")
 
 
 def accepted(prefix: str = "") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
+from tideline.functions.fence import fenced
 from tideline.functions.requests import accepted, check_requests
 from tideline.functions.text import canon_value, grounded_number, normalize_text
 from tideline.operators.scoring import (
@@ -79,7 +80,7 @@ def read_turns(turns: DataFrame) -> DataFrame:
     settled = read.withColumn("_entries", F.coalesce("_entries_r", "_entries_1"))
     bad = _unread("_entries")
     judged = settled.withColumn(
-        "status",
+        "_status",
         F.when(F.col("_chosen").isNull(), "invalid")
         .when(F.col("_refused"), "out_of_scope")
         .when(F.size(bad) > 0, "unmapped")
@@ -90,11 +91,15 @@ def read_turns(turns: DataFrame) -> DataFrame:
         lambda e: ~e["key"].isin(*V.NUMERIC_FEATURES)
         | grounded_number(e["value"], F.col("user_text")),
     )
-    return judged.select(
-        *turns.columns,
-        "status",
-        F.when(F.col("status") == "unmapped", bad[0]["key"]).alias("bad_feature"),
-        F.when(F.col("status") == "ok", F.map_from_entries(kept)).alias("facts"),
+    status = F.col("_status")
+    return fenced(
+        judged,
+        {
+            "status": status,
+            "bad_feature": F.when(status == "unmapped", bad[0]["key"]),
+            "facts": F.when(status == "ok", F.map_from_entries(kept)),
+        },
+        keep=turns.columns,
     )
 
 

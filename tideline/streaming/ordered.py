@@ -26,6 +26,12 @@ _HELD = T.StructType(
 _CARRY = T.StructType([T.StructField("carry", T.StringType())])
 
 
+def _timer(ts_us: int) -> int:
+    """A timer that fires once the watermark has reached a time: timers fire
+    when the watermark is past them, and it counts in milliseconds."""
+    return -(-ts_us // 1000) - 1
+
+
 class OrderedFold(StatefulProcessor):
     """Holds rows (ts_us, event_id, body) and folds them in order.
 
@@ -59,7 +65,7 @@ class OrderedFold(StatefulProcessor):
             first = int(batch["ts_us"].min())
             soonest = first if soonest is None else min(soonest, first)
         if soonest is not None:
-            self._handle.registerTimer(soonest // 1000 + 1)
+            self._handle.registerTimer(_timer(soonest))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -69,7 +75,7 @@ class OrderedFold(StatefulProcessor):
         rest = [r for r in held if r[0] > limit]
         if rest:
             self._held.put(rest)
-            self._handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+            self._handle.registerTimer(_timer(min(r[0] for r in rest)))
         else:
             self._held.clear()
         if not due:
