@@ -82,9 +82,12 @@ def test_separable_scores_reach_f1_one(spark):
 
 def test_groups_are_independent_and_null_scores_ignored(spark):
     rows = [("a", 0.9, 1), ("a", 0.1, 0), ("b", 0.2, 1), ("b", 0.8, 0), ("b", None, 1)]
+    rows += [(None, 0.4, 1), (None, 0.4, 0)]
     df = spark.createDataFrame(rows, "g string, score double, label int")
     found = {r.g: (r.n, r.roc_auc) for r in U.curve_metrics(df, "score", "label", ["g"]).collect()}
-    assert found == {"a": (2, 1.0), "b": (2, 0.0)}
+    assert found == {"a": (2, 1.0), "b": (2, 0.0), None: (2, 0.5)}
+    points = U.operating_points(df, "score", "label", ["g"], precision_floor=0.5).collect()
+    assert {p.g: p.threshold for p in points} == {"a": 0.9, "b": 0.2, None: 0.4}
 
 
 def test_one_score_for_a_third_of_the_rows(spark):
@@ -125,21 +128,25 @@ def test_running_sums_and_carried_values(spark):
     assert out.columns == ["g", "v", "n", "s", "n_before", "s_carried"]
 
 
-def test_nearest_rank_and_median(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_nearest_rank_and_median(spark, few):
     rng = random.Random(3)
-    values = [("a", rng.gauss(0, 50)) for _ in range(101)] + [("b", 4.0)] * 40 + [("b", 5.0)] * 41 + [("c", None)]
+    values = [("a", rng.gauss(0, 50)) for _ in range(101)] + [("b", 4.0)] * 40 + [("b", 5.0)] * 41 + [("c", None)] + [(None, 7.0)]
     df = spark.createDataFrame(values, "g string, v double")
-    found = {r.g: r for r in nearest_rank(df, "v", {"p": 0.95}, ["g"]).collect()}
+    found = {r.g: r for r in nearest_rank(df, "v", {"p": 0.95}, ["g"], few_groups=few).collect()}
     a = sorted(v for g, v in values if g == "a")
     assert found["a"].p == a[min(round(0.95 * 100), 100)] and found["b"].p == 5.0 and "c" not in found
+    assert found[None].p == 7.0
     middle = {r.g: r["median"] for r in medians(df, ["v"], ["g"]).collect()}
     assert middle["a"] == a[50] and middle["b"] == 5.0
 
 
-def test_half_index_rounds_to_even(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_half_index_rounds_to_even(spark, few):
     df = spark.createDataFrame([(float(i),) for i in range(6)], "v double")
     # 0.5 * 5 = 2.5 rounds to 2, 0.3 * 5 = 1.5 rounds to 2
-    assert tuple(nearest_rank(df, "v", {"a": 0.5, "b": 0.3}).first())[1:] == (2.0, 2.0)
+    found = nearest_rank(df, "v", {"a": 0.5, "b": 0.3}, few_groups=few).first()
+    assert tuple(found)[1:] == (2.0, 2.0)
 
 
 def test_latency_budgets(spark):

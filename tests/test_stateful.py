@@ -116,8 +116,9 @@ def turn_frame(spark):
     )
 
 
-def test_turns_are_judged_and_refused_ones_leave_no_trace(spark):
-    rows = process_turns(turn_frame(spark)).withColumn("text", S.facts_text(F.col("profile"))).collect()
+@pytest.mark.parametrize("max_rows", [1000, 3])
+def test_turns_are_judged_and_refused_ones_leave_no_trace(spark, max_rows):
+    rows = process_turns(turn_frame(spark), max_rows=max_rows).withColumn("text", S.facts_text(F.col("profile"))).collect()
     found = {(r.session_id, r.turn): (r.status, r.bad_feature, r.text) for r in rows}
     assert found == {(t[0], t[1]): tuple(t[6:]) for t in TURNS}
     assert read_turns(turn_frame(spark)).where("status <> 'ok' and facts is not null").isEmpty()

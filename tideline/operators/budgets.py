@@ -90,7 +90,7 @@ def call_budget(
 
     hot_keys = F.broadcast(hot)
     cold = calls.join(hot_keys, "key", "left_anti")
-    parts = [_folded(cold, max_calls, window_us)]
+    settled = _folded(cold, max_calls, window_us)
 
     second = F.shiftright("ts_us", 20)
     hot_calls = calls.join(hot_keys, "key").withColumn("_cell", second)
@@ -115,17 +115,13 @@ def call_budget(
             rows = rows.join(F.broadcast(state), "key", "left")
         out = f"{path}-out/{slab}"
         _folded(rows, max_calls, window_us).write.parquet(out)
-        done = spark.read.parquet(out)
-        parts.append(done)
-        state = _carry(done, state, max_calls, window_us, f"{path}-state/{slab}", kind)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        done = spark.read.schema(settled.schema).parquet(out)
+        state = _carry(done, state, window_us, f"{path}-state/{slab}", kind)
+    return settled.unionByName(spark.read.schema(settled.schema).parquet(f"{path}-out/*"))
 
 
 def _carry(
-    done: DataFrame, state: DataFrame | None, max_calls: int, window_us: int, path: str, kind: str
+    done: DataFrame, state: DataFrame | None, window_us: int, path: str, kind: str
 ) -> DataFrame:
     """Admitted times that can still matter after a slab, per key."""
     admitted = done.where("admitted").select("key", "ts_us")

@@ -18,6 +18,15 @@ _COARSE = 1024  # cells per power of two
 _FINE = 16384  # fine cells per coarse cell
 
 
+_GROUP = "_group"
+
+
+def group_key(groups: Sequence[str]) -> Column:
+    """Group columns as one struct: never null itself, so rows of a null group
+    meet in a join, and no filter is derived from it."""
+    return F.struct(*groups)
+
+
 def _never_null(cell: Column) -> Column:
     """Cells are join keys. Declared non-null they bring no IS NOT NULL filter,
     which Catalyst would push, with the whole expression behind it, to the scan.
@@ -71,12 +80,15 @@ def running(
     ``<s>_before`` is the sum over all earlier rows of the group, this row
     excluded. ``<c>_carried`` is the latest non-null value up to and including
     this row. Rows are ordered by the cells and then by ``order``, which must
-    be unique within a group. Group columns must not be null.
+    be unique within a group. A null group is a group like any other.
     """
     names = [f"_cell{i}" for i in range(len(cells))]
-    groups = list(groups)
     rows = df.withColumns(dict(zip(names, cells)))
-    leaf_keys = groups + names
+    group = []
+    if groups:
+        rows = rows.withColumn(_GROUP, group_key(groups))
+        group = [_GROUP]
+    leaf_keys = group + names
     before = Window.partitionBy(*leaf_keys).orderBy(*order)
     upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     leaf = rows.withColumns(
@@ -91,7 +103,7 @@ def running(
     )
     offsets = None
     for level in reversed(range(len(names))):
-        parent, here = groups + names[:level], names[level]
+        parent, here = group + names[:level], names[level]
         earlier = (
             Window.partitionBy(*(parent or [F.lit(0)]))
             .orderBy(here)
@@ -122,13 +134,14 @@ def running(
             F.col(f"{c}_carried"), *[F.col(f"_{c}{i}") for i in reversed(levels)]
         )
     helpers = names + [f"_{x}{i}" for x in (*sums, *lasts) for i in levels]
-    return leaf.join(offsets, leaf_keys).withColumns(added).drop(*helpers)
+    return leaf.join(offsets, leaf_keys).withColumns(added).drop(*group, *helpers)
 
 
 def attach_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Add per-group totals; without groups the single row is a scalar subquery."""
     if groups:
-        return df.join(totals, list(groups))
+        keyed = totals.withColumn(_GROUP, group_key(groups)).drop(*groups)
+        return df.withColumn(_GROUP, group_key(groups)).join(keyed, _GROUP).drop(_GROUP)
     held = df.withColumn("_totals", one_row(totals))
     return held.withColumns({c: F.col("_totals")[c] for c in totals.columns}).drop("_totals")
 

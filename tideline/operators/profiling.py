@@ -108,8 +108,8 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("feature", "value")
         .agg(F.count("*").alias("n"))
     )
-    top = counted.groupBy("feature").agg(F.max("n").alias("n"))
-    return counted.join(top, ["feature", "n"]).groupBy("feature").agg(F.min("value").alias("value"))
+    rarest_last = F.struct(-F.col("n"), F.col("value"))
+    return counted.groupBy("feature").agg(F.min_by("value", rarest_last).alias("value"))
 
 
 def baseline_profile(

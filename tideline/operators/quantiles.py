@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.prefix import attach_totals, running, value_cells
+from tideline.operators.prefix import attach_totals, group_key, running, value_cells
 
 
 def _counted(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
@@ -25,42 +25,100 @@ def _counted(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     return attach_totals(placed, sizes, groups)
 
 
+def _counted_near(
+    df: DataFrame, value: str, groups: Sequence[str], indexes: Sequence[Column]
+) -> DataFrame:
+    """The same, for the cells alone that hold one of the wanted indexes.
+
+    The first pass counts rows per coarse cell, so a few thousand counts per
+    group are shuffled. Only the values of the cells found, about one in a
+    thousand, are shuffled and sorted in the second. For few groups: the list
+    of wanted cells, one or two per group and index, is broadcast.
+    """
+    groups = list(groups)
+    coarse, fine = value_cells(F.col(value))
+    known = (
+        df.where(F.col(value).isNotNull())
+        .select(*groups, F.col(value).cast("double").alias(value))
+        .withColumn("_c", coarse)
+    )
+    cells = known.groupBy(*groups, "_c").agg(F.count("*").alias("_cell_n"))
+    # a double has 2,100 exponents of 1,024 cells, so a group's cells are few
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    upto = whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cells.withColumns(
+        {
+            "_size": F.sum("_cell_n").over(whole),
+            "_skip": F.sum("_cell_n").over(upto) - F.col("_cell_n"),
+        }
+    )
+    holds = F.lit(False)
+    for index in indexes:
+        holds = holds | ((F.col("_skip") <= index) & (index < F.col("_skip") + F.col("_cell_n")))
+    wanted = placed.where(holds).select(
+        group_key([*groups, "_c"]).alias("_cell"), "_size", "_skip"
+    )
+    distinct = (
+        known.withColumn("_cell", group_key([*groups, "_c"]))
+        .join(F.broadcast(wanted), "_cell")
+        .groupBy(*groups, "_c", "_size", "_skip", value)
+        .agg(F.count("*").alias("_n"))
+    )
+    inside = running(distinct, groups=[*groups, "_c"], cells=[fine], order=[value], sums=["_n"])
+    return inside.withColumn("_n_before", F.col("_n_before") + F.col("_skip"))
+
+
 def _at(value: str, index: Column) -> Column:
     inside = (F.col("_n_before") <= index) & (index < F.col("_n_before") + F.col("_n"))
     return F.max(F.when(inside, F.col(value)))
 
 
 def nearest_rank(
-    df: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    groups: Sequence[str] = (),
+    *,
+    few_groups: bool = False,
 ) -> DataFrame:
     """The sorted value at index min(round_half_even(q * (n - 1)), n - 1)."""
     last = F.col("_size") - 1
-    picks = []
-    for name, q in probs.items():
-        index = F.least(F.bround(F.lit(q) * last, 0).cast("long"), last)
-        picks.append(_at(value, index).alias(name))
-    return (
-        _counted(df, value, groups)
-        .groupBy(*groups)
-        .agg(F.max("_size").alias("samples"), *picks)
+    index = {
+        name: F.least(F.bround(F.lit(q) * last, 0).cast("long"), last) for name, q in probs.items()
+    }
+    counted = (
+        _counted_near(df, value, groups, list(index.values()))
+        if few_groups
+        else _counted(df, value, groups)
+    )
+    return counted.groupBy(*groups).agg(
+        F.max("_size").alias("samples"), *[_at(value, i).alias(n) for n, i in index.items()]
     )
 
 
 def interpolated(
-    df: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    groups: Sequence[str] = (),
+    *,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear interpolation between the two neighbouring sorted values."""
     position = {name: F.lit(q) * (F.col("_size") - 1) for name, q in probs.items()}
-    picks = []
+    picks, indexes = [], []
     for name, at in position.items():
-        low = F.floor(at)
+        low, high = F.floor(at), F.ceil(at)
+        indexes += [low, high]
         picks += [
             _at(value, low).alias(f"_{name}_low"),
-            _at(value, F.ceil(at)).alias(f"_{name}_high"),
+            _at(value, high).alias(f"_{name}_high"),
             F.max(at - low).alias(f"_{name}_part"),
         ]
-    found = _counted(df, value, groups).groupBy(*groups).agg(*picks)
-    return found.select(
+    counted = (
+        _counted_near(df, value, groups, indexes) if few_groups else _counted(df, value, groups)
+    )
+    return counted.groupBy(*groups).agg(*picks).select(
         *groups,
         *[
             (
@@ -80,6 +138,11 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], kind: st
 
 
 def medians(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, feature) with the exact median, nulls ignored."""
+    """One row per (group, feature) with the exact median, nulls ignored.
+
+    Groups are labels or folds here, so there are few of them.
+    """
     long = unpivot(df, groups, columns, "double")
-    return interpolated(long, "value", {"median": 0.5}, [*groups, "feature"])
+    return interpolated(
+        long, "value", {"median": 0.5}, [*groups, "feature"], few_groups=True
+    )

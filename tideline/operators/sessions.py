@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tideline.operators.prefix import hot_groups, integer_cells, running
 
@@ -17,7 +18,7 @@ TIME_SHIFTS = (42, 32)  # cells of about 51 days and 71 minutes in microseconds
 MAX_ROWS = 2_000_000  # turns of one session that a single task may order
 
 
-def _in_order(
+def by_length(
     turns: DataFrame, session: Sequence[str], max_rows: int, short: Step, long: Step
 ) -> DataFrame:
     """``short`` for sessions one task can order, ``long`` for the others.
@@ -34,46 +35,56 @@ def _in_order(
     )
 
 
-def session_profile(
-    turns: DataFrame,
-    *,
+def upto_now(session: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    ordered = Window.partitionBy(*session).orderBy(*order)
+    return ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def profile_steps(
     session: Sequence[str],
     order: Sequence[str],
     facts: Mapping[str, Column],
     shifts: Sequence[int] = TIME_SHIFTS,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """Per turn, the latest value of every feature stated so far in its session.
-
-    A later value replaces an earlier one; silence keeps it. ``order`` starts
-    with an integer (a time or a turn number) whose shifts cut a long session
-    into cells, so one endless session is spread over many tasks.
-    """
+) -> tuple[Step, Step]:
+    """The short and the long form of ``session_profile``."""
     names = {f: f"_f{i}" for i, f in enumerate(facts)}
-    wide = turns.withColumns({names[f]: value for f, value in facts.items()})
-    upto = (
-        Window.partitionBy(*session)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    stated = {names[f]: value for f, value in facts.items()}
 
     def short(rows: DataFrame) -> DataFrame:
-        latest = {f: F.last(n, ignorenulls=True).over(upto) for f, n in names.items()}
-        return rows.withColumns(latest).drop(*names.values())
+        now = upto_now(session, order)
+        latest = {f: F.last(n, ignorenulls=True).over(now) for f, n in names.items()}
+        return rows.withColumns(stated).withColumns(latest).drop(*stated)
 
     def long(rows: DataFrame) -> DataFrame:
         carried = running(
-            rows,
+            rows.withColumns(stated),
             groups=session,
             cells=integer_cells(F.col(order[0]), shifts),
             order=order,
-            lasts=list(names.values()),
+            lasts=list(stated),
         )
-        return carried.withColumns(
-            {f: F.col(f"{n}_carried") for f, n in names.items()}
-        ).drop(*names.values(), *[f"{n}_carried" for n in names.values()])
+        latest = {f: F.col(f"{n}_carried") for f, n in names.items()}
+        return carried.withColumns(latest).drop(*stated, *[f"{n}_carried" for n in stated])
 
-    return _in_order(wide, session, max_rows, short, long)
+    return short, long
+
+
+def session_profile(
+    turns: DataFrame,
+    *,
+    session: Sequence[str],
+    order: Sequence[str],
+    facts: Mapping[str, Column],
+    shifts: Sequence[int] = TIME_SHIFTS,
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """Per turn, the latest value of every feature stated so far in its session.
+
+    A later value replaces an earlier one; silence keeps it. ``order`` starts
+    with an integer (a time or a turn number) whose shifts cut a long session
+    into cells, so one endless session is spread over many tasks.
+    """
+    return by_length(turns, session, max_rows, *profile_steps(session, order, facts, shifts))
 
 
 def final_profile(
@@ -101,14 +112,10 @@ def session_epochs(
     (session, epoch).
     """
     flagged = turns.withColumn("_reset", reset.cast("long"))
-    upto = (
-        Window.partitionBy(*session)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
 
     def short(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("epoch", F.sum("_reset").over(upto)).drop("_reset")
+        resets = F.sum("_reset").over(upto_now(session, order))
+        return rows.withColumn("epoch", resets).drop("_reset")
 
     def long(rows: DataFrame) -> DataFrame:
         counted = running(
@@ -122,7 +129,7 @@ def session_epochs(
             "_reset", "_reset_before"
         )
 
-    return _in_order(flagged, session, max_rows, short, long)
+    return by_length(flagged, session, max_rows, short, long)
 
 
 def facts_map(features: Sequence[str]) -> Column:

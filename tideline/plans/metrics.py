@@ -22,6 +22,7 @@ from tideline.plans.tables import (
     scored_lines,
     table,
 )
+from tideline.session import materialize
 
 _TP, _FP = "(pos_before + pos)", "(neg_before + neg)"
 
@@ -358,7 +359,9 @@ _COPIES = "copies AS (SELECT f.*, k.trains FROM folded f JOIN (SELECT unnest(ran
 
 
 def folded_profile(spark, sf_dir):
-    return stratified_folds(profile(spark, sf_dir), key=V.ROW_KEY, label="label", seed=42)
+    """Profile with folds, written once: every statistic below reads it again."""
+    folded = stratified_folds(profile(spark, sf_dir), key=V.ROW_KEY, label="label", seed=42)
+    return materialize(folded, "profile-folds")
 
 
 @query("fold_stats", f"WITH {_FOLDED}, {_COPIES}, {_stats_sql('copies', 'trains')} {_stats_out('trains')}")
