@@ -8,7 +8,7 @@ the margin of the row exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -121,10 +121,12 @@ def tree_drivers(
     into = np.zeros((len(raw_names), len(order)))
     for i, name in enumerate(raw_names):
         into[i, order.index(name)] = 1.0
-    shared = spark.sparkContext.broadcast((read_trees(spark, model), into, order))
+    # plain arrays, as a broadcast value is pickled by reference to its class
+    shared = spark.sparkContext.broadcast((asdict(read_trees(spark, model)), into, order))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, fold, names = shared.value
+        arrays, fold, names = shared.value
+        trees = Trees(**arrays)
         for batch in batches:
             if batch.empty:
                 continue

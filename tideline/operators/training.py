@@ -93,7 +93,7 @@ def make_estimator(model: str, params: Mapping, prep: Preparer, seed: int):
     if model == "logistic":
         n = prep.positives + prep.negatives
         return LogisticRegression(
-            maxIter=1000, standardization=False, regParam=1.0 / (params.get("C", 1.0) * n), **common
+            maxIter=1000, tol=1e-4, standardization=False, regParam=1.0 / (params.get("C", 1.0) * n), **common
         )
     if model == "levelwise":
         return GBTClassifier(
