@@ -129,26 +129,33 @@ VALUES = (
 )
 
 
-def wordings(spark, sf_dir):
-    """Events as (feature, raw value) pairs that walk through all combinations."""
+def wordings(spark, sf_dir, features=V.FEATURES):
+    """Every event as a (feature, raw value) pair, walking through the combinations."""
     k = F.get_json_object("props", "$.k")
     feature = F.element_at(
-        F.array(*[F.lit(f) for f in V.FEATURES]), (F.col("event_id") % len(V.FEATURES) + 1).cast("int")
+        F.array(*[F.lit(f) for f in features]), (F.col("event_id") % len(features) + 1).cast("int")
     )
     value = F.element_at(
-        F.array(*[F.lit(v) for v in VALUES]), (F.col("event_id") % len(VALUES) + 1).cast("int")
+        F.array(*[F.lit(v) for v in VALUES]),
+        (F.expr(f"event_id div {len(features)}") % len(VALUES) + 1).cast("int"),
     )
     return table(spark, sf_dir, "events").select(
         "event_id", feature.alias("feature"), F.replace(value, F.lit("%K"), k).alias("value")
     )
 
 
-WORDINGS_SQL = f"""wordings AS (SELECT event_id,
-  ({_list(V.FEATURES)})[event_id % {len(V.FEATURES)} + 1] AS feature,
-  replace(({_list(VALUES)})[event_id % {len(VALUES)} + 1], '%K', json_extract_string(props, '$.k')) AS value
+def wordings_sql(features=V.FEATURES) -> str:
+    n = len(features)
+    return f"""wordings AS (SELECT event_id, ({_list(features)})[event_id % {n} + 1] AS feature,
+  replace(({_list(VALUES)})[(event_id // {n}) % {len(VALUES)} + 1], '%K', json_extract_string(props, '$.k')) AS value
   FROM events)"""
 
 
+WORDINGS_SQL = wordings_sql()
+DICTIONARY_FEATURES = tuple(V.WORDINGS)
+FLAG_FEATURES = (V.FLAG, *V.SERVICE_FLAGS)
+
+
 @query("normalize_text", f"SELECT doc_id, {normalize_sql('text')} AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
@@ -158,14 +165,16 @@ def normalize_text(spark, sf_dir):
 
 @query(
     "canon_category",
-    f"WITH {WORDINGS_SQL} SELECT event_id, {category_sql('feature', normalize_sql('value'))} AS canonical "
-    f"FROM wordings WHERE feature IN {_in(V.WORDINGS)}",
+    f"WITH {wordings_sql(DICTIONARY_FEATURES)} SELECT event_id, feature, "
+    f"{category_sql('feature', normalize_sql('value'))} AS canonical FROM wordings",
 )
 def canon_category(spark, sf_dir):
-    chosen = wordings(spark, sf_dir).where(F.col("feature").isin(*V.WORDINGS))
-    folded = chosen.withColumn("needle", T.normalize_text(F.col("value")))
+    rows = wordings(spark, sf_dir, DICTIONARY_FEATURES)
+    folded = rows.withColumn("needle", T.normalize_text(F.col("value")))
     return folded.select(
-        "event_id", T.canon_category(F.col("feature"), F.col("needle")).alias("canonical")
+        "event_id",
+        "feature",
+        T.canon_category(F.col("feature"), F.col("needle")).alias("canonical"),
     )
 
 
@@ -195,12 +204,12 @@ def yes_no(spark, sf_dir):
 
 @query(
     "canon_service_flag",
-    f"WITH {WORDINGS_SQL} SELECT event_id, feature, {flag_sql('feature', normalize_sql('value'))} AS canonical "
-    f"FROM wordings WHERE feature IN {_in((V.FLAG, *V.SERVICE_FLAGS))}",
+    f"WITH {wordings_sql(FLAG_FEATURES)} SELECT event_id, feature, "
+    f"{flag_sql('feature', normalize_sql('value'))} AS canonical FROM wordings",
 )
 def canon_service_flag(spark, sf_dir):
-    chosen = wordings(spark, sf_dir).where(F.col("feature").isin(V.FLAG, *V.SERVICE_FLAGS))
-    folded = chosen.withColumn("needle", T.normalize_text(F.col("value")))
+    rows = wordings(spark, sf_dir, FLAG_FEATURES)
+    folded = rows.withColumn("needle", T.normalize_text(F.col("value")))
     return folded.select(
         "event_id",
         "feature",
