@@ -33,6 +33,18 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part.cast("double") / whole.cast("double"))
 
 
+# The characters Unicode calls white space.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(value: Column) -> Column:
+    """Text without outer whitespace of any kind; plain ``trim`` knows spaces only."""
+    return F.btrim(value.cast("string"), F.lit(WHITESPACE))
+
+
 def blank(value: Column) -> Column:
     """True where a value is null or whitespace only."""
-    return value.isNull() | ~value.cast("string").rlike(r"[^\s\p{Z}]")
+    return value.isNull() | (strip(value) == "")

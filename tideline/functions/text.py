@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
+from tideline.functions.numeric import strip
 
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 NUMBER_RUN = r"[0-9]+(?:[.,][0-9]+)*"
@@ -89,7 +90,7 @@ def canon_value(feature: Column, value: Column, needle: Column) -> Column:
         F.when(feature.isin(*V.WORDINGS), canon_category(feature, needle))
         .when(feature.isin(V.FLAG, *V.SERVICE_FLAGS), canon_service_flag(feature, needle))
         .when(feature.isin(*V.NUMERIC_FEATURES), extract_number(value))
-        .otherwise(F.regexp_replace(value, r"^\s+|\s+$", ""))
+        .otherwise(strip(value))
     )
 
 

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import vocabulary as V
-from tideline.functions.numeric import blank, round_dp
-
-OUTER_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-
+from tideline.functions.numeric import blank, round_dp, strip
 
 def trim_headers(df: DataFrame) -> DataFrame:
     """Strip whitespace from column names; two names may not become one."""
@@ -41,7 +38,7 @@ def trim_strings(df: DataFrame) -> DataFrame:
     """Strip all outer whitespace, tabs and line ends too, from string columns."""
     return df.select(
         *[
-            F.regexp_replace(f.name, OUTER_SPACE, "").alias(f.name)
+            strip(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else F.col(f.name)
             for f in df.schema
@@ -85,10 +82,9 @@ def coerce_numeric_with_rule(
         broken = rule_violations(df, column, guard).first()["violations"]
         if broken:
             raise ValueError(f"{broken} blank {column} row(s) violate the blank-row rule")
-    text = F.regexp_replace(F.col(column).cast("string"), OUTER_SPACE, "")
     return df.withColumn(
         column,
-        F.when(~blank(F.col(column)), text.cast("double"))
+        F.when(~blank(F.col(column)), strip(F.col(column)).cast("double"))
         .when(guard, F.lit(0.0))
         .otherwise(
             F.raise_error(F.lit(f"blank {column} row violates the blank-row rule")).cast("double")
