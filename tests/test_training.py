@@ -78,6 +78,14 @@ def test_preparation_columns_and_stages_agree(people):
     assert prep.raw_names() == ["tenure", "Monthly_Charges", "Senior_Citizen", "Contract", "Contract"]
 
 
+def test_a_key_is_no_category(spark):
+    df = spark.range(1001).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("label"), F.lit(0).alias("g"))
+    with pytest.raises(ValueError, match="no category"):
+        D.fit_preparers(df, [], ["k"], group="g")
+    with pytest.raises(ValueError, match="no category"):
+        D.one_hot_long(df, "g", ["k"], D.fit_categories(df, ["k"]))
+
+
 def test_imbalance_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "label int")
     row = D.imbalance_weights(df).first()

@@ -109,11 +109,23 @@ def fit_categories(df: DataFrame, columns: Sequence[str], groups: Sequence[str]
     )
 
 
+def few_categories(categories: DataFrame, bound: int) -> DataFrame:
+    """The table itself if it has at most ``bound`` rows, else an error.
+
+    Categories become literals or a scalar, so a column that is really a key
+    must be refused before anything collects it.
+    """
+    if categories.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} categories; some column is no category")
+    return categories
+
+
 def one_hot_long(
     df: DataFrame, key: str, columns: Sequence[str], categories: DataFrame
 ) -> DataFrame:
     """(key, feature, category, hot): unseen and missing values are all zeros."""
-    listed = categories.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("c"))
+    known_few = few_categories(categories, MAX_CATEGORIES * len(columns))
+    listed = known_few.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("c"))
     known = listed.agg(F.map_from_entries(F.collect_list(F.struct("feature", "c")))).scalar()
 
     def cells_of(column: str) -> Column:
@@ -232,11 +244,10 @@ def fit_preparers(
     """One preparer per value of ``group``, all fitted in the same few jobs."""
     weights = imbalance_weights(df, label, [group]).collect()
     numbers = fit_numeric(df, numeric, [group]).collect() if numeric else []
-    bound = MAX_CATEGORIES * len(categorical) * len(weights)
-    seen_words = fit_categories(df, categorical, [group]) if categorical else None
-    words = seen_words.limit(bound + 1).collect() if categorical else []
-    if len(words) > bound:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in a column of {categorical}")
+    words = []
+    if categorical:
+        bound = MAX_CATEGORIES * len(categorical) * len(weights)
+        words = few_categories(fit_categories(df, categorical, [group]), bound).collect()
     out = {}
     for w in weights:
         g = w[group]
