@@ -104,3 +104,37 @@ WITH cut AS (
 SELECT page_id, url, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fitting WHERE k = 1) USING (page_id)
 """
+
+DECONTAMINATE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, w[i : i + least(len(w), 10) - 1] AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT r, size, i, w[i : i + size - 1] AS g
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes)
+), matches AS (
+  SELECT r, i, p.size, item_id FROM places p JOIN windows USING (size, g)
+), hit AS (
+  SELECT r, count(DISTINCT k) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + size)) AS k FROM matches) GROUP BY r
+), item_list AS (
+  SELECT r, list(DISTINCT item_id::VARCHAR) AS ids FROM matches GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN item_list USING (r)
+"""

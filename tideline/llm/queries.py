@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm import oracles
 from tideline.llm.byte_shards import byte_shards
+from tideline.llm.decontaminate import find_contamination
 from tideline.llm.line_rules import clean_documents
 from tideline.llm.mixing import mix_sources
 from tideline.llm.registry import ORACLES, QUERIES, query
 from tideline.llm.tables import table
+from tideline.llm.token_files import token_digests
 from tideline.llm.url_rules import Rule, judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,6 +51,27 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_decontaminate", oracles.DECONTAMINATE)
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows hit, and the items that hit."""
+    found = find_contamination(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op8_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written token files give back for every document."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op9_url_rules", oracles.URL_RULES)
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule that decides each page's url."""
