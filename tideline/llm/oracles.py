@@ -138,3 +138,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN item_list USING (r)
 """
+
+WINDOW_DEDUP = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM repeated
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM docs
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS body
+  FROM words ANTI JOIN dropped USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""

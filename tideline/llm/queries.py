@@ -14,6 +14,7 @@ from tideline.llm.registry import ORACLES, QUERIES, query
 from tideline.llm.tables import table
 from tideline.llm.token_files import token_digests
 from tideline.llm.url_rules import Rule, judge_urls
+from tideline.llm.window_dedup import remove_repeated_windows
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -25,6 +26,14 @@ URL_RULES = [
 ]
 
 
+@query("op3_window_dedup", oracles.WINDOW_DEDUP)
+def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside repeated 35-word windows."""
+    return remove_repeated_windows(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 @query("op4_line_rules", oracles.LINE_RULES)
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, symbols and repeats of every document, and the verdict of the line rules."""
