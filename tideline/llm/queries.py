@@ -10,6 +10,7 @@ from tideline.llm.byte_shards import byte_shards
 from tideline.llm.decontaminate import find_contamination
 from tideline.llm.line_rules import clean_documents
 from tideline.llm.mixing import mix_sources
+from tideline.llm.ngram_join import near_duplicates
 from tideline.llm.registry import ORACLES, QUERIES, query
 from tideline.llm.tables import table
 from tideline.llm.token_files import token_digests
@@ -85,3 +86,11 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule that decides each page's url."""
     return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+@query("op10_ngram_join", oracles.NGRAM_JOIN)
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
