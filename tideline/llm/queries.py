@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.llm import oracles
 from tideline.llm.byte_shards import byte_shards
 from tideline.llm.decontaminate import find_contamination
+from tideline.llm.factorization import score_quality, train_quality
 from tideline.llm.line_rules import clean_documents
 from tideline.llm.mixing import mix_sources
 from tideline.llm.ngram_join import near_duplicates
@@ -27,6 +28,14 @@ URL_RULES = [
 ]
 
 
+@query("op1_quality_machine")
+def quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    machine = train_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return score_quality(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op3_window_dedup", oracles.WINDOW_DEDUP)
 def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document outside repeated 35-word windows."""
