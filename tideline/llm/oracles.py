@@ -183,3 +183,33 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
 FROM docs d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+# Strings as hex: two digits a byte, so byte k of a text starts at digit 2 k + 1.
+SUFFIX_DEDUP = """
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h
+  FROM documents
+), windows AS (
+  SELECT r, i, substr(h, 2 * i + 1, 200) AS g
+  FROM (SELECT r, h, unnest(range(length(h) // 2 - 99)) AS i FROM docs WHERE length(h) >= 200)
+), later AS (
+  SELECT r, i FROM (
+    SELECT r, i, row_number() OVER (PARTITION BY md5(g), g ORDER BY r, i) AS k FROM windows
+  ) WHERE k > 1
+), runs AS (
+  SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 100, true) AS new FROM later
+), spans AS (
+  SELECT r, min(i) AS lo, max(i) + 100 AS hi
+  FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS s FROM runs) GROUP BY r, s
+), gaps AS (
+  SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS after FROM spans
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * after + 1, 2 * (lo - after)), '' ORDER BY lo) AS body,
+    max(hi) AS hi, sum(hi - lo) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(hi, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""

@@ -13,6 +13,7 @@ from tideline.llm.line_rules import clean_documents
 from tideline.llm.mixing import mix_sources
 from tideline.llm.ngram_join import near_duplicates
 from tideline.llm.registry import ORACLES, QUERIES, query
+from tideline.llm.suffix_dedup import remove_repeated_bytes
 from tideline.llm.tables import table
 from tideline.llm.token_files import token_digests
 from tideline.llm.url_rules import Rule, judge_urls
@@ -36,6 +37,14 @@ def quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, machine).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op2_suffix_dedup", oracles.SUFFIX_DEDUP)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside 100-byte strings that start earlier."""
+    return remove_repeated_bytes(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op3_window_dedup", oracles.WINDOW_DEDUP)
 def window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document outside repeated 35-word windows."""
