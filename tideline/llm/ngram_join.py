@@ -32,6 +32,7 @@ text are read; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +54,8 @@ from tideline.llm.words import (
 from tideline.session import materialize
 
 _SEED = 53
-_SKETCH_BITS = 20
-_SLICES = 16
+_SKETCH_BITS = 24
+_SLICES = 64
 _LIST = 64
 _MATRIX = 4096
 _ROWS = 1024
@@ -74,7 +75,7 @@ def _prefix(n: np.ndarray) -> np.ndarray:
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(_SEED)
-        total = np.zeros(1 << _SKETCH_BITS, np.int64)
+        total = np.zeros(1 << _SKETCH_BITS, np.uint32)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in packs(offsets):
@@ -82,33 +83,37 @@ def _sketch(size: int):
                 words = find_words(part, offsets[lo : hi + 1] - offsets[lo], visible_bytes())
                 whole = hasher.windows(hasher.words(part, words), size)
                 whole = whole[words.room()[: len(whole)] >= size]
-                total += np.bincount((whole >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        width = len(total) // _SLICES
-        for k in range(_SLICES):
-            part = total[k * width : (k + 1) * width]
+                np.add.at(total, _cell(whole), np.uint32(1))
+        for k, part in enumerate(np.split(total, _SLICES)):
             if part.any():
-                kind = np.uint16 if part.max() < 1 << 16 else np.int64
+                kind = np.uint8 if part.max() < 256 else np.uint32
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())],
+                    [pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())],
                     names=["slice", "counts"],
                 )
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of sorted slices."""
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted slices summed; each cell's place in the order, an eighth of a doubling a step."""
     now, total = None, None
     width = (1 << _SKETCH_BITS) // _SLICES
 
     def done():
+        level = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
         return pa.RecordBatch.from_arrays(
-            [pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"]
+            [pa.array([now], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"]
         )
 
     for batch in batches:
-        for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            part = np.frombuffer(raw, np.uint16 if len(raw) == 2 * width else np.int64).astype(np.int64)
+        for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            raw = zlib.decompress(packed)
+            part = np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32).astype(np.int64)
             if k == now:
                 total = total + part
             else:
@@ -119,12 +124,6 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Place of a sketch cell in the order: 0 for ordinary cells, more for frequent ones."""
-    ordinary = 4 * counts.sum() / len(counts) + 8
-    return np.where(counts <= ordinary, 0, np.log2(np.maximum(counts, 1)) + 1).astype(np.uint8)
-
-
 def _small(values: np.ndarray) -> bytes:
     """Packed as 16-bit numbers where they fit, else as 32-bit."""
     return values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32).tobytes()
@@ -154,7 +153,7 @@ def _rows(size: int, levels, buckets: int, doc_type: pa.DataType):
                 row &= n > 0
                 owner = np.repeat(np.arange(len(n)), n)
                 value, owner = sets[row[owner]], owner[row[owner]]
-                level = level_of[(value >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)]
+                level = level_of[_cell(value)]
                 # Sets are ascending already; a stable sort by level keeps that order inside a level.
                 order = np.lexsort((level, owner))
                 value, owner = value[order], owner[order]
@@ -416,16 +415,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int =
     kind = docs.schema["doc_id"].dataType
     text = docs.select("doc_id", text_of("text").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = np.zeros(1 << _SKETCH_BITS, np.int64)
-    width = len(counts) // _SLICES
+    order = np.zeros(1 << _SKETCH_BITS, np.uint8)
+    width = len(order) // _SLICES
     slices = (
         text.select("text").mapInArrow(_sketch(shingle), "slice int, counts binary")
-        .repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_add, "slice int, counts binary")
+        .repartition(2 * _SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_levels, "slice int, levels binary")
     )
-    for k, raw in slices.toLocalIterator():  # a table of fixed size
-        counts[k * width : (k + 1) * width] = np.frombuffer(raw, np.int64)
-    levels = spark.sparkContext.broadcast(_levels(counts))
-    buckets = max(parts, int(counts.sum() // 5_000_000) + 1)
+    for k, raw in slices.toLocalIterator():  # a table of 16 megabytes
+        order[k * width : (k + 1) * width] = np.frombuffer(raw, np.uint8)
+    levels = spark.sparkContext.broadcast(order)
+    chars = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, int(chars // 30_000_000) + 1)
     packed = materialize(
         text.mapInArrow(
             _rows(shingle, levels, buckets, to_arrow_type(kind)),
