@@ -1,6 +1,6 @@
 """Packs: runs of documents written as one row each, so later passes meet the same runs.
 
-A pack holds about four megabytes of text. It is made where its documents are
+A pack holds about two megabytes of text. It is made where its documents are
 read, without a shuffle, and kept in the shared folder; its number is fixed
 once the file is committed. Work that compares windows across documents sends
 packed arrays from packs to buckets of hash values and answers back to packs,
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 
 from tideline.llm.tables import text_of
 from tideline.llm.words import packs, text_bytes
-from tideline.session import materialize
+from tideline.session import scratch_path
 
-PACK_TEXT = 4 << 20
+PACK_TEXT = 2 << 20
 
 
 def _pack(limit: int, doc_type: pa.DataType):
@@ -53,4 +53,6 @@ def write_packs(docs: DataFrame, limit: int = PACK_TEXT) -> DataFrame:
         _pack(limit, to_arrow_type(kind)),
         f"pack long, doc_ids array<{kind.simpleString()}>, texts array<string>",
     )
-    return materialize(rows, "packs")
+    path = scratch_path(docs.sparkSession, "packs")
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)

@@ -259,7 +259,7 @@ def _kept_rows(ids: pa.Array, windows: _PackWindows, kept: np.ndarray) -> pa.Tab
 
 
 def remove_repeated_windows(
-    docs: DataFrame, *, size: int = 35, max_cells: int = 1 << 28, bucket_keys: int = 2_000_000
+    docs: DataFrame, *, size: int = 35, max_cells: int = 1 << 27, bucket_keys: int = 2_000_000
 ) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every document."""
     spark = docs.sparkSession
