@@ -118,7 +118,7 @@ def _draw(block_words: int, seed: int):
                 "place": rows["place"],
                 "doc_id": rows["doc_id"],
                 "size": rows["size"],
-                "order": rows["order"],
+                "text_key": rows["text_key"],
                 "copies": rows["copies"],
                 "passes": passes,
                 "extra": taken_until(end) - taken_until(start),
@@ -171,7 +171,7 @@ def mix_sources(
     dealt = rows.join(
         F.broadcast(sources) if len(known) <= 10_000 else sources, rows["source"].eqNullSafe(sources["source"])
     ).select(
-        "place", "doc_id", "size", "copies", order.alias("order"),
+        "place", "doc_id", "size", "text_key", "copies", order.alias("order"),
         F.pmod(F.xxhash64(order), F.ceil(F.col("source_rows") / shard_rows)).alias("shard"),
     )
     blocks = dealt.groupBy("place", "shard").agg(
@@ -186,20 +186,20 @@ def mix_sources(
     kind = docs.schema["doc_id"].dataType.simpleString()
     taken = dealt.join(drawn, ["place", "shard"]).groupBy("place", "shard").applyInPandas(
         _draw(block, seed),
-        f"place int, doc_id {kind}, size long, order long, copies long, passes long, extra long, "
+        f"place int, doc_id {kind}, size long, text_key long, copies long, passes long, extra long, "
         "spans array<struct<start:long,end:long>>",
     )
     each = taken.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    # Copies share what is taken of them; each takes it from its start.
     extra = F.expr("extra div copies + int(copy <= extra % copies)")
-    return each.join(
+    start = F.lit(0).cast("long").alias("start")
+    shared = F.array(F.struct(start, F.col("more").alias("end")))
+    return each.withColumn("more", extra).join(
         F.broadcast(sources) if len(known) <= 10_000 else sources, "place"
     ).select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + extra).alias("taken"),
-        (F.col("passes") + F.expr("extra div copies div greatest(size, 1)")).alias("passes"),
-        F.coalesce(
-            "spans",
-            F.array(F.struct(F.lit(0).cast("long").alias("start"), F.expr("(extra div copies + int(copy <= extra % copies)) % greatest(size, 1)").alias("end"))),
-        ).alias("spans"),
-        "order", "copy",
+        (F.col("passes") * F.col("size") + F.col("more")).alias("taken"),
+        "passes",
+        F.coalesce("spans", F.when(F.col("more") > 0, shared).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
+        "text_key", "copy",
     )

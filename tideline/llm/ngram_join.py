@@ -181,11 +181,12 @@ def _rows(size: int, levels, buckets: int, doc_type: pa.DataType):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column("doc_id").slice(lo, hi - lo).to_pylist()], pa.list_(doc_type)),
+                        pa.array([batch.column("text_key").slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                         pa.array([n.astype(np.int64)], pa.list_(pa.int64())),
                         pa.array([sig], pa.list_(pa.int64())),
                         pa.array([entries], pa.list_(_ENTRY)),
                     ],
-                    names=["doc_ids", "n", "sig", "entries"],
+                    names=["doc_ids", "text_keys", "n", "sig", "entries"],
                 )
 
     return run
@@ -408,12 +409,16 @@ def _in_blocks(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, and ``sig``, equal for equal sets."""
+    """doc_id, n_shingles and component_id of every document.
+
+    ``text_key`` is a hash of the text that tells rows of one id apart;
+    ``label`` is equal in a component and null where the set is empty.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    text = docs.select("doc_id", text_of("text").alias("text"))
+    text = docs.select("doc_id", text_of("text").alias("text"), F.xxhash64(text_of("text")).alias("text_key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = np.zeros(1 << _SKETCH_BITS, np.uint8)
     width = len(order) // _SLICES
@@ -429,13 +434,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int =
     packed = materialize(
         text.mapInArrow(
             _rows(shingle, levels, buckets, to_arrow_type(kind)),
-            f"doc_ids array<{kind.simpleString()}>, n array<long>, sig array<long>, entries array<{_ENTRY_SQL}>",
+            f"doc_ids array<{kind.simpleString()}>, text_keys array<long>, n array<long>, sig array<long>, "
+            f"entries array<{_ENTRY_SQL}>",
         ),
         "shingle-rows",
     )
-    rows = packed.select(F.explode(F.arrays_zip("doc_ids", "n", "sig")).alias("d")).select(
-        F.col("d.doc_ids").alias("doc_id"), F.col("d.n").alias("n"), F.col("d.sig").alias("sig")
-    )
+    rows = packed.select(F.explode(F.arrays_zip("doc_ids", "text_keys", "n", "sig")).alias("d")).select(
+        F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"),
+        F.col("d.n").alias("n"), F.col("d.sig").alias("sig"),
+    )
     candidates = (
         packed.select(F.explode("entries").alias("e")).select("e.*")
         .groupBy("bucket").applyInArrow(_column_block, "a long, b long")
@@ -462,7 +469,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int =
     )
     linked = connect(links)
     labelled = rows.join(linked, rows["sig"] == linked["node"], "left").select(
-        "doc_id", "n", "sig", F.coalesce("label", "sig").alias("label")
+        "doc_id", "text_key", "n", F.coalesce("label", "sig").alias("label")
     )
     least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return (
@@ -470,6 +477,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int =
         .join(least, "label", "left")
         .select(
             "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sig",
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            "text_key", "label",
         )
     )
