@@ -50,26 +50,34 @@ def connect(edges: DataFrame) -> DataFrame:
     """node, label of every node that has an edge; equal labels mean connected.
 
     Edges are first thinned to a forest inside each partition. Then, round by
-    round, every node is merged into its least neighbour and edges are drawn
-    again between what is left, until none is. Nodes should be hashes: among
-    random numbers a fixed share of nodes has a smaller neighbour, so edges
-    fall off geometrically. A node with very many edges is only a key of a
+    round, every node is merged into the neighbour with the least hash, if that
+    is below its own, and edges are drawn again between what is left, until
+    none is. The hash changes every round, so whatever the nodes are called a
+    fixed share of them is expected to merge, and edges fall off
+    geometrically. A node with very many edges is only a key of a
     pre-aggregated minimum and of a join that can be split.
     """
     left = materialize(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long"), "edges")
     out = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    step = 0
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("hash"), F.col("b").alias("node")))
+        own = F.struct(F.xxhash64("from", F.lit(step)).alias("hash"), F.col("from").alias("node"))
         parent = materialize(
-            both.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("near"))
-            .select("from", F.least("from", "near").alias("to")),
+            both.groupBy(F.col("a").alias("from")).agg(near.alias("near"))
+            .select("from", F.least("near", own)["node"].alias("to")),
             "parents",
         )
-        out = out.join(parent, out["label"] == parent["from"], "left").select(
-            "node", F.coalesce("to", "label").alias("label")
+        out = materialize(
+            out.join(parent, out["label"] == parent["from"], "left").select(
+                "node", F.coalesce("to", "label").alias("label")
+            ),
+            "components",
         )
         first = parent.select(F.col("from").alias("a"), F.col("to").alias("x"))
         second = parent.select(F.col("from").alias("b"), F.col("to").alias("y"))
         drawn = left.join(first, "a").join(second, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         left = materialize(drawn.mapInArrow(_local_forest, "a long, b long"), "edges")
-    return materialize(out, "components")
+        step += 1
+    return out if step else materialize(out, "components")
