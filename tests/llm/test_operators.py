@@ -383,7 +383,7 @@ def test_factorisation_machine_margin_is_the_pairwise_sum():
     got = m.margin(Inputs(index, value, np.array([0, 5, 12])))
     for k, (lo, hi) in enumerate([(0, 5), (5, 12)]):
         want = 0.3 + sum(m.weights[index[i]] * value[i] for i in range(lo, hi))
-        want += sum(m.vectors[index[i]] @ m.vectors[index[j]] * value[i] * value[j] for i in range(lo, hi) for j in range(i))
+        want += sum(m.vectors[index[i]] @ m.vectors[index[j]] * value[i] * value[j] for i in range(lo, hi) for j in range(lo, i))
         assert got[k] == pytest.approx(want, rel=1e-4)
 
 

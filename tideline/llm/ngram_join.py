@@ -57,7 +57,7 @@ _SEED = 53
 _SKETCH_BITS = 24
 _SLICES = 64
 _LIST = 64
-_MATRIX = 4096
+_MATRIX = 1024
 _ROWS = 1024
 _COLUMNS = 4096
 
@@ -142,7 +142,7 @@ def _rows(size: int, levels, buckets: int, doc_type: pa.DataType):
         edge = np.array([k * step for k in range(1, buckets)], np.uint64)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in packs(offsets, 4 << 20):
+            for lo, hi in packs(offsets, 2 << 20):
                 part = lower_ascii(data[offsets[lo] : offsets[hi]])
                 sets, first = shingle_sets(part, offsets[lo : hi + 1] - offsets[lo], hasher, size)
                 n = np.diff(first)

@@ -1,6 +1,6 @@
 """Words, windows and their hashes over a run of documents held as one byte array.
 
-Inside a task, documents are taken in packs of about two megabytes: the bytes
+Inside a task, documents are taken in packs of about one megabyte: the bytes
 of their texts lie in one array, so words are found and hashed by a few array
 operations for all of them. A word is a maximal run of bytes of a class; both
 classes used here hold every byte above 0x7F, so UTF-8 letters stay whole.
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PACK_BYTES = 2 << 20
+PACK_BYTES = 1 << 20
 
 _SPACES = [0x20, *range(0x09, 0x0E)]
 
