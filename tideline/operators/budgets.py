@@ -2,142 +2,121 @@
 
 A call is admitted if fewer than ``max_calls`` admitted calls of its key lie
 within the window before it; refused calls leave no trace. That last clause
-makes the log sequential per key, so a range window cannot express it.
+makes the log sequential, so a range window cannot express it. But a pause
+longer than the window clears it: between pauses a key falls into pieces that
+do not depend on each other.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterable, Iterator
-from itertools import groupby
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.prefix import hot_groups, integer_cells, running
-from tideline.session import scratch_path
+from tideline.operators.prefix import group_key
 
 DETAIL = ("key", "ts_us", "event_id")
 
 
-class CallLog:
-    """Admitted times of one key, never more than ``max_calls`` of them."""
+class AdmittedRing:
+    """The last ``size`` admitted times, the oldest at the cursor.
 
-    def __init__(self, max_calls: int, window_us: int, hits: Iterable[int] = ()):
-        self.max_calls, self.window_us = max_calls, window_us
-        self.hits = deque(hits)
+    The oldest of them alone decides: while it lies inside the window, all of
+    them do.
+    """
+
+    def __init__(self, size: int, window_us: int, times: list[int] | None = None):
+        self.window_us = window_us
+        self.slots: list[int | None] = [None] * size
+        self.cursor = 0
+        for t in times or ():
+            self._store(t)
+
+    def _store(self, t: int) -> None:
+        self.slots[self.cursor] = t
+        self.cursor = (self.cursor + 1) % len(self.slots)
 
-    def allow(self, now: int) -> bool:
-        while self.hits and now - self.hits[0] > self.window_us:
-            self.hits.popleft()
-        admitted = len(self.hits) < self.max_calls
-        if admitted:
-            self.hits.append(now)
-        return admitted
+    def offer(self, t: int) -> bool:
+        if not self.slots:
+            return False
+        oldest = self.slots[self.cursor]
+        if oldest is not None and t - oldest <= self.window_us:
+            return False
+        self._store(t)
+        return True
+
+    def times(self) -> list[int]:
+        """Admitted times from old to new."""
+        turned = self.slots[self.cursor :] + self.slots[: self.cursor]
+        return [t for t in turned if t is not None]
 
 
 def _fold(max_calls: int, window_us: int):
-    """A batch function over rows sorted by (key, ts_us, event_id).
+    """A batch function over rows sorted by (key, piece, ts_us, event_id).
 
-    Batches stream through; only the log of the current key is held. A row may
-    bring the hits its key starts from, in ``entry``.
+    Batches stream through; only the ring of the current piece is held. The
+    head of a piece shorter than the ring is admitted without a look.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, log = object(), None
+        last, ring = None, AdmittedRing(max_calls, window_us)
         for batch in batches:
-            table = pa.table(batch)
-            keys = table["key"].to_pylist()
-            times = table["ts_us"].to_pylist()
-            entries = table["entry"] if "entry" in table.column_names else None
-            flags, at = [], 0
-            for key, rows in groupby(keys):
-                if key != current:
-                    hits = entries[at].as_py() if entries is not None else None
-                    current, log = key, CallLog(max_calls, window_us, hits or ())
-                for _ in rows:
-                    flags.append(log.allow(times[at]))
-                    at += 1
-            out = table.select(list(DETAIL)).append_column("admitted", pa.array(flags, pa.bool_()))
-            yield from out.to_batches()
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = batch.column("key").dictionary_encode(null_encoding="encode").indices
+            code = codes.to_numpy(zero_copy_only=False)
+            piece = batch.column("piece").to_numpy()
+            times = batch.column("ts_us").to_numpy()
+            fresh = np.ones(n, np.bool_)
+            fresh[1:] = (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])
+            fresh[0] = last != (batch.column("key")[0].as_py(), int(piece[0]))
+            start = np.flatnonzero(np.concatenate([[True], fresh[1:]]))
+            end = np.append(start[1:], n)
+            flags = np.ones(n, np.bool_)
+            whole = fresh[start] & (end - start <= max_calls)
+            whole[-1] = False  # the next batch may go on with it
+            for lo, hi in zip(start[~whole].tolist(), end[~whole].tolist(), strict=True):
+                if fresh[lo]:
+                    ring = AdmittedRing(max_calls, window_us)
+                flags[lo:hi] = [ring.offer(t) for t in times[lo:hi].tolist()]
+            last = (batch.column("key")[n - 1].as_py(), int(piece[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in DETAIL), pa.array(flags)], names=[*DETAIL, "admitted"]
+            )
 
     return run
 
 
-def _folded(calls: DataFrame, max_calls: int, window_us: int) -> DataFrame:
-    kinds = dict(calls.dtypes)
-    schema = f"key {kinds['key']}, ts_us bigint, event_id {kinds['event_id']}, admitted boolean"
-    ordered = calls.repartition("key").sortWithinPartitions(*DETAIL)
-    return ordered.mapInArrow(_fold(max_calls, window_us), schema)
-
-
-def call_budget(
-    calls: DataFrame, *, max_calls: int, window_us: int, max_rows: int = 50_000_000
-) -> DataFrame:
+def call_budget(calls: DataFrame, *, max_calls: int, window_us: int) -> DataFrame:
     """Add ``admitted`` to calls (key, ts_us, event_id).
 
-    Keys are folded side by side, each streaming through one task. A key with
-    more than ``max_rows`` calls is cut into time slabs of at most about that
-    size; the slabs run one after another for all such keys together, handing
-    on the few admitted times still inside the window. Each slab's rows and
-    log are written to the shared folder, so a lost executor costs one slab.
+    Time is cut into cells longer than the window. A cell without a call of a
+    key is a pause that clears the key's log, so runs of neighbouring cells are
+    independent pieces, and each streams through one task. Only (key, cell)
+    pairs are looked at to find the runs, never the calls of a key together; a
+    null key is a key like any other.
     """
-    calls = calls.select(*DETAIL)
-    hot = hot_groups(calls, ["key"], max_rows)
-    if hot is None:
-        return _folded(calls, max_calls, window_us)
-
-    hot_keys = F.broadcast(hot)
-    cold = calls.join(hot_keys, "key", "left_anti")
-    settled = _folded(cold, max_calls, window_us)
-
-    second = F.shiftright("ts_us", 20)
-    hot_calls = calls.join(hot_keys, "key").withColumn("_cell", second)
-    cells = hot_calls.groupBy("key", "_cell").agg(F.count("*").alias("_n"))
-    placed = running(
-        cells, groups=["key"], cells=integer_cells(F.col("_cell"), (12,)), order=["_cell"], sums=["_n"]
-    )
-    slabs = placed.select(
-        "key", "_cell", F.floor(F.col("_n_before") / max_rows).cast("int").alias("_slab")
-    )
-    spark = calls.sparkSession
-    path = scratch_path(spark, "call-slabs")
-    hot_calls.join(slabs, ["key", "_cell"]).drop("_cell").write.partitionBy("_slab").parquet(path)
-    stored = spark.read.parquet(path)
-    last = stored.agg(F.max("_slab")).first()[0]
-    kind = dict(calls.dtypes)["key"]
-    state = None
-    for slab in range(last + 1):
-        rows = stored.where(F.col("_slab") == slab).drop("_slab")
-        if state is not None:
-            # one row per hot key, at most max_calls times each
-            rows = rows.join(F.broadcast(state), "key", "left")
-        out = f"{path}-out/{slab}"
-        _folded(rows, max_calls, window_us).write.parquet(out)
-        done = spark.read.schema(settled.schema).parquet(out)
-        state = _carry(done, state, window_us, f"{path}-state/{slab}", kind)
-    return settled.unionByName(spark.read.schema(settled.schema).parquet(f"{path}-out/*"))
-
-
-def _carry(
-    done: DataFrame, state: DataFrame | None, window_us: int, path: str, kind: str
-) -> DataFrame:
-    """Admitted times that can still matter after a slab, per key."""
-    admitted = done.where("admitted").select("key", "ts_us")
-    ends = done.groupBy("key").agg(F.max("ts_us").alias("_end"))
-    if state is not None:
-        older = state.select("key", F.explode("entry").alias("ts_us"))
-        admitted = admitted.unionByName(older)
-    # inside one window at most max_calls were admitted, so the list is bounded
-    kept = (
-        admitted.join(ends, "key", "left")
-        .where(F.col("_end").isNull() | (F.col("_end") - F.col("ts_us") <= window_us))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list("ts_us")).alias("entry"))
+    kinds = dict(calls.dtypes)
+    cell = F.shiftright("ts_us", int(window_us).bit_length())
+    rows = calls.select(*DETAIL).withColumns({"_key": group_key(["key"]), "_cell": cell})
+    ordered = Window.partitionBy("_key").orderBy("_cell")
+    before = F.lag("_cell").over(ordered)
+    opens = F.when(before.isNull() | (F.col("_cell") - before > 1), F.col("_cell"))
+    pieces = (
+        rows.select("_key", "_cell").distinct()
+        .withColumn("_opens", opens)
+        .select("_key", "_cell", F.last("_opens", ignorenulls=True).over(ordered).alias("piece"))
+    )
+    placed = rows.join(pieces, ["_key", "_cell"]).select(*DETAIL, "piece")
+    sorted_calls = placed.repartition("key", "piece").sortWithinPartitions(
+        "key", "piece", "ts_us", "event_id"
     )
-    kept.write.parquet(path)
-    return kept.sparkSession.read.schema(f"key {kind}, entry array<bigint>").parquet(path)
+    schema = f"key {kinds['key']}, ts_us bigint, event_id {kinds['event_id']}, admitted boolean"
+    return sorted_calls.mapInArrow(_fold(max_calls, window_us), schema)
 
 
 def budget_report(budget: DataFrame, window_us: int) -> DataFrame:

@@ -10,10 +10,7 @@ from tideline.plans.stateful import _EVENTS_SQL, BUDGET_SQL, KINDS, MAX_CALLS, W
 from tideline.plans.tables import table
 from tideline.plans.text_queries import redact_sql
 from tideline.streaming.folds import call_budget_stream, redact_stream, session_profile_stream
-from tideline.streaming.run import read_files, run_available
-
-# What the watermark has passed once all files are read.
-_PASSED = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events) * 1000"
+from tideline.streaming.run import Closing, read_files, run_available
 
 
 def _stream(spark, sf_dir, name):
@@ -31,15 +28,15 @@ def redact_stream_query(spark, sf_dir):
 
 @query(
     "call_budget_stream",
-    f"""WITH RECURSIVE {BUDGET_SQL} SELECT key, ts_us, event_id, admitted FROM log
-    WHERE ts_us <= {_PASSED}""",
+    f"WITH RECURSIVE {BUDGET_SQL} SELECT key, ts_us, event_id, admitted FROM log",
 )
 def call_budget_stream_query(spark, sf_dir):
-    calls = _stream(spark, sf_dir, "events").select(
+    closing = Closing(spark, table(spark, sf_dir, "events").schema)
+    calls = closing.added_to(_stream(spark, sf_dir, "events")).select(
         F.col("user_id").alias("key"), "ts", "event_id"
     )
     return run_available(
-        call_budget_stream(calls, max_calls=MAX_CALLS, window_us=WINDOW_US), "budget"
+        call_budget_stream(calls, max_calls=MAX_CALLS, window_us=WINDOW_US), "budget", closing=closing
     )
 
 
@@ -50,17 +47,17 @@ def _profile_sql() -> str:
     )
     return f"""WITH {_EVENTS_SQL} SELECT session_id AS key, ts_us, event_id,
       array_to_string([x for x in [{facts}] if x IS NOT NULL], ', ') AS profile FROM f
-    WHERE ts_us <= {_PASSED}
     WINDOW w AS (PARTITION BY session_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
 @query("session_profile_stream", _profile_sql())
 def session_profile_stream_query(spark, sf_dir):
-    turns = _stream(spark, sf_dir, "events").select(
+    closing = Closing(spark, table(spark, sf_dir, "events").schema)
+    turns = closing.added_to(_stream(spark, sf_dir, "events")).select(
         F.col("user_id").alias("key"),
         "ts",
         "event_id",
         F.create_map(F.col("event_type"), F.get_json_object("props", "$.k")).alias("facts"),
     )
-    rows = run_available(session_profile_stream(turns), "profiles")
+    rows = run_available(session_profile_stream(turns), "profiles", closing=closing)
     return rows.withColumn("profile", facts_text(F.col("profile")))

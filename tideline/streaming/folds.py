@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.redaction import redact
-from tideline.operators.budgets import CallLog
+from tideline.operators.budgets import AdmittedRing
 from tideline.streaming.ordered import OrderedFold, fold_stream
 
 
@@ -23,9 +23,9 @@ class BudgetFold(OrderedFold):
         return []
 
     def step(self, carry, ts_us, event_id, body):
-        log = CallLog(*self._limits, carry)
-        admitted = log.allow(ts_us)
-        return list(log.hits), admitted
+        ring = AdmittedRing(*self._limits, carry)
+        admitted = ring.offer(ts_us)
+        return ring.times(), admitted
 
 
 class ProfileFold(OrderedFold):

@@ -16,13 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_HELD = T.StructType(
-    [
-        T.StructField("ts_us", T.LongType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("body", T.StringType()),
-    ]
-)
+SLOT_US = 60_000_000  # held rows lie in slots of a minute
+
+_SLOT = T.StructType([T.StructField("slot", T.LongType())])
+_HELD = T.StructType([T.StructField("rows", T.StringType())])
 _CARRY = T.StructType([T.StructField("carry", T.StringType())])
 
 
@@ -37,7 +34,8 @@ class OrderedFold(StatefulProcessor):
 
     Subclasses say how a carry and one row give a new carry and an output.
     The held rows of a key are bounded by the watermark delay, the carry by
-    the subclass.
+    the subclass. Rows are held by slots of time, so a batch writes only the
+    slots it adds to, and a timer reads only slots that are due.
     """
 
     def start(self):
@@ -48,38 +46,38 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getListState("held", _HELD)
+        self._held = handle.getMapState("held", _SLOT, _HELD)
         self._carry = handle.getValueState("carry", _CARRY)
 
+    def _hold(self, slot: int, rows: list) -> None:
+        self._held.updateValue((slot,), (json.dumps(rows),))
+        self._handle.registerTimer(_timer(min(r[0] for r in rows)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        soonest = None
+        added: dict[int, list] = {}
         for batch in rows:
-            if batch.empty:
-                continue
-            self._held.appendList(
-                [
-                    (int(t), int(e), b)
-                    for t, e, b in zip(batch["ts_us"], batch["event_id"], batch["body"])
-                ]
-            )
-            first = int(batch["ts_us"].min())
-            soonest = first if soonest is None else min(soonest, first)
-        if soonest is not None:
-            self._handle.registerTimer(_timer(soonest))
+            for t, e, b in zip(batch["ts_us"], batch["event_id"], batch["body"]):
+                row = [int(t), None if pd.isna(e) else int(e), b]
+                added.setdefault(row[0] // SLOT_US, []).append(row)
+        for slot, new in added.items():
+            old = json.loads(self._held.getValue((slot,))[0]) if self._held.containsKey((slot,)) else []
+            self._hold(slot, old + new)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self._held.get()]
-        due = sorted(r for r in held if r[0] <= limit)
-        rest = [r for r in held if r[0] > limit]
-        if rest:
-            self._held.put(rest)
-            self._handle.registerTimer(_timer(min(r[0] for r in rest)))
-        else:
-            self._held.clear()
+        due = []
+        for slot in sorted(k[0] for k in self._held.keys()):
+            if slot * SLOT_US > limit:
+                break
+            rows = json.loads(self._held.getValue((slot,))[0])
+            due += [r for r in rows if r[0] <= limit]
+            self._held.removeKey((slot,))
+            if rest := [r for r in rows if r[0] > limit]:
+                self._hold(slot, rest)
         if not due:
             return
+        due.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or ""))
         carry = json.loads(self._carry.get()[0]) if self._carry.exists() else self.start()
         out = []
         for ts_us, event_id, body in due:

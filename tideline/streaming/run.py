@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.session import scratch_path
@@ -25,17 +27,50 @@ def read_files(
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+class Closing:
+    """A second input of a stream that ends it.
+
+    Rows wait for a watermark that only newer rows move. When the input is
+    known to have ended, one row of a far future time lets the watermark pass
+    everything held; that row itself, of plain values, is never passed. Its
+    columns must be numbers, text and flags.
+    """
+
+    def __init__(self, spark: SparkSession, schema):
+        self.schema = schema
+        self.folder = scratch_path(spark, "closing")
+        spark.createDataFrame([], schema).write.parquet(self.folder)
+
+    def added_to(self, stream: DataFrame) -> DataFrame:
+        """The stream with the closing input; call it before the watermark is set."""
+        closing = stream.sparkSession.readStream.schema(self.schema).parquet(self.folder)
+        return stream.unionByName(closing.select(*stream.columns))
+
+    def close(self, spark: SparkSession, time_column: str) -> None:
+        far = datetime.datetime(2200, 1, 1)  # nanoseconds end in 2262
+        plain = {"string": "", "double": 0.0, "float": 0.0, "boolean": False}
+        row = [
+            far if f.name == time_column else plain.get(f.dataType.simpleString(), 0)
+            for f in self.schema
+        ]
+        spark.createDataFrame([row], self.schema).write.mode("append").parquet(self.folder)
+
+
+def run_available(
+    stream: DataFrame, name: str, *, closing: Closing | None = None, time_column: str = "ts"
+) -> DataFrame:
     """Process all available files with a checkpoint and return the sink's rows.
 
     Sink and checkpoint lie in the shared folder; a restarted query goes on
-    from its checkpoint and writes each row once.
+    from its checkpoint and writes each row once. With ``closing`` the query is
+    started again after the last file, and the rows still held are folded too.
     """
     spark = stream.sparkSession
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     path = scratch_path(spark, name)
-    try:
+
+    def run() -> None:
         running = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -45,6 +80,12 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
             .start()
         )
         running.awaitTermination()
+
+    try:
+        run()
+        if closing is not None:
+            closing.close(spark, time_column)
+            run()
     finally:
         if before is None:
             spark.conf.unset(_PROVIDER)
