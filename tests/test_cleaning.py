@@ -68,7 +68,7 @@ def test_blank_total_outside_the_guard_raises(spark, check):
 
 def test_text_that_is_no_number_raises(spark):
     df = raw(spark, [("a", 0, 5, "many", "x")])
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="no number"):
         C.coerce_numeric_with_rule(df, "Total_Charges", F.col("tenure") == 0).collect()
 
 
@@ -114,3 +114,19 @@ def test_written_copy_reads_back(spark, tmp_path, kind):
     back = read_profiles(spark, path, shape=(2, 2))
     assert sorted(map(tuple, back.collect())) == [("a", " x "), ("b", "\ty")]
     assert tuple(row_count(back).first()) == (2, 2)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_text_that_is_no_number_raises_with_and_without_ansi(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([("abc", 1), (" 2.5 ", 2)], "total string, tenure int")
+        guard = F.col("tenure") == 0
+        bad = C.coerce_numeric_with_rule(df, "total", guard, check=False)
+        with pytest.raises(Exception, match="no number"):
+            bad.collect()
+        good = C.coerce_numeric_with_rule(df.where("tenure = 2"), "total", guard)
+        assert good.first()["total"] == 2.5
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

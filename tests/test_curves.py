@@ -128,12 +128,11 @@ def test_running_sums_and_carried_values(spark):
     assert out.columns == ["g", "v", "n", "s", "n_before", "s_carried"]
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_nearest_rank_and_median(spark, few):
+def test_nearest_rank_and_median(spark):
     rng = random.Random(3)
     values = [("a", rng.gauss(0, 50)) for _ in range(101)] + [("b", 4.0)] * 40 + [("b", 5.0)] * 41 + [("c", None)] + [(None, 7.0)]
     df = spark.createDataFrame(values, "g string, v double")
-    found = {r.g: r for r in nearest_rank(df, "v", {"p": 0.95}, ["g"], few_groups=few).collect()}
+    found = {r.g: r for r in nearest_rank(df, "v", {"p": 0.95}, ["g"]).collect()}
     a = sorted(v for g, v in values if g == "a")
     assert found["a"].p == a[min(round(0.95 * 100), 100)] and found["b"].p == 5.0 and "c" not in found
     assert found[None].p == 7.0
@@ -141,11 +140,10 @@ def test_nearest_rank_and_median(spark, few):
     assert middle["a"] == a[50] and middle["b"] == 5.0
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_half_index_rounds_to_even(spark, few):
+def test_half_index_rounds_to_even(spark):
     df = spark.createDataFrame([(float(i),) for i in range(6)], "v double")
     # 0.5 * 5 = 2.5 rounds to 2, 0.3 * 5 = 1.5 rounds to 2
-    found = nearest_rank(df, "v", {"a": 0.5, "b": 0.3}, few_groups=few).first()
+    found = nearest_rank(df, "v", {"a": 0.5, "b": 0.3}).first()
     assert tuple(found)[1:] == (2.0, 2.0)
 
 
@@ -202,3 +200,15 @@ def test_slot_accuracy_counts_slots_not_cases(spark):
     row = slot_accuracy(df).first()
     assert (row.slots, row.hits, row.correct_cases) == (3, 2, 2)
     assert (row.slot_accuracy, row.case_accuracy) == (0.6667, 0.5)
+
+
+def test_infinities_and_nan_have_their_own_places(spark):
+    inf = float("inf")
+    rows = [(inf, 1), (0.5, 1), (0.2, 0), (-inf, 0), (0.5, 0)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    found = U.curve_metrics(df, "p", "y").first()
+    assert found["roc_auc"] == pytest.approx((3 + 2.5) / 6)
+    values = spark.createDataFrame([(v,) for v in (inf, 1.0, -inf, 2.0, float("nan"))], "v double")
+    got = nearest_rank(values, "v", {"low": 0.0, "mid": 0.5, "high": 0.75, "top": 1.0}).first()
+    assert (got["low"], got["mid"], got["high"]) == (-inf, 2.0, inf)
+    assert got["top"] != got["top"]

@@ -34,11 +34,10 @@ def admitted(rows, max_calls, window):
     return out
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 40, 7])
-def test_budget_equals_a_plain_loop(spark, max_rows):
+def test_budget_equals_a_plain_loop(spark):
     rows = make_calls()
     df = spark.createDataFrame(rows, "key long, ts_us long, event_id long")
-    out = B.call_budget(df, max_calls=3, window_us=90 * SECOND, max_rows=max_rows).collect()
+    out = B.call_budget(df, max_calls=3, window_us=90 * SECOND).collect()
     assert {r.event_id: r.admitted for r in out} == admitted(rows, 3, 90 * SECOND)
     assert len(out) == len(rows)
 
@@ -62,11 +61,10 @@ def facts_frame(spark, n=500, seed=3):
     return rows, spark.createDataFrame(rows, "sid string, ts long, id long, a string, b string, reset boolean")
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 100, 1])
-def test_session_profile_equals_a_plain_loop(spark, max_rows):
+def test_session_profile_equals_a_plain_loop(spark):
     rows, df = facts_frame(spark)
     out = S.session_profile(
-        df, session=["sid"], order=["ts", "id"], facts={"A": F.col("a"), "B": F.col("b")}, max_rows=max_rows
+        df, session=["sid"], order=["ts", "id"], facts={"A": F.col("a"), "B": F.col("b")}
     )
     found = {r.id: (r.A, r.B) for r in out.collect()}
     state, expected = {}, {}
@@ -79,10 +77,9 @@ def test_session_profile_equals_a_plain_loop(spark, max_rows):
     assert {r.sid: (r.A, r.B) for r in final.collect()} == state
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 1])
-def test_epochs_count_resets(spark, max_rows):
+def test_epochs_count_resets(spark):
     rows, df = facts_frame(spark, seed=4)
-    out = S.session_epochs(df, session=["sid"], order=["ts", "id"], reset=F.col("reset"), max_rows=max_rows)
+    out = S.session_epochs(df, session=["sid"], order=["ts", "id"], reset=F.col("reset"))
     seen, expected = {}, {}
     for sid, _, i, _, _, reset in sorted(rows, key=lambda r: (r[1], r[2])):
         seen[sid] = seen.get(sid, 0) + reset
@@ -116,9 +113,8 @@ def turn_frame(spark):
     )
 
 
-@pytest.mark.parametrize("max_rows", [1000, 3])
-def test_turns_are_judged_and_refused_ones_leave_no_trace(spark, max_rows):
-    rows = process_turns(turn_frame(spark), max_rows=max_rows).withColumn("text", S.facts_text(F.col("profile"))).collect()
+def test_turns_are_judged_and_refused_ones_leave_no_trace(spark):
+    rows = process_turns(turn_frame(spark)).withColumn("text", S.facts_text(F.col("profile"))).collect()
     found = {(r.session_id, r.turn): (r.status, r.bad_feature, r.text) for r in rows}
     assert found == {(t[0], t[1]): tuple(t[6:]) for t in TURNS}
     assert read_turns(turn_frame(spark)).where("status <> 'ok' and facts is not null").isEmpty()
@@ -191,3 +187,17 @@ def test_stream_messages_are_scrubbed(spark, tmp_path):
     spark.createDataFrame([("mail a@b.org",), ("fine",)], "text string").write.parquet(path)
     out = run_available(redact_stream(read_files(spark, path, "text string")), "t")
     assert sorted(r.text for r in out.collect()) == ["fine", "mail [EMAIL]"]
+
+
+def test_budget_of_null_keys_busy_keys_and_pauses(spark):
+    """A busy key without a pause, a null key, and pauses just at the window."""
+    rows = [(None if k % 3 else 7, k * 10 * SECOND, k) for k in range(400)]
+    rows += [(8, k * 60 * SECOND + (k % 2), 1000 + k) for k in range(50)]
+    df = spark.createDataFrame(rows, "key long, ts_us long, event_id long").repartition(3)
+    out = {r.event_id: r.admitted for r in B.call_budget(df, max_calls=2, window_us=60 * SECOND).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        want |= admitted([(0, t, e) for k, t, e in rows if k == key], 2, 60 * SECOND)
+    assert out == want
+    none = B.call_budget(df, max_calls=0, window_us=60 * SECOND)
+    assert none.where("admitted").isEmpty() and none.count() == len(rows)

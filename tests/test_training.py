@@ -103,7 +103,7 @@ def test_trials_are_seeded_and_within_their_ranges():
 
 
 def test_protocol_compares_three_models_and_keeps_its_records(bundle, people):
-    assert [c["model"] for c in bundle.comparison].sort() == list(M.MODELS).sort()
+    assert sorted(c["model"] for c in bundle.comparison) == sorted(M.MODELS)
     assert len(bundle.comparison) == 3
     best = max(bundle.comparison, key=lambda c: c["mean_pr_area"])
     assert bundle.metadata["selected_model"] == best["model"]

@@ -82,9 +82,12 @@ def coerce_numeric_with_rule(
         broken = rule_violations(df, column, guard).first()["violations"]
         if broken:
             raise ValueError(f"{broken} blank {column} row(s) violate the blank-row rule")
+    text = strip(F.col(column).cast("string"))
+    number = text.try_cast("double")
+    unreadable = F.raise_error(F.concat(F.lit(f"{column} is no number: "), text)).cast("double")
     return df.withColumn(
         column,
-        F.when(~blank(F.col(column)), strip(F.col(column)).cast("double"))
+        F.when(~blank(F.col(column)), F.coalesce(number, unreadable))
         .when(guard, F.lit(0.0))
         .otherwise(
             F.raise_error(F.lit(f"blank {column} row violates the blank-row rule")).cast("double")

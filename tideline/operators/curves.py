@@ -162,7 +162,7 @@ def select_operating_point(
     """The single operating point; an unattainable floor is an error."""
     point = operating_points(df, score, label, precision_floor=precision_floor).first()
     if point is None:
-        raise ValueError(f"precision floor {precision_floor:.2f} unattainable on this score curve")
+        raise ValueError(f"no threshold reaches a precision of {precision_floor:.2f} (unattainable)")
     return point
 
 

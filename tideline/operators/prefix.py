@@ -40,18 +40,22 @@ def value_cells(value: Column) -> list[Column]:
     They come from the exponent and the leading mantissa bits, so any
     distribution spreads: a fine cell covers a relative width of 1e-6, and yet
     there are few of them next to billions of values. Unlike sampled cut points
-    they are the same in every run and on every retry.
+    they are the same in every run and on every retry. Both infinities and NaN,
+    which sorts last, have cells of their own beyond all numbers.
     """
-    size = F.abs(value)
+    nan, infinite = F.isnan(value), F.abs(value) == float("inf")
+    number = F.when(nan | infinite, F.lit(1.0)).otherwise(value)
+    size = F.abs(number)
     exponent = F.floor(F.log2(size))
     mantissa = size * F.pow(F.lit(2.0), -exponent) - 1.0
     place = mantissa * F.lit(float(_COARSE))
-    sign = F.signum(value)
+    sign = F.signum(number)
     tiny = size < 1e-300
-    coarse = F.when(tiny, F.lit(0)).otherwise(
+    outside = F.when(nan, F.lit(1 << 41)).when(infinite, F.signum(value) * F.lit(1 << 40))
+    coarse = F.when(nan | infinite, outside).when(tiny, F.lit(0)).otherwise(
         sign * ((exponent + 1100) * _COARSE + F.floor(place))
     )
-    fine = F.when(tiny, F.lit(0)).otherwise(
+    fine = F.when(nan | infinite | tiny, F.lit(0)).otherwise(
         sign * F.floor((place - F.floor(place)) * F.lit(float(_FINE)))
     )
     return [_never_null(coarse), _never_null(fine)]
@@ -158,13 +162,3 @@ def one_row(df: DataFrame) -> Column:
     the scalar itself would plan the subquery again.
     """
     return df.select(F.struct(*df.columns)).scalar()
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
-    """Groups with more than ``max_rows`` rows, or None if there are none.
-
-    One count of the key columns alone. Fewer than rows / max_rows groups can
-    be that large, so the list is small enough to broadcast.
-    """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
-    return None if large.isEmpty() else large.select(*keys)

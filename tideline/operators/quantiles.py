@@ -7,33 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.prefix import attach_totals, group_key, running, value_cells
-
-
-def _counted(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    """Distinct values with their count, the count below, and the group size."""
-    groups = list(groups)
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias(value))
-        .agg(F.count("*").alias("_n"))
-    )
-    sizes = distinct.groupBy(*groups).agg(F.sum("_n").alias("_size"))
-    placed = running(
-        distinct, groups=groups, cells=value_cells(F.col(value)), order=[value], sums=["_n"]
-    )
-    return attach_totals(placed, sizes, groups)
+from tideline.operators.prefix import group_key, running, value_cells
 
 
 def _counted_near(
     df: DataFrame, value: str, groups: Sequence[str], indexes: Sequence[Column]
 ) -> DataFrame:
-    """The same, for the cells alone that hold one of the wanted indexes.
+    """Distinct values with their count, the count below, and the group size,
+    for the cells alone that hold one of the wanted indexes.
 
     The first pass counts rows per coarse cell, so a few thousand counts per
     group are shuffled. Only the values of the cells found, about one in a
-    thousand, are shuffled and sorted in the second. For few groups: the list
-    of wanted cells, one or two per group and index, is broadcast.
+    thousand, are shuffled and sorted in the second. Whether the wanted cells,
+    one or two per group and index, are broadcast is left to their size.
     """
     groups = list(groups)
     coarse, fine = value_cells(F.col(value))
@@ -60,7 +46,7 @@ def _counted_near(
     )
     distinct = (
         known.withColumn("_cell", group_key([*groups, "_c"]))
-        .join(F.broadcast(wanted), "_cell")
+        .join(wanted, "_cell")
         .groupBy(*groups, "_c", "_size", "_skip", value)
         .agg(F.count("*").alias("_n"))
     )
@@ -78,19 +64,13 @@ def nearest_rank(
     value: str,
     probs: dict[str, float],
     groups: Sequence[str] = (),
-    *,
-    few_groups: bool = False,
 ) -> DataFrame:
     """The sorted value at index min(round_half_even(q * (n - 1)), n - 1)."""
     last = F.col("_size") - 1
     index = {
         name: F.least(F.bround(F.lit(q) * last, 0).cast("long"), last) for name, q in probs.items()
     }
-    counted = (
-        _counted_near(df, value, groups, list(index.values()))
-        if few_groups
-        else _counted(df, value, groups)
-    )
+    counted = _counted_near(df, value, groups, list(index.values()))
     return counted.groupBy(*groups).agg(
         F.max("_size").alias("samples"), *[_at(value, i).alias(n) for n, i in index.items()]
     )
@@ -101,8 +81,6 @@ def interpolated(
     value: str,
     probs: dict[str, float],
     groups: Sequence[str] = (),
-    *,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Linear interpolation between the two neighbouring sorted values."""
     position = {name: F.lit(q) * (F.col("_size") - 1) for name, q in probs.items()}
@@ -115,9 +93,7 @@ def interpolated(
             _at(value, high).alias(f"_{name}_high"),
             F.max(at - low).alias(f"_{name}_part"),
         ]
-    counted = (
-        _counted_near(df, value, groups, indexes) if few_groups else _counted(df, value, groups)
-    )
+    counted = _counted_near(df, value, groups, indexes)
     return counted.groupBy(*groups).agg(*picks).select(
         *groups,
         *[
@@ -140,9 +116,8 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], kind: st
 def medians(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """One row per (group, feature) with the exact median, nulls ignored.
 
-    Groups are labels or folds here, so there are few of them.
     """
     long = unpivot(df, groups, columns, "double")
     return interpolated(
-        long, "value", {"median": 0.5}, [*groups, "feature"], few_groups=True
+        long, "value", {"median": 0.5}, [*groups, "feature"]
     )

@@ -2,73 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from tideline.operators.prefix import hot_groups, integer_cells, running
-
-Step = Callable[[DataFrame], DataFrame]
+from tideline.operators.prefix import integer_cells, running
 
 TIME_SHIFTS = (42, 32)  # cells of about 51 days and 71 minutes in microseconds
 
 
-MAX_ROWS = 2_000_000  # turns of one session that a single task may order
-
-
-def by_length(
-    turns: DataFrame, session: Sequence[str], max_rows: int, short: Step, long: Step
-) -> DataFrame:
-    """``short`` for sessions one task can order, ``long`` for the others.
-
-    The short form needs a single shuffle and reads its input once; the long
-    one spreads a session over many tasks and reads it twice.
-    """
-    hot = hot_groups(turns, session, max_rows)
-    if hot is None:
-        return short(turns)
-    listed = F.broadcast(hot)
-    return short(turns.join(listed, list(session), "left_anti")).unionByName(
-        long(turns.join(listed, list(session), "left_semi"))
-    )
-
-
-def upto_now(session: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    ordered = Window.partitionBy(*session).orderBy(*order)
-    return ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def profile_steps(
-    session: Sequence[str],
-    order: Sequence[str],
-    facts: Mapping[str, Column],
-    shifts: Sequence[int] = TIME_SHIFTS,
-) -> tuple[Step, Step]:
-    """The short and the long form of ``session_profile``."""
-    names = {f: f"_f{i}" for i, f in enumerate(facts)}
-    stated = {names[f]: value for f, value in facts.items()}
-
-    def short(rows: DataFrame) -> DataFrame:
-        now = upto_now(session, order)
-        latest = {f: F.last(n, ignorenulls=True).over(now) for f, n in names.items()}
-        return rows.withColumns(stated).withColumns(latest).drop(*stated)
-
-    def long(rows: DataFrame) -> DataFrame:
-        carried = running(
-            rows.withColumns(stated),
-            groups=session,
-            cells=integer_cells(F.col(order[0]), shifts),
-            order=order,
-            lasts=list(stated),
-        )
-        latest = {f: F.col(f"{n}_carried") for f, n in names.items()}
-        return carried.withColumns(latest).drop(*stated, *[f"{n}_carried" for n in stated])
-
-    return short, long
-
-
 def session_profile(
     turns: DataFrame,
     *,
@@ -76,15 +19,23 @@ def session_profile(
     order: Sequence[str],
     facts: Mapping[str, Column],
     shifts: Sequence[int] = TIME_SHIFTS,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Per turn, the latest value of every feature stated so far in its session.
 
     A later value replaces an earlier one; silence keeps it. ``order`` starts
-    with an integer (a time or a turn number) whose shifts cut a long session
-    into cells, so one endless session is spread over many tasks.
+    with an integer (a time or a turn number) whose shifts cut every session
+    into cells, so sessions of any length take the same plan.
     """
-    return by_length(turns, session, max_rows, *profile_steps(session, order, facts, shifts))
+    stated = {f"_f{i}": value for i, value in enumerate(facts.values())}
+    carried = running(
+        turns.withColumns(stated),
+        groups=session,
+        cells=integer_cells(F.col(order[0]), shifts),
+        order=order,
+        lasts=list(stated),
+    )
+    latest = {f: F.col(f"_f{i}_carried") for i, f in enumerate(facts)}
+    return carried.withColumns(latest).drop(*stated, *[f"{n}_carried" for n in stated])
 
 
 def final_profile(
@@ -104,32 +55,22 @@ def session_epochs(
     order: Sequence[str],
     reset: Column,
     shifts: Sequence[int] = TIME_SHIFTS,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Add ``epoch``: resets of the session before or at this turn.
 
     Facts from before a reset no longer count, so a profile is kept per
     (session, epoch).
     """
-    flagged = turns.withColumn("_reset", reset.cast("long"))
-
-    def short(rows: DataFrame) -> DataFrame:
-        resets = F.sum("_reset").over(upto_now(session, order))
-        return rows.withColumn("epoch", resets).drop("_reset")
-
-    def long(rows: DataFrame) -> DataFrame:
-        counted = running(
-            rows,
-            groups=session,
-            cells=integer_cells(F.col(order[0]), shifts),
-            order=order,
-            sums=["_reset"],
-        )
-        return counted.withColumn("epoch", F.col("_reset_before") + F.col("_reset")).drop(
-            "_reset", "_reset_before"
-        )
-
-    return by_length(flagged, session, max_rows, short, long)
+    counted = running(
+        turns.withColumn("_reset", reset.cast("long")),
+        groups=session,
+        cells=integer_cells(F.col(order[0]), shifts),
+        order=order,
+        sums=["_reset"],
+    )
+    return counted.withColumn("epoch", F.col("_reset_before") + F.col("_reset")).drop(
+        "_reset", "_reset_before"
+    )
 
 
 def facts_map(features: Sequence[str]) -> Column:

@@ -308,12 +308,11 @@ def train_protocol(
                 "negatives": prep.negatives,
             },
             "imbalance": {
-                "logistic": "class_weight=balanced",
-                "trees": f"scale_pos_weight={prep.scale_pos_weight:.6f}",
+                "row_weights": "equal totals for both labels (logistic), scale_pos_weight (trees)",
                 "scale_pos_weight": prep.scale_pos_weight,
                 "positives": prep.positives,
                 "negatives": prep.negatives,
-                "fitted_on": "train labels only",
+                "counted_on": "training part",
             },
             "operating_point": point.asDict(),
             "n_splits": n_splits,

@@ -18,7 +18,7 @@ from tideline.operators.scoring import (
     top_drivers,
     what_if,
 )
-from tideline.operators.sessions import MAX_ROWS, by_length, facts_map, profile_steps
+from tideline.operators.sessions import facts_map, session_profile
 
 
 def _read_filters(df: DataFrame, filters: str, name: str) -> DataFrame:
@@ -108,23 +108,14 @@ def process_turns(
     *,
     session: Sequence[str] = ("session_id",),
     order: Sequence[str] = ("ts_us", "turn"),
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Every turn with its verdict and the session profile after it.
 
-    Turns are shuffled by session as they came, which is less than what
-    reading them adds; reading and the profile window then share that one
-    partitioning. A session too long for a task is read where its rows are.
+    Requests are read where the turns are; what is shuffled by session
+    afterwards are the verdicts and the few facts.
     """
     facts = {f: F.col("facts")[f] for f in V.FEATURES}
-    short, long = profile_steps(session, order, facts)
-    stated = by_length(
-        turns,
-        session,
-        max_rows,
-        lambda rows: short(read_turns(rows.repartition(*session))),
-        lambda rows: long(read_turns(rows)),
-    )
+    stated = session_profile(read_turns(turns), session=session, order=order, facts=facts)
     return stated.withColumn("profile", facts_map(V.FEATURES)).drop(*V.FEATURES)
 
 

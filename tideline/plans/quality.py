@@ -25,7 +25,7 @@ from tideline.sources.profiles import read_profiles, row_count, write_clean
 _COLUMNS = ", ".join([*V.PROFILE_COLUMNS, V.RATIO])
 _CLEAN_SQL = f"WITH {PROFILE_SQL} SELECT {_COLUMNS} FROM profile"
 NUMBERS = [*V.NUMERIC_FEATURES, V.RATIO]
-TWIN_KEYS = ["gender", "Contract", "Internet_Service", "Payment_Method", "tenure"]
+TWIN_KEYS = list(V.FEATURES)
 
 
 @query("clean_profile", _CLEAN_SQL)
