@@ -78,12 +78,22 @@ def test_preparation_columns_and_stages_agree(people):
     assert prep.raw_names() == ["tenure", "Monthly_Charges", "Senior_Citizen", "Contract", "Contract"]
 
 
-def test_a_key_is_no_category(spark):
-    df = spark.range(1001).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("label"), F.lit(0).alias("g"))
-    with pytest.raises(ValueError, match="no category"):
-        D.fit_preparers(df, [], ["k"], group="g")
-    with pytest.raises(ValueError, match="no category"):
-        D.one_hot_long(df, "g", ["k"], D.fit_categories(df, ["k"]))
+def test_many_and_odd_categories_are_one_hot(spark):
+    from pyspark.ml import PipelineModel
+
+    odd = "it's `odd` \\ \"x\""
+    df = spark.range(1300).select(
+        F.when(F.col("id") == 0, F.lit(odd)).otherwise(F.col("id").cast("string")).alias("k"),
+        F.lit(1).alias("label"), F.lit(0).alias("g"),
+    )
+    prep = D.fit_preparers(df, [], ["k"], group="g")[0]
+    assert len(prep.feature_names()) == 1300
+    new = spark.createDataFrame([(odd,), ("17",), ("never seen",), (None,)], "k string")
+    rows = PipelineModel(stages=prep.stages()).transform(new).collect()
+    hot = [{prep.feature_names()[i] for i in r["features"].indices} for r in rows]
+    assert hot == [{f"cat__k_{odd}"}, {"cat__k_17"}, set(), set()]
+    long = D.one_hot_long(new.where("k is not null"), "k", ["k"], D.fit_categories(df, ["k"]))
+    assert long.where("hot = 1").count() == 2
 
 
 def test_imbalance_weights(spark):

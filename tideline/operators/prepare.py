@@ -10,16 +10,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Transformer
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import (
+    ElementwiseProduct,
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexerModel,
+    VectorAssembler,
+)
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import vocabulary as V
 from tideline.operators.quantiles import medians, unpivot
 
-MAX_CATEGORIES = 1000  # more than this in one column is an error, never a cut
-
 
 def feature_groups(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """Numeric and categorical columns by type; a boolean counts as numeric.
@@ -109,23 +114,11 @@ def fit_categories(df: DataFrame, columns: Sequence[str], groups: Sequence[str]
     )
 
 
-def few_categories(categories: DataFrame, bound: int) -> DataFrame:
-    """The table itself if it has at most ``bound`` rows, else an error.
-
-    Categories become literals or a scalar, so a column that is really a key
-    must be refused before anything collects it.
-    """
-    if categories.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} categories; some column is no category")
-    return categories
-
-
 def one_hot_long(
     df: DataFrame, key: str, columns: Sequence[str], categories: DataFrame
 ) -> DataFrame:
     """(key, feature, category, hot): unseen and missing values are all zeros."""
-    known_few = few_categories(categories, MAX_CATEGORIES * len(columns))
-    listed = known_few.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("c"))
+    listed = categories.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("c"))
     known = listed.agg(F.map_from_entries(F.collect_list(F.struct("feature", "c")))).scalar()
 
     def cells_of(column: str) -> Column:
@@ -209,28 +202,50 @@ class Preparer:
         ]
 
     def stages(self) -> list[Transformer]:
-        """The same preparation as ML stages, which save and load natively."""
+        """The same preparation as ML stages, which save and load natively.
+
+        Categories become positions in a sparse vector; one that training has
+        not seen, or a missing one, is all zeros.
+        """
         parts = []
         for c, (median, mean, std) in self.numeric.items():
+            name = c.replace("`", "``")
             parts.append(
-                f"(coalesce(double(`{c}`), double({median!r})) - double({mean!r})) "
-                f"/ double({std if std > 0 else 1.0!r}) AS `num__{c}`"
+                f"(coalesce(double(`{name}`), double({median!r})) - double({mean!r})) "
+                f"/ double({std if std > 0 else 1.0!r}) AS `num__{name}`"
             )
-        for c, seen in self.categories.items():
-            for category, _ in seen:
-                quoted = category.replace("\\", "\\\\").replace("'", "\\'")
-                parts.append(
-                    f"double(coalesce(`{c}` = '{quoted}', false)) AS `cat__{c}_{category}`"
-                )
-        statement = f"SELECT *, {', '.join(parts)} FROM __THIS__"
-        names = self.feature_names()
-        return [
-            SQLTransformer(statement=statement),
-            VectorAssembler(inputCols=names, outputCol="features"),
-            SQLTransformer(
-                statement="SELECT * EXCEPT (" + ", ".join(f"`{n}`" for n in names) + ") FROM __THIS__"
+        out: list[Transformer] = []
+        made = [f"num__{c}" for c in self.numeric]
+        if parts:
+            out.append(SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"))
+        inputs = list(made)
+        seen = {c: [category for category, _ in v] for c, v in self.categories.items() if v}
+        if seen:
+            index = [f"index__{c}" for c in seen]
+            hot = [f"cat__{c}" for c in seen]
+            indexer = StringIndexerModel.from_arrays_of_labels(
+                list(seen.values()), inputCols=list(seen), outputCols=index, handleInvalid="keep"
+            )
+            spark = SparkSession.active()
+            nothing = spark.createDataFrame([], ", ".join(f"`{c.replace('`', '``')}` string" for c in seen))
+            # The sizes come from the labels; no row is read.
+            encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)
+            sizes = encoder.fit(indexer.transform(nothing))
+            out += [indexer, sizes]
+            inputs += hot
+            made += [*index, *hot]
+        width = len(self.feature_names())
+        out += [
+            VectorAssembler(inputCols=inputs, outputCol="assembled"),
+            # Leaves the notes on 0/1 columns behind: trees see plain numbers.
+            ElementwiseProduct(
+                scalingVec=Vectors.dense([1.0] * width), inputCol="assembled", outputCol="features"
             ),
         ]
+        made.append("assembled")
+        dropped = ", ".join("`" + n.replace("`", "``") + "`" for n in made)
+        out.append(SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__"))
+        return out
 
 
 def fit_preparers(
@@ -244,10 +259,8 @@ def fit_preparers(
     """One preparer per value of ``group``, all fitted in the same few jobs."""
     weights = imbalance_weights(df, label, [group]).collect()
     numbers = fit_numeric(df, numeric, [group]).collect() if numeric else []
-    words = []
-    if categorical:
-        bound = MAX_CATEGORIES * len(categorical) * len(weights)
-        words = few_categories(fit_categories(df, categorical, [group]), bound).collect()
+    # What the fitted model itself holds: the categories of the training rows.
+    words = fit_categories(df, categorical, [group]).collect() if categorical else []
     out = {}
     for w in weights:
         g = w[group]
@@ -256,9 +269,6 @@ def fit_preparers(
         for r in words:
             if r[group] == g:
                 seen[r["feature"]].append((r["value"], r["n"]))
-        for c, values in seen.items():
-            if len(values) > MAX_CATEGORIES:
-                raise ValueError(f"column {c!r} has {len(values)} categories; it is no category")
         out[g] = Preparer(
             numeric={
                 c: (stats[c]["median"] or 0.0, stats[c]["mean"] or 0.0, stats[c]["std"] or 0.0)
