@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.packs import write_packs
-from tideline.llm.words import Hasher, Words, find_words, text_bytes, visible_bytes
+from tideline.llm.packs import unpack, write_packs
+from tideline.llm.words import Hasher, Words, find_words, visible_bytes
 from tideline.session import materialize
 
 _SLICES = 64
@@ -42,8 +42,8 @@ _SEED = 31
 class _PackWindows:
     """Words of a pack and the hashes of its windows."""
 
-    def __init__(self, texts: pa.Array, size: int, hasher: Hasher):
-        self.data, self.offsets = text_bytes(texts)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, hasher: Hasher):
+        self.data, self.offsets = data, offsets
         self.words: Words = find_words(self.data, self.offsets, visible_bytes())
         hashes = hasher.words(self.data, self.words)
         self.size = size
@@ -81,8 +81,8 @@ def _sketch(size: int, bits: int):
         once = np.zeros((2, 1 << bits - 3), np.uint8)
         again = np.zeros((2, 1 << bits - 3), np.uint8)
         for batch in batches:
-            for texts in batch.column("texts"):
-                for row, cell in enumerate(_cells(_PackWindows(texts.values, size, hasher).key, bits)):
+            for _, _, data, offsets in unpack(batch):
+                for row, cell in enumerate(_cells(_PackWindows(data, offsets, size, hasher).key, bits)):
                     cell.sort()
                     new = np.ones(len(cell), np.bool_)
                     new[1:] = cell[1:] != cell[:-1]
@@ -158,8 +158,8 @@ def _send(size: int, bits: int, buckets: int, planes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, second = Hasher(_SEED), Hasher(_SEED + 1)
         for batch in batches:
-            for pack, texts in zip(batch.column("pack"), batch.column("texts"), strict=True):
-                windows = _PackWindows(texts.values, size, hasher)
+            for pack, _, data, offsets in unpack(batch):
+                windows = _PackWindows(data, offsets, size, hasher)
                 place, first = _suspects(windows, planes.value, bits)
                 place = place[first]
                 key = windows.key[place]
@@ -169,7 +169,7 @@ def _send(size: int, bits: int, buckets: int, planes):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full.astype(np.int32)),
-                        pa.array(np.full(len(full), pack.as_py(), np.int64)),
+                        pa.array(np.full(len(full), pack, np.int64)),
                         pa.array([key[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
                         pa.array([check[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
                     ],
@@ -204,8 +204,8 @@ def _remove(size: int, bits: int, buckets: int, planes):
         hasher = Hasher(_SEED)
         by_bucket = dict(zip(answers.column("bucket").to_pylist(), answers.column("repeated").to_pylist(), strict=True))
         out = []
-        for ids, texts in zip(packs.column("doc_ids"), packs.column("texts"), strict=True):
-            windows = _PackWindows(texts.values, size, hasher)
+        for _, ids, data, offsets in unpack(packs):
+            windows = _PackWindows(data, offsets, size, hasher)
             words = windows.words
             place, first = _suspects(windows, planes.value, bits)
             key = windows.key[place[first]]
@@ -220,7 +220,7 @@ def _remove(size: int, bits: int, buckets: int, planes):
             n = len(words.start)
             change = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)[: n + 1]
             kept = np.cumsum(change[:n]) == 0
-            out.append(_kept_rows(ids.values, windows, kept))
+            out.append(_kept_rows(ids, windows, kept))
         return pa.concat_tables(out)
 
     return run
@@ -266,12 +266,10 @@ def remove_repeated_windows(
     kind = docs.schema["doc_id"].dataType.simpleString()
     packs = write_packs(docs)
     # About two bytes of text a window is plenty: more cells than windows.
-    text_chars = packs.agg(
-        F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x)))
-    ).first()[0] or 0
+    text_chars = packs.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(16, min(int(max_cells).bit_length() - 1, int(text_chars // 2 + 1).bit_length()))
     slices = (
-        packs.select("texts").mapInArrow(_sketch(size, bits), "slice int, once binary, again binary")
+        packs.mapInArrow(_sketch(size, bits), "slice int, once binary, again binary")
         .repartition(2 * _SLICES, "slice").sortWithinPartitions("slice")
         .mapInArrow(_merge, "slice int, again binary")
     )
@@ -284,8 +282,7 @@ def remove_repeated_windows(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, int(text_chars // 6 // bucket_keys) + 1)
     answers = materialize(
-        packs.select("pack", "texts")
-        .mapInArrow(_send(size, bits, buckets, shared), "bucket int, pack long, keys binary, checks binary")
+        packs.mapInArrow(_send(size, bits, buckets, shared), "bucket int, pack long, keys binary, checks binary")
         .groupBy("bucket")
         .applyInArrow(_group, "pack long, bucket int, repeated binary"),
         "window-answers",
