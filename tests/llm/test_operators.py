@@ -250,7 +250,8 @@ def test_token_files(spark, docs, rows):
     )
 
 
-def near_brute(rows, threshold=80):
+def near_groups(rows, threshold=80):
+    """Each row's shingles and the number of its group."""
     sets = []
     for r in rows:
         w = words(lower(r[1]))
@@ -267,11 +268,16 @@ def near_brute(rows, threshold=80):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
-    groups = defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[root(i)].append(r[0])
-    least = {g: min((d for d in ids if d is not None), default=None) for g, ids in groups.items()}
-    return [(r[0], len(sets[i]), least[root(i)] if sets[i] else r[0]) for i, r in enumerate(rows)]
+    return sets, [root(i) for i in range(len(rows))]
+
+
+def near_brute(rows):
+    sets, group = near_groups(rows)
+    ids = defaultdict(list)
+    for r, g in zip(rows, group, strict=True):
+        ids[g].append(r[0])
+    least = {g: min((d for d in own if d is not None), default=None) for g, own in ids.items()}
+    return [(r[0], len(s), least[g] if s else r[0]) for r, s, g in zip(rows, sets, group, strict=True)]
 
 
 def test_near_duplicates(docs, rows):
