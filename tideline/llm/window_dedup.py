@@ -23,7 +23,6 @@ doc_id and text of the input are read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.packs import unpack, write_packs
+from tideline.llm.sketch import cell_bits, maybe_repeated, seen_again
 from tideline.llm.words import Hasher, Words, find_words, visible_bytes
 from tideline.session import materialize
 
-_SLICES = 64
 _SEED = 31
 
 
@@ -57,89 +56,17 @@ class _PackWindows:
         return hasher.windows(self._hashes, self.size)[self.start]
 
 
-def _cells(key: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each key in each row of the sketch."""
-    other = key * np.uint64(0x9E3779B97F4A7C15)
-    return [(key >> np.uint64(64 - bits)).astype(np.int64), ((other ^ (other >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)]
-
-
-def _get(plane: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (plane[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-
-
-def _set(plane: np.ndarray, cell: np.ndarray) -> None:
-    """Set the bits of ascending, distinct cells."""
-    if len(cell):
-        byte = cell >> 3
-        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-        plane[byte[first]] |= np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (cell & 7).astype(np.uint8)), first)
-
-
-def _sketch(size: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_keys(size: int):
+    def make():
         hasher = Hasher(_SEED)
-        once = np.zeros((2, 1 << bits - 3), np.uint8)
-        again = np.zeros((2, 1 << bits - 3), np.uint8)
-        for batch in batches:
-            for _, _, data, offsets in unpack(batch):
-                for row, cell in enumerate(_cells(_PackWindows(data, offsets, size, hasher).key, bits)):
-                    cell.sort()
-                    new = np.ones(len(cell), np.bool_)
-                    new[1:] = cell[1:] != cell[:-1]
-                    # Cells met twice here, or here and before.
-                    twice = cell[~new]
-                    cell = cell[new]
-                    seen = _get(once[row], cell)
-                    _set(again[row], cell[seen])
-                    _set(again[row], np.unique(twice))
-                    _set(once[row], cell[~seen])
-        width = (1 << bits - 3) // _SLICES
-        for row in range(2):
-            for k in range(_SLICES):
-                part = slice(k * width, (k + 1) * width)
-                if once[row, part].any():
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row * _SLICES + k], pa.int32()),
-                            pa.array([zlib.compress(once[row, part].tobytes(), 1)], pa.binary()),
-                            pa.array([zlib.compress(again[row, part].tobytes(), 1)], pa.binary()),
-                        ],
-                        names=["slice", "once", "again"],
-                    )
-
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Planes of sorted slices; only the "seen again" plane is needed afterwards."""
-    now, once, again = None, None, None
-
-    def done():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([now], pa.int32()), pa.array([again.tobytes()], pa.binary())], names=["slice", "again"]
-        )
+        return lambda data, offsets: _PackWindows(data, offsets, size, hasher).key
 
-    for batch in batches:
-        for row in range(batch.num_rows):
-            k = batch.column("slice")[row].as_py()
-            a = np.frombuffer(zlib.decompress(batch.column("once")[row].as_py()), np.uint8)
-            b = np.frombuffer(zlib.decompress(batch.column("again")[row].as_py()), np.uint8)
-            if k != now:
-                if now is not None:
-                    yield done()
-                now, once, again = k, a.copy(), b.copy()
-            else:
-                again |= b | (once & a)
-                once |= a
-    if now is not None:
-        yield done()
+    return make
 
 
 def _suspects(windows: _PackWindows, planes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of windows that may be repeated, by key; and which of them are the first of their key."""
-    maybe = np.ones(len(windows.key), np.bool_)
-    for row, cell in enumerate(_cells(windows.key, bits)):
-        maybe &= _get(planes[row], cell)
+    maybe = maybe_repeated(windows.key, planes, bits)
     place = np.flatnonzero(maybe)
     place = place[np.argsort(windows.key[place], kind="stable")]
     key = windows.key[place]
@@ -265,20 +192,10 @@ def remove_repeated_windows(
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     packs = write_packs(docs)
-    # About two bytes of text a window is plenty: more cells than windows.
+    # A word has about six bytes.
     text_chars = packs.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(16, min(int(max_cells).bit_length() - 1, int(text_chars // 2 + 1).bit_length()))
-    slices = (
-        packs.mapInArrow(_sketch(size, bits), "slice int, once binary, again binary")
-        .repartition(2 * _SLICES, "slice").sortWithinPartitions("slice")
-        .mapInArrow(_merge, "slice int, again binary")
-    )
-    planes = np.zeros((2, 1 << bits - 3), np.uint8)
-    width = (1 << bits - 3) // _SLICES
-    for k, again in slices.toLocalIterator():  # at most max_cells / 4 bytes
-        row, part = divmod(k, _SLICES)
-        planes[row, part * width : (part + 1) * width] = np.frombuffer(again, np.uint8)
-    shared = spark.sparkContext.broadcast(planes)
+    bits = cell_bits(text_chars // 6, max_cells)
+    shared = seen_again(packs, _window_keys(size), bits)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, int(text_chars // 6 // bucket_keys) + 1)
     answers = materialize(
