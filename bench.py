@@ -13,9 +13,10 @@ import sys
 import time
 from pathlib import Path
 
+import duckdb
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from tests.compare import connect  # noqa: E402
 from tideline.plans import ORACLES, QUERIES  # noqa: E402
 from tideline.session import local_session  # noqa: E402
 
@@ -46,9 +47,20 @@ HEADLINE = {
     "process_turns": "events",
     "answer_turns": "events",
     "fit_logistic_scores": "customer",
+    "call_budget_stream": "events",
+    "session_profile_stream": "events",
 }
 
 
+def connect(sf_dir: str):
+    """DuckDB with a view for every table of the folder."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))

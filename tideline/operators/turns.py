@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
 from tideline.functions.fence import fenced
+from tideline.functions.numeric import round_dp
 from tideline.functions.requests import accepted, check_requests
 from tideline.functions.text import canon_value, grounded_number, normalize_text
 from tideline.operators.scoring import (
@@ -126,15 +127,22 @@ def answer_turns(
     *,
     threshold: float,
     types: Mapping[str, str],
-    calibrated: Column | None = None,
+    calibrate: Callable[[Column], Column] | None = None,
+    label_on_calibrated: bool = False,
 ) -> DataFrame:
-    """Reply text and payload of every turn; refused turns have no payload."""
+    """Reply text and payload of every turn; refused turns have no payload.
+
+    ``calibrate`` turns a score into the probability that is shown. The label
+    compares the raw score with the threshold, or the calibrated one if asked.
+    Contributions in the payload have four decimals.
+    """
     rows = what_if(processed, "profile", baseline, types)
     scored = rows.withColumns(
         {"_score": model.probability(), "_drivers": top_drivers(model.contributions())}
     )
-    p = F.col("_score") if calibrated is None else calibrated
-    label = label_at_threshold(p, F.lit(threshold))
+    raw = F.col("_score")
+    p = raw if calibrate is None else calibrate(raw)
+    label = label_at_threshold(p if label_on_calibrated else raw, F.lit(threshold))
     ok = F.col("status") == "ok"
     answer = compose_answer(p, label, F.lit(threshold), F.col("profile"), F.col("_drivers"))
     text = (
@@ -144,9 +152,14 @@ def answer_turns(
         .otherwise(F.format_string(V.REPLY_UNMAPPED, F.col("bad_feature")))
     )
     payload = F.struct(
-        F.round(p, 4).alias("churn_probability"),
+        round_dp(p, 4).alias("churn_probability"),
         label.alias("churn_label"),
-        F.col("_drivers").alias("drivers"),
+        F.transform(
+            "_drivers",
+            lambda d: F.struct(
+                d["feature"].alias("feature"), round_dp(d["contribution"], 4).alias("contribution")
+            ),
+        ).alias("drivers"),
     )
     return scored.select(
         *processed.columns, text.alias("reply"), F.when(ok, payload).alias("payload")

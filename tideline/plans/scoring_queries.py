@@ -80,11 +80,12 @@ def short4_sql(x: str) -> str:
     return rf"regexp_replace({fixed4_sql(x)}, '(\.\d+?)0+$', '\1')"
 
 
-def answer_sql(p: str, profile_text: str, drivers: str) -> str:
+def answer_sql(p: str, profile_text: str, drivers: str, judged: str | None = None) -> str:
+    """The answer shows ``p``; its label is of ``judged``, or of ``p`` too."""
     reasons = f"array_to_string([d.feature || ' weight ' || {short4_sql('d.c')} for d in {drivers}], '; ')"
     return (
         f"('Estimated churn probability ' || {fixed4_sql(p)} || ' — ' || "
-        f"CASE WHEN {p} >= {THRESHOLD} THEN 'Churner' ELSE 'Not churner' END || ' at threshold ' || "
+        f"CASE WHEN {judged or p} >= {THRESHOLD} THEN 'Churner' ELSE 'Not churner' END || ' at threshold ' || "
         f"{fixed4_sql(f'{THRESHOLD}::DOUBLE')} || '. Profile used: ' || "
         f"CASE WHEN {profile_text} <> '' THEN {profile_text} ELSE '{V.REPLY_BASELINE}' END || "
         f"'. Top drivers: ' || {reasons} || '.')"

@@ -9,8 +9,10 @@ from tideline.functions import vocabulary as V
 from tideline.functions.numeric import micros, round_dp
 from tideline.operators import budgets as B
 from tideline.operators import sessions as S
+from tideline.operators.calibration import interpolate
 from tideline.operators.profiling import baseline_profile
 from tideline.operators.turns import answer_turns, process_turns, read_turns
+from tideline.plans.metrics import KNOTS, _interpolate_sql
 from tideline.plans.quality import BASELINE_SQL
 from tideline.plans.registry import query
 from tideline.plans.scoring_queries import (
@@ -233,13 +235,14 @@ margin_w AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-{margin_sql()})) AS p,
 
 @query(
     "answer_turns",
-    f"""WITH {PROCESSED_SQL}, {BASELINE_SQL}, {_what_if_sql()}, d AS (SELECT *, {drivers_sql('contrib')} AS drivers FROM margin_w)
-    SELECT session_id, turn, CASE status WHEN 'ok' THEN {answer_sql('p', 'profile', 'drivers')}
+    f"""WITH {PROCESSED_SQL}, {BASELINE_SQL}, {_what_if_sql()}, d AS (SELECT *, {_interpolate_sql('p')} AS calibrated, {drivers_sql('contrib')} AS drivers FROM margin_w)
+    SELECT session_id, turn, CASE status WHEN 'ok' THEN {answer_sql('calibrated', 'profile', 'drivers', 'p')}
       WHEN 'invalid' THEN '{V.REPLY_INVALID.replace("'", "''")}'
       WHEN 'out_of_scope' THEN '{V.REPLY_OUT_OF_SCOPE.replace("'", "''")}'
       ELSE replace('{V.REPLY_UNMAPPED.replace("'", "''")}', '%s', bad_feature) END AS reply,
-      CASE WHEN status = 'ok' THEN {round_sql('p', 4)} END AS churn_probability,
-      CASE WHEN status = 'ok' THEN CASE WHEN p >= {THRESHOLD} THEN 'Churner' ELSE 'Not churner' END END AS churn_label
+      CASE WHEN status = 'ok' THEN {round_sql('calibrated', 4)} END AS churn_probability,
+      CASE WHEN status = 'ok' THEN CASE WHEN p >= {THRESHOLD} THEN 'Churner' ELSE 'Not churner' END END AS churn_label,
+      CASE WHEN status = 'ok' THEN array_to_string([x.feature || '=' || {round_sql('x.c', 4)}::VARCHAR for x in drivers], ', ') END AS drivers
     FROM d""",
 )
 def answer_turns_query(spark, sf_dir):
@@ -250,6 +253,7 @@ def answer_turns_query(spark, sf_dir):
         MODEL,
         threshold=THRESHOLD,
         types=dict(people.dtypes),
+        calibrate=lambda score: interpolate(score, KNOTS),
     )
     payload = F.col("payload")
     return replies.select(
@@ -258,6 +262,13 @@ def answer_turns_query(spark, sf_dir):
         "reply",
         round_dp(payload["churn_probability"], 4).alias("churn_probability"),
         payload["churn_label"].alias("churn_label"),
+        F.array_join(
+            F.transform(
+                payload["drivers"],
+                lambda d: F.concat(d["feature"], F.lit("="), d["contribution"].cast("string")),
+            ),
+            ", ",
+        ).alias("drivers"),
     )
 
 
