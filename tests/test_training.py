@@ -201,6 +201,13 @@ def test_linear_parts_sum_to_the_margin(spark, people):
     assert gap.agg(F.max("base") - F.min("base")).first()[0] < 1e-9
 
 
+def test_a_feature_without_categories_adds_nothing(spark):
+    model = LinearModel(0.5, {}, {"c": {}})
+    df = spark.createDataFrame([("x",), (None,)], "c string")
+    assert [r[0] for r in df.select(model.margin()).collect()] == [0.5, 0.5]
+    assert df.select(top_drivers(model.contributions())).count() == 2
+
+
 def test_ties_keep_the_declared_order(spark):
     model = LinearModel(0.0, {"b": (0.0, 0.0, 0.0, 1.0), "a": (1.0, 0.0, 0.0, 1.0), "c": (0.0, 0.0, 0.0, 1.0)})
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")

@@ -223,15 +223,17 @@ class Preparer:
         if seen:
             index = [f"index__{c}" for c in seen]
             hot = [f"cat__{c}" for c in seen]
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                list(seen.values()), inputCols=list(seen), outputCols=index, handleInvalid="keep"
-            )
-            spark = SparkSession.active()
-            nothing = spark.createDataFrame([], ", ".join(f"`{c.replace('`', '``')}` string" for c in seen))
+            indexers = [
+                StringIndexerModel.from_labels(labels, inputCol=c, outputCol=i, handleInvalid="keep")
+                for (c, labels), i in zip(seen.items(), index)
+            ]
+            columns = ", ".join("`" + c.replace("`", "``") + "` string" for c in seen)
+            indexed = SparkSession.active().createDataFrame([], columns)
+            for indexer in indexers:
+                indexed = indexer.transform(indexed)
             # The sizes come from the labels; no row is read.
             encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)
-            sizes = encoder.fit(indexer.transform(nothing))
-            out += [indexer, sizes]
+            out += [*indexers, encoder.fit(indexed)]
             inputs += hot
             made += [*index, *hot]
         width = len(self.feature_names())

@@ -46,7 +46,7 @@ class LinearModel:
             for category, (weight, _) in values.items():
                 here = F.col(c).cast("string") == category
                 value = F.when(here, F.lit(weight)) if value is None else value.when(here, F.lit(weight))
-            out[c] = value.otherwise(F.lit(0.0))
+            out[c] = F.lit(0.0) if value is None else value.otherwise(F.lit(0.0))
         return out
 
     def expected(self) -> dict[str, float]:

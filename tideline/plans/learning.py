@@ -38,10 +38,10 @@ def _split(spark, sf_dir):
 
 
 def _folded(spark, sf_dir):
-    """Training rows of the split with three folds, stored once."""
+    """Training rows of the split with its folds, stored once."""
     split = stratified_split(profile(spark, sf_dir), key=V.ROW_KEY, label="label", seed=42)
     train = stratified_folds(
-        split.where("part = 'train'"), key=V.ROW_KEY, label="label", seed=42, folds=3
+        split.where("part = 'train'"), key=V.ROW_KEY, label="label", seed=42, folds=V.FOLDS
     )
     return materialize(train.drop("part"), "profile-folds")
 
@@ -73,7 +73,7 @@ def _searched(spark, sf_dir, n_trials: int):
         numeric=numeric,
         categorical=categorical,
         seed=42,
-        folds=3,
+        folds=V.FOLDS,
     )
 
 
@@ -87,7 +87,7 @@ def search_params(spark, sf_dir):
     "oof_keys",
     f"""WITH {PROFILE_SQL}, {_split_sql('profile', 'customerID', '42')},
     train_rows AS (SELECT customerID, label FROM split WHERE part = 'train'),
-    {_fold_sql('train_rows', 'customerID', '42', 3)}
+    {_fold_sql('train_rows', 'customerID', '42', V.FOLDS)}
     SELECT customerID, label, fold, 1::BIGINT AS scores FROM folded""",
 )
 def oof_keys(spark, sf_dir):
@@ -96,14 +96,14 @@ def oof_keys(spark, sf_dir):
     numeric, categorical = feature_groups(train, exclude=("fold",))
     scores = M.search_params(
         train, [M.Trial("logistic", 0, {"C": 1.0})], key=V.ROW_KEY,
-        numeric=numeric, categorical=categorical, seed=42, folds=3,
+        numeric=numeric, categorical=categorical, seed=42, folds=V.FOLDS,
     )
     return scores.groupBy(V.ROW_KEY, "label", "fold").agg(F.count("score").alias("scores"))
 
 
 def _train(spark, sf_dir, seed: int, models=M.MODELS) -> Bundle:
     return M.train_protocol(
-        profile(spark, sf_dir), seed=seed, n_splits=3, n_trials=1, models=models,
+        profile(spark, sf_dir), seed=seed, n_splits=V.FOLDS, n_trials=1, models=models,
         limits=QUICK, auc_band=None, precision_floor=0.4,
     )
 
