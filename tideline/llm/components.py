@@ -57,7 +57,15 @@ def connect(edges: DataFrame) -> DataFrame:
     geometrically. A node with very many edges is only a key of a
     pre-aggregated minimum and of a join that can be split.
     """
-    left = materialize(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long"), "edges")
+    # Edges and nodes are far smaller than what they came from: fewer, fuller partitions.
+    parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+    def thinned(drawn: DataFrame) -> DataFrame:
+        return materialize(drawn.coalesce(parts).mapInArrow(_local_forest, "a long, b long"), "edges")
+
+    # Making the edges is the work, so that step keeps its own parallelism.
+    made = materialize(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long"), "edges")
+    left = thinned(made)
     out = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     step = 0
     while not left.isEmpty():
@@ -66,18 +74,18 @@ def connect(edges: DataFrame) -> DataFrame:
         own = F.struct(F.xxhash64("from", F.lit(step)).alias("hash"), F.col("from").alias("node"))
         parent = materialize(
             both.groupBy(F.col("a").alias("from")).agg(near.alias("near"))
-            .select("from", F.least("near", own)["node"].alias("to")),
+            .select("from", F.least("near", own)["node"].alias("to")).coalesce(parts),
             "parents",
         )
         out = materialize(
             out.join(parent, out["label"] == parent["from"], "left").select(
                 "node", F.coalesce("to", "label").alias("label")
-            ),
+            ).coalesce(parts),
             "components",
         )
         first = parent.select(F.col("from").alias("a"), F.col("to").alias("x"))
         second = parent.select(F.col("from").alias("b"), F.col("to").alias("y"))
         drawn = left.join(first, "a").join(second, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        left = materialize(drawn.mapInArrow(_local_forest, "a long, b long"), "edges")
+        left = thinned(drawn)
         step += 1
     return out if step else materialize(out, "components")

@@ -58,7 +58,7 @@ _SKETCH_BITS = 24
 _SLICES = 64
 _LIST = 64
 _MATRIX = 1024
-_ROWS = 1024
+_ROWS = 512
 _COLUMNS = 4096
 
 
