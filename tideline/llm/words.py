@@ -186,13 +186,3 @@ def shingle_sets(
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[keep], owner[keep]
     return values, np.searchsorted(owner, np.arange(len(offsets)))
-
-
-def covered(marks: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of ``n`` places lie in a window of ``size`` that starts at a mark."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, marks, 1) if len(marks) < 64 else change.__iadd__(np.bincount(marks, minlength=n + 1))
-    np.subtract.at(change, np.minimum(marks + size, n), 1) if len(marks) < 64 else change.__isub__(
-        np.bincount(np.minimum(marks + size, n), minlength=n + 1)
-    )
-    return np.cumsum(change[:-1]) > 0
