@@ -14,8 +14,9 @@ whole text inside Spark tasks and shuffles nothing.
 Defined results: null text counts as empty; every document has a score, empty
 ones too; null n_chars is an input of its own. Labels with a null id or label
 teach nothing; of several labels of one id the least counts. Without labels
-every score is 0.5. Repeated rows get equal scores. Columns called like a
-result are replaced.
+every score is 0.5. Repeated rows get equal scores. A text of any length is
+scored whole. An empty table gives no rows. Columns called like a result are
+replaced, all others are passed on whatever their names are.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.llm.tables import text_of
+from tideline.llm.tables import quoted, text_of
 from tideline.llm.words import Hasher, find_words, packs, text_bytes, visible_bytes
 
 RESULTS = ("held_out", "score", "predicted")
@@ -246,20 +248,23 @@ def held_out(doc_id: Column) -> Column:
 def train_quality(
     docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, label: str = "quality"
 ) -> Machine | None:
-    """A machine fitted on at most ``max_rows`` labelled rows outside the held-out fold."""
+    """A machine fitted on at most ``max_rows`` labelled rows outside the held-out fold.
+
+    Beyond the bound the ids with the least hashes are taken, and of a repeated
+    id the row with the least text hash, so a rerun fits the same rows.
+    """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
+        .groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).cast("double").alias("__target"))
     )
-    count = known.count()
-    if count > max_rows:
-        share = int(max_rows / count * (1 << 20))
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    chosen = known.limit(max_rows)
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    columns = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    labelled = docs.select(*columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    texts = F.min(F.struct(F.xxhash64(text_of("text")).alias("key"), *(c for c in columns if c != "doc_id")))
+    one_each = labelled.groupBy("doc_id", "__target").agg(texts.alias("row")).select("__target", "row.*")
     rows = (
-        _inputs_of(docs.join(F.broadcast(chosen), "doc_id"), F.col("label"))
+        _inputs_of(one_each, F.col("__target").alias("label"))
         .mapInArrow(_features, "label double, index array<int>, value array<float>")
-        .limit(max_rows)
         .toPandas()
     )
     if not len(rows):
@@ -276,13 +281,12 @@ def train_quality(
 
 def score_quality(docs: DataFrame, machine: Machine | None, *, threshold: float = 0.3) -> DataFrame:
     """Every document with held_out, score and predicted."""
-    other = [c for c in docs.columns if c not in RESULTS]
-    keep = [c for c in other if c not in ("text", "n_chars")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    scored = _inputs_of(docs, *map(F.col, keep)).mapInArrow(
-        _score(docs.sparkSession.sparkContext.broadcast(machine), keep), ", ".join([*fields, "score double"])
+    keep = [c for c in docs.columns if c not in (*RESULTS, "text", "n_chars")]
+    passed = docs.select(*map(quoted, keep)).schema
+    scored = _inputs_of(docs, *map(F.col, map(quoted, keep))).mapInArrow(
+        _score(docs.sparkSession.sparkContext.broadcast(machine), keep), T.StructType([*passed, T.StructField("score", T.DoubleType())])
     )
     return scored.select(
-        *keep, held_out(F.col("doc_id")).alias("held_out"), "score",
+        *map(quoted, keep), held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )

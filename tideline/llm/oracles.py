@@ -213,3 +213,41 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
   sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(hi, 0) + 1))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)
 """
+
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, 5)) AS size FROM places) WHERE i + size - 1 <= len(w)
+), frequent AS (
+  SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM frequent WHERE size >= 2)
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = c.tail
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, f, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM frequent WHERE size >= 3))
+), held AS (
+  SELECT lang, phrase, max(f) AS longer FROM inner_phrases GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest LEFT JOIN held USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import oracles
+from tideline.llm.alignment import alignment_statistics
 from tideline.llm.byte_shards import byte_shards
+from tideline.llm.collocations import mine_collocations
 from tideline.llm.decontaminate import find_contamination
 from tideline.llm.factorization import score_quality, train_quality
 from tideline.llm.line_rules import clean_documents
 from tideline.llm.mixing import mix_sources
 from tideline.llm.ngram_join import near_duplicates
 from tideline.llm.registry import ORACLES, QUERIES, query
+from tideline.llm.simhash import near_fingerprints
 from tideline.llm.suffix_dedup import remove_repeated_bytes
 from tideline.llm.tables import table
 from tideline.llm.token_files import token_digests
@@ -112,3 +115,28 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_shingles", "component_id"
     )
+
+
+@query("op11_collocations", oracles.COLLOCATIONS)
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return mine_collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+@query("op12_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and its component of fingerprints within two bits."""
+    return near_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "fingerprint", "component_id"
+    )
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    import public_tokenizers
+
+    return alignment_statistics(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+    )

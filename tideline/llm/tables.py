@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def quoted(name: str) -> str:
+    """The name of a column as an expression names it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(column: Column | str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -23,8 +23,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +34,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.huffman import Codebook, code_lengths, decode, encode
 from tideline.llm.tables import text_of
-from tideline.llm.words import Hasher, packs, text_bytes
+from tideline.llm.units import UnitCache, worker_cache
+from tideline.llm.words import packs, text_bytes
 from tideline.session import scratch_path
 
 BLOCK_IDS = 1 << 19
 END_ID = 0
-#: Units an encoder remembers before it starts again.
-_UNITS_KEPT = 1_000_000
 _SPACE = 0x20
 #: First bytes of the UTF-8 forms of blanks beyond ASCII (and of much else).
 _MAYBE_BLANK = (0xC2, 0xE1, 0xE2, 0xE3)
@@ -63,7 +60,7 @@ def _byte_classes() -> dict[str, np.ndarray]:
     }
 
 
-def _byte_alphabet() -> dict[int, int]:
+def byte_alphabet() -> dict[int, int]:
     """The characters that stand for bytes in a byte-level vocabulary.
 
     Bytes that Latin-1 prints stand for themselves, the others for the
@@ -74,19 +71,9 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in printed} | {b: 256 + k for k, b in enumerate(others)}
 
 
-def _worker_cache() -> dict:
-    """A dict that lives as long as the worker's process.
-
-    This package travels to the workers by value, so its own globals are new in
-    every task.
-    """
-    name = "_tideline_worker"
-    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
-
-
 def unit_encoder(path: str) -> UnitEncoder:
     """The worker's encoder; what it has learnt serves its later tasks."""
-    cache = _worker_cache()
+    cache = worker_cache()
     if path not in cache:
         cache[path] = UnitEncoder(path)
     return cache[path]
@@ -100,39 +87,50 @@ class UnitEncoder:
     cuts. Some of the cuts do not depend on anything around them: before a
     blank that something visible follows, between an ASCII letter and a mark,
     and around a single line end between visible bytes. Texts are cut there by
-    array operations, units are told apart by a 64-bit hash, and the tokenizer
-    encodes each unit once. A unit that is one word goes straight to its model;
+    array operations, and the tokenizer encodes each distinct unit once
+    (``UnitCache``). A unit that is one word goes straight to its model;
     others are joined by line ends and encoded many at a time, or one by one
     if they hold other white space. A text that holds one of the tokenizer's
     own added tokens is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, added_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [
+            t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()
+            if not (added_as_text and t.special)
+        ]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.classes = _byte_classes()
-        self.alphabet = _byte_alphabet()
-        self.hasher = Hasher(8)
+        self.alphabet = byte_alphabet()
         self.line_end = self._ids("\n")
-        self._forget()
+        self.cache = UnitCache(self._encode)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.start = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _encode(self, units: list[bytes], words: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _kinds(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which units are one word of letters, and which hold no blank but a leading space."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        data = np.frombuffer(b"".join(units), np.uint8)
+        hi = np.cumsum(size)
+        lo = hi - size
+        body = np.minimum(lo + (data[lo] == _SPACE), hi)
+        other = ~self.classes["word"][data]
+        other[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        strange = np.concatenate([[0], np.cumsum(other)])
+        blank = np.concatenate([[0], np.cumsum(~self.classes["visible"][data] & (data != 0xC3))])
+        return (strange[hi] == strange[body]) & (hi > body), blank[hi] == blank[body]
+
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units and their numbers."""
+        words, joins = self._kinds(units)
         size = np.zeros(len(units), np.int64)
         pieces: list = [None] * len(units)
         tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
@@ -177,40 +175,9 @@ class UnitEncoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, each text's followed by the end id, and their numbers."""
         data, offsets = text_bytes(column)
-        if len(self.known) > _UNITS_KEPT:
-            self._forget()
         first = self._units(data, offsets)
-        last = np.append(first[1:], len(data))
-        hashes = self.hasher.ranges(data, first, last)
-        unique, sample, index = np.unique(hashes, return_index=True, return_inverse=True)
-        found = np.searchsorted(self.known, unique)
-        fresh = np.ones(len(unique), np.bool_)
-        if len(self.known):
-            fresh = self.known[np.minimum(found, len(self.known) - 1)] != unique
-        if fresh.any():
-            raw = data.tobytes()
-            lo, hi = first[sample[fresh]], last[sample[fresh]]
-            body = np.minimum(lo + (data[lo] == _SPACE), hi)
-            other = ~self.classes["word"][data]
-            other[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
-            strange = np.concatenate([[0], np.cumsum(other)])
-            blank = np.concatenate([[0], np.cumsum(~self.classes["visible"][data] & (data != 0xC3))])
-            units = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            ids, size = self._encode(
-                units, (strange[hi] == strange[body]) & (hi > body), blank[hi] == blank[body]
-            )
-            number = len(self.start) - 1 + np.arange(len(units))
-            self.flat = np.concatenate([self.flat, ids])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-            merged = np.concatenate([self.known, unique[fresh]])
-            order = np.argsort(merged, kind="stable")
-            self.known = merged[order]
-            self.place = np.concatenate([self.place, number])[order]
-            found = np.searchsorted(self.known, unique)
-        unit = self.place[found][index] if len(index) else np.zeros(0, np.int64)
-        size = self.start[unit + 1] - self.start[unit]
+        ids, size = self.cache(data, first, np.append(first[1:], len(data)))
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[unit] - before[:-1], size) + np.arange(before[-1])]
         edge = before[np.searchsorted(first, offsets)]
         whole = {}
         if self.added is not None:

@@ -8,6 +8,7 @@ classes used here hold every byte above 0x7F, so UTF-8 letters stay whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,6 +100,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Wor
     return Words(start, np.flatnonzero(closes) + 1, np.searchsorted(start, offsets))
 
 
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    starts = np.ones(len(values), np.bool_)
+    starts[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(starts)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all bits; one-to-one."""
     values = values ^ (values >> np.uint64(32))
@@ -114,15 +122,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Longest string, in bytes, that is hashed by a polynomial.
+SHORT = 16
+
+
 class Hasher:
-    """Polynomial hashes modulo 2^64 of words and of windows of words.
+    """64-bit hashes of words and of windows of words.
 
     Bytes go through a table of random 64-bit values, sums over a range come
     from one running sum, and dividing by a power of the odd base makes them
     free of the place. Two hashers with different seeds are independent.
+
+    Modulo 2^64 a polynomial is sound for short strings only: there are pairs
+    of 1,024 letters that agree under every base. Words of more than ``SHORT``
+    bytes are therefore hashed by keyed BLAKE2b. Windows are sums over mixed
+    hashes of at most a few dozen words, and of distinct ascending values in
+    the case of sets.
     """
 
     def __init__(self, seed: int = 1):
+        self.secret = seed.to_bytes(8, "little")
         draw = np.random.default_rng(seed)
         self.letters = draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(draw.integers(1 << 40, 1 << 62)) * 8 + 5 & (1 << 64) - 1
@@ -146,8 +165,21 @@ class Hasher:
         total = self._sums(self.letters[data])
         return mix((total[end] - total[start]) * self.inverse[start])
 
+    def strings(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each byte range, sound for any length."""
+        out = self.ranges(data, start, end)
+        long = np.flatnonzero(end - start > SHORT)
+        if len(long):
+            view = memoryview(np.ascontiguousarray(data))
+            digests = [
+                hashlib.blake2b(view[a:b], digest_size=8, key=self.secret).digest()
+                for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)
+            ]
+            out[long] = np.frombuffer(b"".join(digests), np.uint64)
+        return out
+
     def words(self, data: np.ndarray, words: Words) -> np.ndarray:
-        return self.ranges(data, words.start, words.end)
+        return self.strings(data, words.start, words.end)
 
     def windows(self, hashes: np.ndarray, size: int) -> np.ndarray:
         """Hash of ``size`` consecutive values from each place that has so many."""
