@@ -1,13 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.operators import curves as U
-from tideline.operators.calibration import apply_model, fit_isotonic, interpolate, knots
+from tideline.operators.calibration import apply_knots, fit_isotonic, interpolate, pool
 from tideline.operators.evaluation import band_gate, latency_report, select_candidate, slot_accuracy
 from tideline.operators.prefix import running, value_cells
 from tideline.operators.quantiles import medians, nearest_rank
@@ -157,17 +158,79 @@ def test_calibration_is_monotone_and_no_worse(spark):
     rng = random.Random(4)
     rows = [(p, int(rng.random() < p**2)) for p in (rng.random() for _ in range(400))]
     df = frame(spark, rows)
-    model = fit_isotonic(df, "score", "label")
-    both = apply_model(df, model, "score", "calibrated")
+    blocks = fit_isotonic(df, "score", "label")
+    both = apply_knots(df, blocks, "score", "calibrated")
     ordered = [r.calibrated for r in both.orderBy("score").collect()]
     assert ordered == sorted(ordered)
     row = U.brier(both, ["score", "calibrated"], "label").first()
     assert row["brier_calibrated"] <= row["brier_score"]
-    assert knots(model, df).count() >= 2
-    ends = apply_model(frame(spark, [(-5, 0), (5, 0)]), model, "score", "c").collect()
+    ends = apply_knots(frame(spark, [(-5, 0), (5, 0)]), blocks, "score", "c").orderBy("score").collect()
     assert ends[0].c == min(ordered) and ends[1].c == max(ordered)
 
 
+def isotone(rows):
+    """Score to fitted value, pooling one violator at a time."""
+    kept = []
+    for x in sorted({p for p, _ in rows}):
+        now = [[x], [y for p, y in rows if p == x]]
+        while kept and sum(kept[-1][1]) * len(now[1]) >= sum(now[1]) * len(kept[-1][1]):
+            last = kept.pop()
+            now = [last[0] + now[0], last[1] + now[1]]
+        kept.append(now)
+    return {x: sum(ys) / len(ys) for xs, ys in kept for x in xs}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_isotonic_blocks_and_lines(spark, seed):
+    rng = random.Random(seed)
+    draws = [
+        lambda: round(rng.random(), 4), lambda: rng.choice([0.5, 0.5, 0.25]) + rng.random() * 1e-7,
+        lambda: rng.gauss(0, 1) * 10 ** rng.randint(-6, 6),
+    ]
+    points = [draws[seed]() for _ in range(500)]
+    rows = [(p, int(rng.random() < 0.3 + 0.4 * (k / 500))) for k, p in enumerate(sorted(points))]
+    # A falling stretch that pools across cells, ties, and rows that teach nothing.
+    rows += [(p, 1) for p in points[:40]] + [(points[0], 0)] * 3
+    want = isotone(rows)
+    odd = [(None, 1), (float("nan"), 1), (0.5, None)]
+    df = spark.createDataFrame(rows + odd, "score double, label int").repartition(5)
+    blocks = fit_isotonic(df, "score", "label")
+    found = blocks.orderBy("lo").collect()
+    values = [b.calibrated for b in found]
+    assert values == sorted(set(values)) and sum(b.weight for b in found) == len(rows)
+    xs = sorted(want)
+    asked = xs + [rng.uniform(xs[0], xs[-1]) for _ in range(200)] + [xs[0] - 1, xs[-1] + 1, None, float("nan")]
+    got = apply_knots(spark.createDataFrame([(x, "kept") for x in asked], "score double, other string"), blocks, "score", "y")
+    assert got.columns == ["score", "other", "y"]
+    ys = np.array([want[x] for x in xs])
+    for r in got.collect():
+        if r.score is None or math.isnan(r.score):
+            assert r.y is None
+        else:
+            assert r.y == pytest.approx(float(np.interp(r.score, xs, ys)), abs=1e-9)
+
+
+def test_isotonic_of_nothing(spark):
+    blocks = fit_isotonic(frame(spark, []), "score", "label")
+    assert blocks.count() == 0
+    assert [r.y for r in apply_knots(frame(spark, [(0.5, 1)]), blocks, "score", "y").collect()] == [None]
+
+
+def test_pooling_takes_any_order_of_violators():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 400):
+        s = rng.integers(0, 2, n).astype(float) if n != 50 else np.arange(50, 0, -1.0)
+        # Each pooled pair falls below the block before it, one at a time.
+        s = s if n != 400 else 1 / np.arange(1, 401) ** 2 - np.arange(400) % 2
+        x = np.arange(n, dtype=float)
+        lo, hi, w, total = pool(x, x, np.ones(n), s)
+        assert len(lo) == 0 or (np.diff(total / w) > 0).all()
+        assert w.sum() == n and total.sum() == pytest.approx(s.sum())
+        for a, b, v in zip(lo, hi, total / w, strict=True):
+            best = max(min(s[i : j + 1].mean() for j in range(int(a), n)) for i in range(int(a) + 1))
+            assert v == pytest.approx(best)
+
+
 def test_interpolation_clips(spark):
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 1.0, 9.0)], "x double")
     ys = [r[0] for r in df.select(interpolate(F.col("x"), [(0.0, 1.0), (1.0, 3.0)])).collect()]

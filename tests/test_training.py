@@ -1,23 +1,26 @@
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tideline.operators import prepare as D
 from tideline.operators import training as M
+from tideline.operators.boosting import LeafwiseModel
 from tideline.operators.explain import tree_drivers
 from tideline.operators.scoring import LinearModel, raw_feature, top_drivers
 from tideline.plans.learning import linear_model_of
+from tideline.sources.ledger import Ledger
 from tideline.sources.registry import load_bundle, load_default_bundle, save_bundle
 from tideline.sources.reports import read_report, write_report
 
 QUICK = {
     "levelwise": {"n_estimators": (4, 6, "int"), "max_depth": (2, 3, "int")},
-    "forest": {"n_estimators": (5, 8, "int"), "num_leaves": (4, 8, "logint")},
+    "leafwise": {"n_estimators": (3, 5, "int"), "num_leaves": (4, 8, "logint")},
 }
 
 
@@ -124,17 +127,84 @@ def test_protocol_compares_three_models_and_keeps_its_records(bundle, people):
     assert counts["positives"] + counts["negatives"] == 224
 
 
-def test_gate_and_run_log(people):
-    log = M.RunLog()
-    args = dict(seed=1, n_splits=2, n_trials=1, models=("logistic",), precision_floor=0.3)
+def test_gate_and_ledger(spark, people, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.table().count() == 0
+    args = dict(seed=1, n_splits=2, n_trials=1, models=("logistic",), precision_floor=0.3, run="a/b: c")
     with pytest.raises(ValueError, match="below lower bound"):
-        M.train_protocol(people, auc_band=(0.999, 1.0), log=log, **args)
+        M.train_protocol(people, auc_band=(0.999, 1.0), ledger=ledger, **args)
+    # The look counts although the gate failed, and for every other session, too.
+    other = Ledger(spark.newSession(), str(tmp_path / "ledger"))
     with pytest.raises(RuntimeError, match="already scored"):
-        log.touch("train", 1)
+        other.touch("a/b: c", 1)
+    with pytest.raises(RuntimeError, match="already scored"):
+        M.train_protocol(people, auc_band=None, ledger=other, **args)
+    other.touch("a/b: c", 2)
+    assert sorted((r["run"], r["seed"]) for r in ledger.table().collect()) == [("a/b: c", 1), ("a/b: c", 2)]
     with pytest.raises(ValueError, match="unattainable"):
         M.train_protocol(people, auc_band=None, **{**args, "precision_floor": 1.01})
 
 
+def test_one_look_of_many_at_once(spark, tmp_path):
+    def look(_):
+        try:
+            Ledger(spark, str(tmp_path / "ledger")).touch("run", 7)
+        except RuntimeError:
+            return 0
+        return 1
+
+    with ThreadPoolExecutor(8) as pool:
+        passed = sum(pool.map(look, range(24)))
+    assert passed + look(None) == 1
+
+
+def test_logistic_models_of_all_folds_are_those_fitted_alone(spark, people):
+    numeric, categorical = D.feature_groups(people)
+    folded = people.withColumn("fold", F.pmod(F.hash("customerID"), F.lit(3))).cache()
+    trials = [M.Trial("logistic", k, {"C": c}) for k, c in enumerate((0.01, 1.0, 100.0))]
+    got = M.search_params(
+        folded, trials, key="customerID", numeric=numeric, categorical=categorical, seed=1, folds=3
+    ).collect()
+    assert len(got) == 3 * folded.count()
+    scores = {(r["trial"], r["customerID"]): r["score"] for r in got}
+    for fold in range(3):
+        own = folded.where(F.col("fold") != fold)
+        for t in trials[::2]:
+            model, _ = M.fit_final(own, t, numeric, categorical, 1)
+            alone = M._scored(model.transform(folded.where(F.col("fold") == fold))).collect()
+            for r in alone:
+                assert scores[t.trial, r["customerID"]] == pytest.approx(r["score"], abs=2e-3)
+
+
+def test_search_goes_on_where_it_ended(spark, people, tmp_path, monkeypatch):
+    numeric, categorical = D.feature_groups(people)
+    folded = people.withColumn("fold", F.pmod(F.hash("customerID"), F.lit(2))).cache()
+    trials = [M.Trial("logistic", 0, {"C": 1.0}), M.Trial("levelwise", 0, {"n_estimators": 2, "max_depth": 2})]
+    args = dict(key="customerID", numeric=numeric, categorical=categorical, seed=1, folds=2, path=str(tmp_path / "scores"))
+    made = M.make_estimator
+    calls = []
+
+    def fails_once(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return made(*a)
+
+    monkeypatch.setattr(M, "make_estimator", fails_once)
+    with pytest.raises(OSError, match="lost"):
+        M.search_params(folded, trials, **args)
+    monkeypatch.setattr(M, "search_logistic", None)  # its scores are complete
+    scores = M.search_params(folded, trials, **args)
+    assert len(calls) == 3  # only the fold that was lost
+    n = folded.count()
+    assert {(r["model"], r["n"]) for r in scores.groupBy("model").agg(F.count("*").alias("n")).collect()} == {
+        ("logistic", n), ("levelwise", n)
+    }
+    # Other parameters are other work.
+    more = M.search_params(folded, [M.Trial("levelwise", 0, {"n_estimators": 1, "max_depth": 2})], **args)
+    assert len(calls) == 5 and more.count() == n
+
+
 def test_saved_bundle_reproduces(spark, bundle, people, tmp_path):
     registry = str(tmp_path)
     with pytest.raises(FileNotFoundError):
@@ -168,19 +238,19 @@ def test_external_report_names_what_is_missing(spark, bundle):
         M.external_validation(bundle, foreign, {"age": "tenure"}, **args)
 
 
-@pytest.mark.parametrize("kind", ["levelwise", "forest"])
+@pytest.mark.parametrize("kind", ["levelwise", "leafwise"])
 def test_tree_parts_sum_to_the_margin(people, kind):
     numeric, categorical = D.feature_groups(people)
-    params = {"n_estimators": 5, "max_depth": 3, "num_leaves": 8, "min_child_samples": 2}
+    params = {"n_estimators": 5} | ({"max_depth": 3} if kind == "levelwise" else {"num_leaves": 8, "min_child_samples": 2})
     fitted, prep = M.fit_final(people, M.Trial(kind, 0, params), numeric, categorical, 1)
     rows = fitted.transform(people)
     model = fitted.stages[-1]
-    assert isinstance(model, (GBTClassificationModel, RandomForestClassificationModel))
+    assert isinstance(model, (GBTClassificationModel, LeafwiseModel))
     reasons = tree_drivers(rows, "customerID", model, prep.raw_names(), k=4)
     p = vector_to_array("probability")[1]
     both = reasons.join(rows.select("customerID", p.alias("p")), "customerID").collect()
     for r in both:
-        value = 1 / (1 + math.exp(-r.margin)) if kind == "levelwise" else r.margin
+        value = 1 / (1 + math.exp(-r.margin))
         assert value == pytest.approx(r.p, abs=1e-9)
         sizes = [abs(d.contribution) for d in r.drivers]
         assert len(sizes) == 4 and sizes == sorted(sizes, reverse=True)

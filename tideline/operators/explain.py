@@ -12,11 +12,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.boosting import LeafwiseModel
 from tideline.session import scratch_path
 
 
@@ -31,10 +32,11 @@ class Trees:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    start: float = 0.0
 
     @property
     def base(self) -> float:
-        return float(np.sum(self.weights * self.value[self.roots]))
+        return float(self.start + np.sum(self.weights * self.value[self.roots]))
 
 
 def read_trees(spark: SparkSession, model) -> Trees:
@@ -42,6 +44,8 @@ def read_trees(spark: SparkSession, model) -> Trees:
 
     The node count is set by the tree parameters, not by the data.
     """
+    if isinstance(model, LeafwiseModel):
+        return _leafwise_trees(model)
     path = scratch_path(spark, "trees")
     model.write().save(path)
     n = F.col("nodeData")
@@ -51,7 +55,6 @@ def read_trees(spark: SparkSession, model) -> Trees:
             "treeID",
             n["id"].alias("id"),
             n["prediction"].alias("prediction"),
-            n["impurityStats"].alias("stats"),
             n["leftChild"].alias("left"),
             n["rightChild"].alias("right"),
             n["split"]["featureIndex"].alias("feature"),
@@ -64,9 +67,6 @@ def read_trees(spark: SparkSession, model) -> Trees:
         value = nodes["prediction"].to_numpy(float)
         # twice the boosted sum is the log-odds
         weights = 2.0 * np.asarray(model.treeWeights, dtype=float)
-    elif isinstance(model, RandomForestClassificationModel):
-        value = np.array([s[1] / sum(s) for s in nodes["stats"]], dtype=float)
-        weights = np.full(len(model.treeWeights), 1.0 / len(model.treeWeights))
     else:
         raise TypeError(f"{type(model).__name__} is no tree model")
     first = nodes.groupby("treeID").head(1)
@@ -83,6 +83,18 @@ def read_trees(spark: SparkSession, model) -> Trees:
     )
 
 
+def _leafwise_trees(model: LeafwiseModel) -> Trees:
+    arrays = model.arrays()
+    start = np.cumsum([0, *(len(a[0]) for a in arrays)])
+    joined = [np.concatenate([a[c] for a in arrays]) if arrays else np.zeros(0) for c in range(5)]
+    shift = np.repeat(start[:-1], np.diff(start))
+    left, right = (np.where(joined[c] >= 0, joined[c] + shift, -1).astype(int) for c in (2, 3))
+    return Trees(
+        start[:-1], np.ones(len(arrays)), joined[0].astype(int), joined[1].astype(float), left, right, joined[4].astype(float),
+        model.getOrDefault("base"),
+    )
+
+
 def attribute(trees: Trees, x: np.ndarray) -> np.ndarray:
     """Contribution of every prepared column, for a batch of rows."""
     out = np.zeros(x.shape)

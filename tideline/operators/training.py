@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import uuid
+import zlib
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
 from tideline.functions.numeric import round_dp
-from tideline.operators.calibration import apply_model, fit_isotonic
+from tideline.operators.boosting import LeafwiseBooster
+from tideline.operators.calibration import apply_knots, fit_isotonic
 from tideline.operators.cleaning import map_schema
 from tideline.operators.curves import brier, curve_metrics, select_operating_point, threshold_metrics
 from tideline.operators.evaluation import band_gate, fold_summary, select_candidate
+from tideline.operators.logistic import search_logistic
 from tideline.operators.prepare import Preparer, feature_groups, fit_preparers, train_copies
 from tideline.operators.splits import stratified_folds, stratified_split
-from tideline.session import materialize, scratch_path
+from tideline.session import materialize, scratch_path, shared_folder
+from tideline.sources.ledger import Ledger, file_system
 from tideline.sources.registry import Bundle, load_bundle
 
-MODELS = ("logistic", "levelwise", "forest")
+MODELS = ("logistic", "levelwise", "leafwise")
 
 # Search ranges as (low, high, scale).
 RANGES = {
@@ -42,11 +44,13 @@ RANGES = {
         "subsample": (0.6, 1.0, "linear"),
         "colsample": (0.6, 1.0, "linear"),
     },
-    "forest": {
+    "leafwise": {
         "n_estimators": (100, 600, "int"),
         "num_leaves": (16, 255, "logint"),
+        "learning_rate": (0.01, 0.3, "log"),
         "subsample": (0.6, 1.0, "linear"),
         "colsample": (0.6, 1.0, "linear"),
+        "penalty": (1e-3, 10.0, "log"),
         "min_child_samples": (5, 100, "int"),
     },
 }
@@ -105,16 +109,8 @@ def make_estimator(model: str, params: Mapping, prep: Preparer, seed: int):
             seed=seed,
             **common,
         )
-    if model == "forest":
-        return RandomForestClassifier(
-            numTrees=params.get("n_estimators", 100),
-            maxDepth=max(2, math.ceil(math.log2(params.get("num_leaves", 31)))),
-            subsamplingRate=params.get("subsample", 1.0),
-            featureSubsetStrategy=str(params.get("colsample", 1.0)),
-            minInstancesPerNode=params.get("min_child_samples", 20),
-            seed=seed,
-            **common,
-        )
+    if model == "leafwise":
+        return LeafwiseBooster(seed=seed, **params)
     raise ValueError(f"unknown model {model!r}")
 
 
@@ -133,6 +129,12 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", vector_to_array("probability")[1])
 
 
+def _unit(trials: Sequence[Trial], fold: int | None, seed: int) -> str:
+    """The folder of a unit of work: its model, its fold, and a digest of all that it depends on."""
+    told = json.dumps([[t.model, t.trial, t.params] for t in trials] + [fold, seed], sort_keys=True)
+    return f"{trials[0].model}-{'all' if fold is None else fold}-{zlib.crc32(told.encode()):08x}"
+
+
 def search_params(
     train: DataFrame,
     trials: Sequence[Trial],
@@ -143,18 +145,44 @@ def search_params(
     seed: int,
     folds: int = V.FOLDS,
     parallelism: int = 3,
+    path: str | None = None,
 ) -> DataFrame:
     """Out-of-fold scores of every trial: (model, trial, fold, key, label, score).
 
     Preparation is fitted once per fold on the fold's training rows, for all
-    folds in one aggregation, and the prepared rows are kept while the trials
-    run side by side. Scores go to a table in the shared folder, which cuts
-    the lineage of the many fits.
+    folds in one aggregation. Logistic trials are fitted for all folds in the
+    same passes over the rows, leaf-wise trials of a fold grow side by side,
+    and level-wise ones run ``parallelism`` at a time. The scores are a table
+    in the shared folder. A unit of work whose scores are complete there is not
+    done again, so a job that is started anew with the same ``path`` goes on
+    where the last one ended.
     """
     spark = train.sparkSession
+    path = path or scratch_path(spark, "search-scores")
     preps = fit_preparers(train_copies(train, "fold", folds), numeric, categorical, group="trains")
-    path = scratch_path(spark, "search-scores")
+
+    def missing(unit: str) -> bool:
+        where, fs = file_system(spark, f"{path}/{unit}/_SUCCESS")
+        return not fs.exists(where)
+
+    def keep(scores: DataFrame, unit: str) -> None:
+        columns = ["model", "trial", "fold", key, "label", "score"]
+        scores.select(*columns).write.mode("overwrite").parquet(f"{path}/{unit}")
+
+    by_model = {m: [t for t in trials if t.model == m] for m in dict.fromkeys(t.model for t in trials)}
+    logistic = by_model.pop("logistic", [])
+    if logistic and missing(unit := _unit(logistic, None, seed)):
+        strengths = {t.trial: t.params.get("C", 1.0) for t in logistic}
+        scores = search_logistic(train, preps, strengths, key=key, numeric=numeric, categorical=categorical)
+        keep(scores.withColumn("model", F.lit("logistic")), unit)
+
     for fold, prep in sorted(preps.items()):
+        together = [[t] for t in by_model.get("levelwise", [])]
+        if by_model.get("leafwise"):
+            together.append(by_model["leafwise"])
+        todo = [group for group in together if missing(_unit(group, fold, seed))]
+        if not todo:
+            continue
         ready = (
             PipelineModel(stages=prep.stages())
             .transform(train)
@@ -162,23 +190,30 @@ def search_params(
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
-        def fit(trial: Trial, ready=ready, prep=prep, fold=fold) -> None:
-            estimator = make_estimator(trial.model, trial.params, prep, seed)
-            model = estimator.fit(weighted(ready.where(F.col("fold") != fold), trial.model, prep))
-            _scored(model.transform(ready.where(F.col("fold") == fold))).select(
-                F.lit(trial.model).alias("model"),
-                F.lit(trial.trial).alias("trial"),
-                "fold",
-                key,
-                "label",
-                "score",
-            ).write.parquet(f"{path}/{trial.model}-{trial.trial}-{fold}")
+        def fit(group: Sequence[Trial], ready=ready, prep=prep, fold=fold) -> None:
+            rows = weighted(ready.where(F.col("fold") != fold), group[0].model, prep)
+            left_out = ready.where(F.col("fold") == fold)
+            if group[0].model == "leafwise":
+                models = LeafwiseBooster(seed=seed).fit_all(rows, [t.params for t in group])
+            else:
+                models = [make_estimator(t.model, t.params, prep, seed).fit(rows) for t in group]
+            scores = None
+            for t, model in zip(group, models, strict=True):
+                own = _scored(model.transform(left_out)).withColumns(
+                    {"model": F.lit(t.model), "trial": F.lit(t.trial)}
+                ).drop("features", "rawPrediction", "probability", "prediction")
+                scores = own if scores is None else scores.unionByName(own)
+            keep(scores, _unit(group, fold, seed))
 
         with ThreadPoolExecutor(parallelism) as pool:
-            list(pool.map(inheritable_thread_target(spark)(fit), trials))
+            list(pool.map(inheritable_thread_target(spark)(fit), todo))
         ready.unpersist()
+    units = [] if not logistic else [_unit(logistic, None, seed)]
+    for fold in preps:
+        units += [_unit([t], fold, seed) for t in by_model.get("levelwise", [])]
+        units += [_unit(by_model["leafwise"], fold, seed)] if by_model.get("leafwise") else []
     schema = f"model string, trial int, fold int, {key} {dict(train.dtypes)[key]}, label int, score double"
-    return spark.read.schema(schema).parquet(f"{path}/*")
+    return spark.read.schema(schema).parquet(*(f"{path}/{unit}" for unit in units))
 
 
 def compare_trials(scores: DataFrame) -> DataFrame:
@@ -202,18 +237,6 @@ def fit_final(
     return PipelineModel(stages=[*stages, fitted]), prep
 
 
-class RunLog:
-    """Which (run, seed) has looked at its test part; a second look is an error."""
-
-    def __init__(self) -> None:
-        self.seen: set[tuple[str, int]] = set()
-
-    def touch(self, run: str, seed: int) -> None:
-        if (run, seed) in self.seen:
-            raise RuntimeError(f"test part of run {run!r}, seed {seed}, was already scored")
-        self.seen.add((run, seed))
-
-
 def train_protocol(
     frame: DataFrame,
     *,
@@ -226,14 +249,23 @@ def train_protocol(
     auc_band: tuple[float, float] | None = V.AUC_BAND,
     precision_floor: float = V.PRECISION_FLOOR,
     parallelism: int = 3,
-    run: str = "train",
-    log: RunLog | None = None,
+    run: str | None = None,
+    ledger: Ledger | None = None,
+    search_path: str | None = None,
 ) -> Bundle:
     """The whole protocol for one seed; ``frame`` has a 0/1 column ``label``.
 
+    The test part is looked at once: the look is entered in the ledger, by
+    default the one below the shared folder, and a run of the same name and
+    seed is refused there, in whatever session it is. Without a name the run
+    gets one of its own. With ``search_path`` an interrupted search goes on.
+
     Only one-row metrics, the fitted models and the preparation statistics
     reach the driver.
     """
+    ledger = ledger or Ledger(frame.sparkSession, f"{shared_folder(frame.sparkSession)}/ledger")
+    run = run or f"run-{uuid.uuid4().hex}"
+    ledger.refuse(run, seed)
     numeric, categorical = feature_groups(frame, exclude=(key,))
     split = stratified_split(frame, key=key, label="label", seed=seed)
     folded = stratified_folds(
@@ -254,6 +286,7 @@ def train_protocol(
         seed=seed,
         folds=n_splits,
         parallelism=parallelism,
+        path=search_path,
     )
     table = compare_trials(scores).collect()  # one row per model
     params = {(t.model, t.trial): t.params for t in trials}
@@ -274,13 +307,12 @@ def train_protocol(
     oof = scores.where((F.col("model") == chosen.model) & (F.col("trial") == chosen.trial))
     point = select_operating_point(oof, "score", "label", precision_floor=precision_floor)
     calibrator = fit_isotonic(oof, "score", "label")
-    both = apply_model(oof, calibrator, "score", "calibrated")
+    both = apply_knots(oof, calibrator, "score", "calibrated")
     oof_curve = curve_metrics(oof, "score", "label").first()
     oof_brier = brier(both, ["score", "calibrated"], "label").first()
 
     model, prep = fit_final(train, chosen, numeric, categorical, seed)
-    if log is not None:
-        log.touch(run, seed)
+    ledger.touch(run, seed)
     tested = _scored(model.transform(test)).select("label", "score")
     test_curve = curve_metrics(tested, "score", "label", digits=12).first()
     at = threshold_metrics(
@@ -402,8 +434,7 @@ def external_validation(
         F.lit(round(benchmark_auc, 4)).alias("benchmark_auc"),
         round_dp(F.col("roc_auc") - F.lit(benchmark_auc), 4).alias("auc_delta"),
         F.lit(
-            "zero-shot: the model is frozen, nothing was fitted on this table; "
-            "a large negative delta is reported, not tuned away"
+            "scored by the frozen bundle; the delta says how far its training population differs from this one"
         ).alias("note"),
         F.array(*[F.lit(c) for c in unmapped]).cast("array<string>").alias("unmapped_features"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import vocabulary as V
 from tideline.functions.numeric import round_dp
 from tideline.operators import training as M
-from tideline.operators.calibration import apply_model
+from tideline.operators.calibration import apply_knots
 from tideline.operators.evaluation import seed_summary
 from tideline.operators.explain import tree_drivers
 from tideline.operators.prefix import attach_totals
@@ -197,7 +197,7 @@ def flagship(spark, sf_dir):
     bundle = _train(spark, sf_dir, 42, ("logistic",))
     model = linear_model_of(bundle)
     people = profile(spark, sf_dir).withColumn("score", model.probability())
-    rated = apply_model(people, bundle.calibrator, "score", "calibrated")
+    rated = apply_knots(people, bundle.calibrator, "score", "calibrated")
     drivers = top_drivers(model.contributions())
     return rated.select(
         V.ROW_KEY,

@@ -181,26 +181,47 @@ def brier(spark, sf_dir):
     return U.brier(both, ["score", "calibrated"], "label", ["segment"])
 
 
+def _isotonic_sql(rows: str) -> str:
+    """``fitted``: the isotonic value at every score of ``rows``, by the max-min formula over all runs of scores."""
+    return f"""ones AS (SELECT score, count(*) AS w, sum(label)::BIGINT AS s FROM {rows} GROUP BY score),
+    run AS (SELECT *, sum(w) OVER (ORDER BY score) AS cw, sum(s) OVER (ORDER BY score) AS cs FROM ones),
+    pairs AS (SELECT a.score AS lo, b.score AS hi,
+      (b.cs - a.cs + a.s)::DOUBLE / (b.cw - a.cw + a.w)::DOUBLE AS mean FROM run a JOIN run b ON a.score <= b.score),
+    lowest AS (SELECT lo, hi, min(mean) OVER (PARTITION BY lo ORDER BY hi ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM pairs),
+    fitted AS (SELECT hi AS score, max(m) AS y FROM lowest GROUP BY hi)"""
+
+
 @query(
     "isotonic_fit",
-    f"""WITH {SCORED_SQL}, bins AS (
-      SELECT floor(score * 50)::BIGINT AS bin, count(*) AS w, sum(label)::BIGINT AS s FROM scored GROUP BY 1),
-    run AS (SELECT *, sum(w) OVER (ORDER BY bin) AS cw, sum(s) OVER (ORDER BY bin) AS cs FROM bins),
-    pairs AS (SELECT a.bin AS lo, b.bin AS hi,
-      (b.cs - a.cs + a.s)::DOUBLE / (b.cw - a.cw + a.w)::DOUBLE AS mean FROM run a JOIN run b ON a.bin <= b.bin),
-    lowest AS (SELECT lo, hi, min(mean) OVER (PARTITION BY lo ORDER BY hi ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM pairs)
-    SELECT hi::DOUBLE / 50.0::DOUBLE AS score, {round_sql('max(m)', 6)} AS calibrated FROM lowest GROUP BY hi""",
+    f"""WITH {SCORED_SQL}, {_isotonic_sql('scored')}
+    SELECT score, {round_sql('y', 6)} AS calibrated FROM fitted""",
 )
 def isotonic_fit(spark, sf_dir):
-    """Monotone fit on scores binned to 1/50, read back at every bin."""
-    binned = scored_lines(spark, sf_dir).select(
-        (F.floor(F.col("score") * 50).cast("double") / F.lit(50.0)).alias("score"), "label"
-    )
-    model = K.fit_isotonic(binned, "score", "label")
-    fitted = K.apply_model(binned.select("score").distinct(), model, "score", "calibrated")
+    """Monotone fit on the raw scores, read back at every score."""
+    scored = scored_lines(spark, sf_dir)
+    fitted = K.apply_knots(scored.select("score").distinct(), K.fit_isotonic(scored, "score", "label"), "score", "calibrated")
     return fitted.withColumn("calibrated", round_dp(F.col("calibrated"), 6))
 
 
+@query(
+    "isotonic_apply",
+    f"""WITH {SCORED_SQL}, train AS (SELECT * FROM scored WHERE fold = 0), {_isotonic_sql('train')},
+    asked AS (SELECT score, count(*) AS n FROM scored GROUP BY score),
+    below AS (SELECT a.score, a.n, f.score AS x0, f.y AS y0 FROM asked a ASOF LEFT JOIN fitted f ON a.score >= f.score),
+    both_sides AS (SELECT b.*, f.score AS x1, f.y AS y1 FROM below b ASOF LEFT JOIN fitted f ON b.score <= f.score)
+    SELECT score, n, {round_sql("""CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = score THEN y0
+      ELSE y0 + (y1 - y0) * ((score - x0) / (x1 - x0)) END""", 6)} AS calibrated FROM both_sides""",
+)
+def isotonic_apply(spark, sf_dir):
+    """Knots fitted on one fold, applied to the scores of all folds."""
+    scored = scored_lines(spark, sf_dir)
+    blocks = K.fit_isotonic(scored.where("fold = 0"), "score", "label")
+    asked = scored.groupBy("score").agg(F.count("*").alias("n"))
+    return K.apply_knots(asked, blocks, "score", "calibrated").select(
+        "score", "n", round_dp(F.col("calibrated"), 6).alias("calibrated")
+    )
+
+
 _C = {
     "tp": "score >= 0.45 AND label = 1",
     "fp": "score >= 0.45 AND label = 0",

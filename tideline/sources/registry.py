@@ -8,11 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators.calibration import apply_model
+from tideline.operators.calibration import apply_knots
 
 KIND = "scored-model"
 PREFIX = "churn_artifact_seed"
@@ -24,11 +23,11 @@ _META = (
 
 @dataclass
 class Bundle:
-    """Fitted pipeline, operating threshold, calibrator and provenance."""
+    """Fitted pipeline, operating threshold, the calibrator's blocks and provenance."""
 
     model: PipelineModel
     threshold: float
-    calibrator: IsotonicRegressionModel | None
+    calibrator: DataFrame | None
     features: list[str]
     metadata: dict = field(default_factory=dict)
     metrics: dict[str, float] = field(default_factory=dict)
@@ -51,7 +50,7 @@ class Bundle:
         scored = self.score(df)
         if self.calibrator is None:
             return scored.withColumn(name, F.col("score"))
-        return apply_model(scored, self.calibrator, "score", name)
+        return apply_knots(scored, self.calibrator, "score", name)
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, registry: str, seed: int) -> str:
@@ -60,7 +59,7 @@ def save_bundle(spark: SparkSession, bundle: Bundle, registry: str, seed: int) -
     path = f"{registry.rstrip('/')}/{name}"
     bundle.model.write().overwrite().save(f"{path}/model")
     if bundle.calibrator is not None:
-        bundle.calibrator.write().overwrite().save(f"{path}/calibrator")
+        bundle.calibrator.write.mode("overwrite").parquet(f"{path}/calibrator")
     row = (
         name,
         KIND,
@@ -83,7 +82,7 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     return Bundle(
         model=PipelineModel.load(f"{path}/model"),
         threshold=meta["threshold"],
-        calibrator=IsotonicRegressionModel.load(f"{path}/calibrator")
+        calibrator=spark.read.parquet(f"{path}/calibrator")
         if meta["has_calibrator"]
         else None,
         features=list(meta["features"]),
