@@ -68,6 +68,28 @@ def test_each_fold_is_fitted_on_the_other_folds(people):
         assert r["mean"] == pytest.approx(mean)
 
 
+def test_fold_statistics_equal_those_of_copied_rows(spark):
+    rng = random.Random(8)
+    draw = lambda: rng.choice([None, float(rng.randrange(9)), rng.gauss(0, 100), 1e-12 * rng.random()])
+    rows = [(k, k % 4, draw(), draw() if k % 4 else None, None, rng.choice(["a", "b", None]), k % 2) for k in range(600)]
+    rows += [(1000 + k, 1, 5.0, 5.0, None, "only here", 1) for k in range(301)]
+    df = spark.createDataFrame(rows, "customerID long, fold int, x double, y double, z double, w string, label int")
+    copies = D.train_copies(df, folds=5)
+    columns = ["n", "nulls", "median", "mean", "std"]
+    by = lambda stats: {(r["trains"], r["feature"]): [r[c] for c in columns] for r in stats.collect()}
+    got, want = by(D.fit_fold_numeric(df, ["x", "y"])), by(D.fit_numeric(copies, ["x", "y"], ["trains"]))
+    assert got.keys() == want.keys() and len(got) == 10
+    for k, values in got.items():
+        assert values == pytest.approx(want[k], rel=1e-9)
+    nothing = D.fit_fold_numeric(df, ["z"]).collect()
+    assert len(nothing) == 5 and all(r["nulls"] == r["n"] and r["median"] is None for r in nothing)
+    words = D.fit_fold_categories(df, ["w"]).collect()
+    assert sorted(map(tuple, words)) == sorted(
+        map(tuple, D.fit_categories(copies, ["w"], ["trains"]).select("trains", "feature", "value", "n").collect())
+    )
+    assert D.fit_fold_preparers(df, ["x", "y"], ["w"])[3].positives == sum(r[6] for r in rows if r[1] != 3)
+
+
 def test_preparation_columns_and_stages_agree(people):
     prep = D.fit_preparers(people.withColumn("g", F.lit(0)), *D.feature_groups(people), group="g")[0]
     from pyspark.ml import PipelineModel

@@ -18,12 +18,14 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions import vocabulary as V
-from tideline.operators.quantiles import medians, unpivot
+from tideline.operators.prefix import value_cells
+from tideline.operators.quantiles import fold_medians, medians, unpivot
+from tideline.session import materialize
 
 
 def feature_groups(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
@@ -62,9 +64,14 @@ def fit_numeric(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (
         F.avg("value").alias("m"),
         F.var_pop("value").alias("v"),
     )
-    joined = moments.join(medians(df, columns, groups), [*groups, "feature"])
+    return _filled(moments.join(medians(df, columns, groups), [*groups, "feature"]), groups)
+
+
+def _filled(joined: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Mean and deviation once nulls are filled with the median."""
     known, missing, n = F.col("known"), F.col("n") - F.col("known"), F.col("n")
-    mean = (known * F.col("m") + missing * F.col("median")) / n
+    total = F.col("total") if "total" in joined.columns else known * F.col("m")
+    mean = (F.coalesce(total, F.lit(0.0)) + F.when(missing > 0, missing * F.col("median")).otherwise(0.0)) / n
     variance = (
         known * (F.col("v") + F.pow(F.col("m") - F.col("mean"), F.lit(2.0)))
         + missing * F.pow(F.col("median") - F.col("mean"), F.lit(2.0))
@@ -76,6 +83,48 @@ def fit_numeric(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = (
     )
 
 
+def fit_fold_numeric(
+    df: DataFrame, columns: Sequence[str], fold: str = "fold", folds: int = V.FOLDS
+) -> DataFrame:
+    """What ``fit_numeric`` gives for the rows outside each fold, by ``trains``; no row is copied.
+
+    One pass counts rows per (fold, feature, value cell) with their moments.
+    What a fold's training side holds of a cell is what the other folds hold,
+    so moments and the cell of the median follow from these counts. A second
+    pass reads the values of the median's cells alone.
+    """
+    long = unpivot(df, [fold], columns, "double")
+    coarse, fine = value_cells(F.col("value"))
+    celled = long.withColumn("_c", F.when(F.col("value").isNotNull(), coarse))
+    cells = materialize(
+        celled.groupBy(fold, "feature", "_c").agg(
+            F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
+        ),
+        "fold-cells",
+    )
+    # Copies of counts: a few thousand rows a feature and fold.
+    sides = train_copies(cells, fold, folds)
+    known = F.when(F.col("_c").isNotNull(), F.col("n"))
+    side = Window.partitionBy("trains", "feature")
+    centred = sides.withColumn("mean", F.sum("total").over(side) / F.sum(known).over(side))
+    spread = known * (F.col("v") + F.pow(F.col("m") - F.col("mean"), F.lit(2.0)))
+    moments = centred.groupBy("trains", "feature").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(known), F.lit(0)).alias("known"),
+        F.max("mean").alias("m"), F.sum("total").alias("total"), (F.sum(spread) / F.sum(known)).alias("v"),
+    )
+    counts = sides.where(F.col("_c").isNotNull()).groupBy("trains", "feature", "_c").agg(F.sum("n").alias("n"))
+    middle = fold_medians(celled.where(F.col("_c").isNotNull()), counts, fold, fine)
+    return _filled(moments.join(middle, ["trains", "feature"], "left"), ["trains"])
+
+
+def fit_fold_categories(
+    df: DataFrame, columns: Sequence[str], fold: str = "fold", folds: int = V.FOLDS
+) -> DataFrame:
+    """Categories seen outside each fold, by ``trains``, from one count of the rows."""
+    counted = fit_categories(df, columns, [fold])
+    return train_copies(counted, fold, folds).groupBy("trains", "feature", "value").agg(F.sum("n").alias("n"))
+
+
 def median_impute(value: Column, median: Column) -> Column:
     return F.coalesce(value.cast("double"), median)
 
@@ -259,16 +308,51 @@ def fit_preparers(
     group: str,
 ) -> dict[int, Preparer]:
     """One preparer per value of ``group``, all fitted in the same few jobs."""
-    weights = imbalance_weights(df, label, [group]).collect()
-    numbers = fit_numeric(df, numeric, [group]).collect() if numeric else []
+    return _preparers(
+        imbalance_weights(df, label, [group]),
+        fit_numeric(df, numeric, [group]) if numeric else None,
+        fit_categories(df, categorical, [group]) if categorical else None,
+        numeric, categorical, group,
+    )
+
+
+def fit_fold_preparers(
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    *,
+    label: str = "label",
+    fold: str = "fold",
+    folds: int = V.FOLDS,
+) -> dict[int, Preparer]:
+    """One preparer per fold, fitted on the other folds' rows."""
+    labels = df.groupBy(fold, F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    sides = train_copies(labels, fold, folds).groupBy("trains").agg(
+        F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("negatives"),
+    )
+    return _preparers(
+        sides,
+        fit_fold_numeric(df, numeric, fold, folds) if numeric else None,
+        fit_fold_categories(df, categorical, fold, folds) if categorical else None,
+        numeric, categorical, "trains",
+    )
+
+
+def _preparers(
+    counts: DataFrame, numbers: DataFrame | None, words: DataFrame | None,
+    numeric: Sequence[str], categorical: Sequence[str], group: str,
+) -> dict[int, Preparer]:
+    weights = counts.collect()
+    stats_of = numbers.collect() if numbers is not None else []
     # What the fitted model itself holds: the categories of the training rows.
-    words = fit_categories(df, categorical, [group]).collect() if categorical else []
+    seen_by = words.collect() if words is not None else []
     out = {}
     for w in weights:
         g = w[group]
-        stats = {r["feature"]: r for r in numbers if r[group] == g}
+        stats = {r["feature"]: r for r in stats_of if r[group] == g}
         seen: dict[str, list] = {c: [] for c in categorical}
-        for r in words:
+        for r in seen_by:
             if r[group] == g:
                 seen[r["feature"]].append((r["value"], r["n"]))
         out[g] = Preparer(

@@ -121,3 +121,32 @@ def medians(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -
     return interpolated(
         long, "value", {"median": 0.5}, [*groups, "feature"]
     )
+
+
+def fold_medians(known: DataFrame, counts: DataFrame, fold: str, fine: Column) -> DataFrame:
+    """(trains, feature, median) over the rows outside each fold.
+
+    ``known`` has fold, feature, value and its coarse cell ``_c``; ``counts``
+    has the training side's rows by (trains, feature, _c). Only values in a
+    cell that holds a median are read, once for all folds that want them.
+    """
+    whole = Window.partitionBy("trains", "feature")
+    upto = whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns(
+        {"_size": F.sum("n").over(whole), "_skip": F.sum("n").over(upto) - F.col("n")}
+    )
+    low = F.floor((F.col("_size") - 1) / 2)
+    high = F.ceil((F.col("_size") - 1) / 2)
+    holds = lambda at: (F.col("_skip") <= at) & (at < F.col("_skip") + F.col("n"))
+    wanted = placed.where(holds(low) | holds(high)).select("trains", "feature", "_c", "_size", "_skip")
+    cells = wanted.select("feature", "_c").distinct()
+    values = known.join(cells, ["feature", "_c"]).groupBy("feature", "_c", fold, "value").agg(F.count("*").alias("_n"))
+    outside = (
+        values.join(wanted, ["feature", "_c"])
+        .where(F.col("trains") != F.col(fold))
+        .groupBy("trains", "feature", "_c", "_size", "_skip", "value").agg(F.sum("_n").alias("_n"))
+    )
+    inside = running(outside, groups=["trains", "feature", "_c"], cells=[fine], order=["value"], sums=["_n"])
+    counted = inside.withColumn("_n_before", F.col("_n_before") + F.col("_skip"))
+    below, above, between = _at("value", low), _at("value", high), F.max((F.col("_size") - 1) / 2 - low)
+    return counted.groupBy("trains", "feature").agg((below + (above - below) * between).alias("median"))

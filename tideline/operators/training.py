@@ -26,7 +26,7 @@ from tideline.operators.cleaning import map_schema
 from tideline.operators.curves import brier, curve_metrics, select_operating_point, threshold_metrics
 from tideline.operators.evaluation import band_gate, fold_summary, select_candidate
 from tideline.operators.logistic import search_logistic
-from tideline.operators.prepare import Preparer, feature_groups, fit_preparers, train_copies
+from tideline.operators.prepare import Preparer, feature_groups, fit_fold_preparers, fit_preparers
 from tideline.operators.splits import stratified_folds, stratified_split
 from tideline.session import materialize, scratch_path, shared_folder
 from tideline.sources.ledger import Ledger, file_system
@@ -159,7 +159,7 @@ def search_params(
     """
     spark = train.sparkSession
     path = path or scratch_path(spark, "search-scores")
-    preps = fit_preparers(train_copies(train, "fold", folds), numeric, categorical, group="trains")
+    preps = fit_fold_preparers(train, numeric, categorical, folds=folds)
 
     def missing(unit: str) -> bool:
         where, fs = file_system(spark, f"{path}/{unit}/_SUCCESS")
