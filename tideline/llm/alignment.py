@@ -48,6 +48,8 @@ from tideline.llm.words import packs, text_bytes
 from tideline.session import materialize
 
 LANE = 256
+#: Bytes of text that are aligned at a time.
+_PACK = 1 << 18
 _CODEC = "zstd"
 _SPACE = 0x20
 _PIECE_SPACE = "▁"
@@ -256,7 +258,7 @@ def _packed(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str):
     coders = _coders(a_path, b_path)
     for batch in batches:
         texts = batch.column("text")
-        for lo, hi in packs(text_bytes(texts)[1]):
+        for lo, hi in packs(text_bytes(texts)[1], _PACK):
             yield batch.column("doc_id").slice(lo, hi - lo), align(texts.slice(lo, hi - lo), *coders), coders
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from tideline.llm.words import Hasher
 
 #: Units that are remembered before the worker starts again.
-_KEPT = 1_000_000
+_KEPT = 300_000
 
 #: Ids of units given as bytes: all ids in one array, and the number of each.
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
