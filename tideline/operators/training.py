@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +111,11 @@ def make_estimator(model: str, params: Mapping, prep: Preparer, seed: int):
         )
     if model == "leafwise":
         return LeafwiseBooster(seed=seed, **params)
+    if model == "forest":  # no candidate of the protocol
+        return RandomForestClassifier(
+            numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5),
+            minInstancesPerNode=params.get("min_child_samples", 20), seed=seed, **common,
+        )
     raise ValueError(f"unknown model {model!r}")
 
 
