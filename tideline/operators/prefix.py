@@ -105,10 +105,10 @@ def running(
         | {f"{c}_carried": F.last(c, ignorenulls=True).over(upto) for c in lasts}
     )
 
-    stamp = F.struct(*order)
-    totals = rows.groupBy(*leaf_keys).agg(
+    # What a cell hands on is what its last row carries: one struct, however many columns.
+    totals = (leaf if lasts else rows).groupBy(*leaf_keys).agg(
         *[F.sum(s).alias(s) for s in sums],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), stamp)).alias(c) for c in lasts],
+        *_held([F.col(f"{c}_carried").alias(c) for c in lasts], F.struct(*order)),
     )
     offsets = None
     for level in reversed(range(len(names))):
@@ -118,6 +118,8 @@ def running(
             .orderBy(here)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
+        if lasts:
+            totals = totals.select("*", "_held.*").drop("_held")
         step = totals.select(
             *parent,
             here,
@@ -126,9 +128,11 @@ def running(
         )
         offsets = step if offsets is None else offsets.join(step, parent + [here])
         if level:
-            totals = totals.groupBy(*parent).agg(
+            now = Window.partitionBy(*parent).orderBy(here).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            carried = totals.withColumns({c: F.last(c, ignorenulls=True).over(now) for c in lasts})
+            totals = carried.groupBy(*parent).agg(
                 *[F.sum(s).alias(s) for s in sums],
-                *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(here))).alias(c) for c in lasts],
+                *_held([F.col(c) for c in lasts], F.col(here)),
             )
     levels = range(len(names))
     added = {}
@@ -146,6 +150,11 @@ def running(
     return leaf.join(offsets, leaf_keys).withColumns(added).drop(*group, *helpers)
 
 
+def _held(columns: Sequence[Column], stamp: Column) -> list[Column]:
+    """The columns of the row with the greatest stamp, as one struct; nothing without columns."""
+    return [F.max_by(F.struct(*columns), stamp).alias("_held")] if columns else []
+
+
 def attach_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Add per-group totals; without groups the single row is a scalar subquery."""
     if groups:

@@ -20,6 +20,7 @@ from tideline.operators.scoring import (
     what_if,
 )
 from tideline.operators.sessions import facts_map, session_profile
+from tideline.session import materialize
 
 
 def _read_filters(df: DataFrame, filters: str, name: str) -> DataFrame:
@@ -112,11 +113,12 @@ def process_turns(
 ) -> DataFrame:
     """Every turn with its verdict and the session profile after it.
 
-    Requests are read where the turns are; what is shuffled by session
-    afterwards are the verdicts and the few facts.
+    Requests are read where the turns are, once, and written down with their
+    verdicts; what is shuffled by session afterwards is that table.
     """
     facts = {f: F.col("facts")[f] for f in V.FEATURES}
-    stated = session_profile(read_turns(turns), session=session, order=order, facts=facts)
+    read = materialize(read_turns(turns), "read-turns")
+    stated = session_profile(read, session=session, order=order, facts=facts)
     return stated.withColumn("profile", facts_map(V.FEATURES)).drop(*V.FEATURES)
 
 
