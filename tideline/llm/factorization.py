@@ -95,7 +95,8 @@ def document_inputs(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray,
     odd_end = np.bincount(owner, weights=(_MARKS["symbol"] | _MARKS["shout"])[last], minlength=docs)
     letters = np.bincount(owner, weights=(words.end - words.start), minlength=docs)
     line_ends = np.flatnonzero(data == 0x0A)
-    closed = line_ends[(line_ends > 0)]
+    # What stands before a text's first byte is another text.
+    closed = line_ends[~np.isin(line_ends, offsets)]
     closed = closed[np.isin(data[closed - 1], list(b".!?:;\"')"))]
     open_lines = marks["line"] - (np.searchsorted(closed, offsets[1:]) - np.searchsorted(closed, offsets[:-1]))
     known = ~np.isnan(n_chars)
@@ -281,12 +282,16 @@ def train_quality(
 
 def score_quality(docs: DataFrame, machine: Machine | None, *, threshold: float = 0.3) -> DataFrame:
     """Every document with held_out, score and predicted."""
-    keep = [c for c in docs.columns if c not in (*RESULTS, "text", "n_chars")]
-    passed = docs.select(*map(quoted, keep)).schema
-    scored = _inputs_of(docs, *map(F.col, map(quoted, keep))).mapInArrow(
-        _score(docs.sparkSession.sparkContext.broadcast(machine), keep), T.StructType([*passed, T.StructField("score", T.DoubleType())])
+    # Columns travel under plain names, as Arrow functions don't take every name.
+    keep = {f"__{i}": c for i, c in enumerate(docs.columns) if c not in (*RESULTS, "text", "n_chars")}
+    own = [F.col(quoted(c)).alias(k) for k, c in keep.items()]
+    passed = docs.select(*own).schema
+    scored = _inputs_of(docs, *own).mapInArrow(
+        _score(docs.sparkSession.sparkContext.broadcast(machine), list(keep)),
+        T.StructType([*passed, T.StructField("score", T.DoubleType())]),
     )
+    doc_id = next(k for k, c in keep.items() if c == "doc_id")
     return scored.select(
-        *map(quoted, keep), held_out(F.col("doc_id")).alias("held_out"), "score",
+        *(F.col(k).alias(c) for k, c in keep.items()), held_out(F.col(doc_id)).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
     )
