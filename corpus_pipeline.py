@@ -6,7 +6,9 @@ return the columns of documents: doc_id, text, lang, source, n_chars.
 
 Null or empty texts fail the quality rules. Rows of one id are documents of
 their own; of near duplicates one row stays, of several of the least id the
-one with the least text hash.
+one with the least text hash. Texts of any length go through whole. Columns
+beyond those of documents are dropped, so they may have any name. An empty
+table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.fence import fenced
 from tideline.llm.decontaminate import find_contamination
 from tideline.llm.line_rules import clean_documents
 from tideline.llm.mixing import mix_sources
 from tideline.llm.ngram_join import near_duplicates
-from tideline.llm.tables import table, text_of, word_list
+from tideline.llm.tables import bind, table, text_of, word_list
 from tideline.llm.token_files import token_digests
 from tideline.session import materialize
 
@@ -32,8 +35,10 @@ def _with_text(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without the lines that fail."""
-    kept = clean_documents(docs.select(*COLUMNS)).where("kept")
-    return _with_text(kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source"))
+    report = clean_documents(docs.select(*COLUMNS))
+    # The verdict is a fenced column: a filter on it would work the whole report out once more.
+    judged = fenced(report, {"stays": F.col("kept"), "text": F.col("clean_text")}, ["doc_id", "lang", "source"])
+    return _with_text(judged.where("stays"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +69,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once the words it takes beyond that."""
+    """Each document as often as the mix takes it whole, and once the words it takes beyond that.
+
+    Those words are runs of the document's words, joined by blanks: the text of
+    such a row is pieced together from blocks that the mix drew.
+    """
     taken = mix_sources(docs.select("doc_id", "source", "text")).where("taken > 0")
     parts = taken.groupBy("doc_id", "source", "text_key").agg(
         F.flatten(
@@ -90,16 +99,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         & own["source"].eqNullSafe(F.col("__source"))
         & (own["text_key"] == F.col("__key")),
     ).select(*COLUMNS, F.explode("parts").alias("spans"))
-    words = F.col("__words")
-    cut = joined.withColumn("__words", F.when(F.col("spans").isNotNull(), word_list(text_of("text"))))
-    part = F.array_join(
-        F.flatten(
-            F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    # The words are split once a row and not once a span.
+    part = bind(
+        word_list(text_of("text")),
+        lambda words: F.array_join(
+            F.flatten(
+                F.transform(
+                    "spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+                )
+            ),
+            " ",
         ),
-        " ",
     )
     return _with_text(
-        cut.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(part).alias("text"), "lang", "source")
+        joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(part).alias("text"), "lang", "source")
     )
 
 

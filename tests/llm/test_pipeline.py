@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 import sys
 import zlib
@@ -12,10 +13,10 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from tests.llm.cases import documents, frame, words
+from tests.llm.cases import documents, frame, lower, words
 from tests.llm.test_operators import near_groups
 
-from tideline.llm.line_rules import clean_documents
+from tideline.llm.line_rules import LineRules, clean_documents
 from tideline.session import materialize
 
 ROOT = Path(corpus_pipeline.__file__).parent
@@ -36,11 +37,82 @@ def test_stages_are_the_five_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_join", "decontaminate", "mix", "tokens"]
 
 
-def test_quality_stage_keeps_what_the_rules_keep(spark, docs):
-    got = plain(STAGE["quality_rules"](spark, docs, ""))
-    report = clean_documents(docs).where("kept").collect()
-    assert Counter((g[0], g[1], g[3]) for g in got) == Counter((r["doc_id"], r["clean_text"], r["source"]) for r in report)
-    assert all(g[4] == len(g[1]) for g in got)
+def lines_left(text):
+    """Lines that no rule fails, by the rules' own statements and plain Python."""
+    rules = LineRules()
+    left = []
+    for line in (text or "").split("\n"):
+        w = words(line)
+        if not w:
+            continue
+        symbols = len(re.findall(f"[{rules_symbols()}]", line))
+        capitals = len(re.findall("[A-Z]", line))
+        failed = (
+            symbols * 100 > len(w) * rules.line_symbol_percent
+            or (len(w) > 1 and capitals * 100 > len(line) * rules.line_capital_percent)
+            or (len(w) >= rules.open_line_words and not re.search(rules.ends, line))
+            or len(re.split(rules.separators, line)) > rules.menu_separators
+            or re.search(rules.boilerplate, line)
+        )
+        if not failed:
+            left.append(line)
+    return left
+
+
+def rules_symbols():
+    from tideline.llm.line_rules import SYMBOLS
+
+    return SYMBOLS
+
+
+def test_quality_stage_keeps_what_the_rules_keep(spark):
+    rules = LineRules()
+    rows = documents(5, 80)
+    prose = "\n".join(" ".join(f"{w}{k}" for w in "a plain sentence of words that goes on and then ends".split()) + "." for k in range(8))
+    rows += [(k, text, "en", "s", 1, *[None] * 5) for k, text in enumerate([prose, prose + "\nHome | News | About | More", None, ""], 700)]
+    got = plain(STAGE["quality_rules"](spark, frame(spark, rows), ""))
+    want = []
+    for r in rows:
+        w = words(r[1])
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeat = {k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
+        if len(w) < rules.min_words or 100 * len(repeat) > rules.max_repeat_percent * len(w):
+            continue
+        left = lines_left(r[1])
+        if 100 * sum(len(words(x)) for x in left) >= rules.min_left_percent * len(w):
+            want.append((r[0], "\n".join(left), r[2], r[3], len("\n".join(left))))
+    assert len(want) >= 2 and Counter(got) == Counter(want)
+
+
+def test_decontaminated_documents_hold_no_window(spark, tmp_path):
+    token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = documents(6, 60)
+    long = next(r[1] for r in rows if len(words(r[1])) > 100)
+    items = [("a", " ".join(long.split()[20:34])), ("b", "one"), ("c", None), ("d", "..."), ("e", " ".join(f"q{k}" for k in range(12)))]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    windows = set()
+    for _, text in items:
+        w = token.findall(lower(text))
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+
+    def hit(text):
+        w = token.findall(lower(text))
+        return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+    got = plain(STAGE["decontaminate"](spark, frame(spark, rows), str(tmp_path)))
+    want = [tuple(r[:5]) for r in rows if not hit(r[1])]
+    assert 0 < len(want) < len(rows) and Counter(got) == Counter(want)
+
+
+def test_stages_take_empty_tables_and_nulls(spark, tmp_path):
+    spark.createDataFrame([("a", "some item text")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    nulls = [(None, None, None, None, None, *[None] * 5), (1, "", "en", None, 0, *[None] * 5), (2, None, "en", "s", None, *[None] * 5)]
+    for rows in ([], nulls):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame(spark, rows), str(tmp_path))
+            n = out.count()
+            assert name == "tokens" or out.columns == corpus_pipeline.COLUMNS
+            assert n == (0 if not rows or name in ("quality_rules", "mix") else len(rows)), name
 
 
 def test_one_document_of_each_group_stays(spark, docs):
