@@ -49,8 +49,10 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def connect(edges: DataFrame) -> DataFrame:
     """node, label of every node that has an edge; equal labels mean connected.
 
-    Edges are first thinned to a forest inside each partition. Then, round by
-    round, every node is merged into the neighbour with the least hash, if that
+    Edges come thinned by whoever makes them, as far as that is cheap there: in
+    that stage a second Python worker would stand beside the one that makes
+    them. They are thinned to a forest inside each partition once they are
+    written. Then, round by round, every node is merged into the neighbour with the least hash, if that
     is below its own, and edges are drawn again between what is left, until
     none is. The hash changes every round, so whatever the nodes are called a
     fixed share of them is expected to merge, and edges fall off
@@ -64,7 +66,7 @@ def connect(edges: DataFrame) -> DataFrame:
         return materialize(drawn.coalesce(parts).mapInArrow(_local_forest, "a long, b long"), "edges")
 
     # Making the edges is the work, so that step keeps its own parallelism.
-    made = materialize(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long"), "edges")
+    made = materialize(edges.select("a", "b"), "edges")
     left = thinned(made)
     out = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     step = 0

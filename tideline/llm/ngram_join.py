@@ -47,6 +47,7 @@ from tideline.llm.words import (
     find_words,
     lower_ascii,
     packs,
+    run_starts,
     shingle_sets,
     text_bytes,
     visible_bytes,
@@ -56,6 +57,11 @@ from tideline.session import materialize
 _SEED = 53
 _SKETCH_BITS = 24
 _SLICES = 64
+_WIDTH = (1 << _SKETCH_BITS) // _SLICES
+#: Bytes of text that are hashed at a time.
+_PACK = 1 << 19
+#: Shingles that a task holds before it sends their cells.
+_HELD = 1 << 19
 _LIST = 64
 _MATRIX = 1024
 _ROWS = 512
@@ -73,24 +79,49 @@ def _prefix(n: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int):
+    """Cells of a partition's shingles and how often each is met, slice by slice.
+
+    Only cells that occur are held and sent, ``_HELD`` shingles at a time, so
+    a task needs no table of all cells.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(_SEED)
-        total = np.zeros(1 << _SKETCH_BITS, np.uint32)
+        waiting, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            cells = np.sort(np.concatenate(waiting))
+            waiting.clear()
+            held = 0
+            first = run_starts(cells)
+            counts = np.diff(np.append(first, len(cells))).astype(np.uint32)
+            cells = cells[first]
+            edge = np.searchsorted(cells, np.arange(_SLICES + 1) * _WIDTH)
+            full = np.flatnonzero(np.diff(edge))
+            parts = [slice(edge[k], edge[k + 1]) for k in full]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(full.astype(np.int32)),
+                    pa.array([zlib.compress((cells[p] % _WIDTH).astype(np.uint32).tobytes(), 1) for p in parts], pa.binary()),
+                    pa.array([zlib.compress(counts[p].tobytes(), 1) for p in parts], pa.binary()),
+                ],
+                names=["slice", "cells", "counts"],
+            )
+
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in packs(offsets):
+            for lo, hi in packs(offsets, _PACK):
                 part = lower_ascii(data[offsets[lo] : offsets[hi]])
                 words = find_words(part, offsets[lo : hi + 1] - offsets[lo], visible_bytes())
                 whole = hasher.windows(hasher.words(part, words), size)
                 whole = whole[words.room()[: len(whole)] >= size]
-                np.add.at(total, _cell(whole), np.uint32(1))
-        for k, part in enumerate(np.split(total, _SLICES)):
-            if part.any():
-                kind = np.uint8 if part.max() < 256 else np.uint32
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())],
-                    names=["slice", "counts"],
-                )
+                waiting.append(_cell(whole).astype(np.int32))
+                held += len(whole)
+                if held >= _HELD:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -102,7 +133,6 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted slices summed; each cell's place in the order, an eighth of a doubling a step."""
     now, total = None, None
-    width = (1 << _SKETCH_BITS) // _SLICES
 
     def done():
         level = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
@@ -111,15 +141,12 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            raw = zlib.decompress(packed)
-            part = np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32).astype(np.int64)
-            if k == now:
-                total = total + part
-            else:
+        for k, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("slice", "cells", "counts")), strict=True):
+            if k != now:
                 if now is not None:
                     yield done()
-                now, total = k, part
+                now, total = k, np.zeros(_WIDTH, np.int64)
+            total[np.frombuffer(zlib.decompress(cells), np.uint32)] += np.frombuffer(zlib.decompress(counts), np.uint32)
     if now is not None:
         yield done()
 
@@ -142,7 +169,7 @@ def _rows(size: int, levels, buckets: int, doc_type: pa.DataType):
         edge = np.array([k * step for k in range(1, buckets)], np.uint64)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in packs(offsets, 2 << 20):
+            for lo, hi in packs(offsets, _PACK):
                 part = lower_ascii(data[offsets[lo] : offsets[hi]])
                 sets, first = shingle_sets(part, offsets[lo : hi + 1] - offsets[lo], hasher, size)
                 n = np.diff(first)
@@ -268,7 +295,7 @@ def _wanted_sets(size: int, wanted):
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column("cell").to_numpy()]))
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in packs(offsets):
+            for lo, hi in packs(offsets, _PACK):
                 part = lower_ascii(data[offsets[lo] : offsets[hi]])
                 sets, first = shingle_sets(part, offsets[lo : hi + 1] - offsets[lo], hasher, size)
                 sig = hasher.spans(sets, first[:-1], first[1:]).view(np.int64)
@@ -312,7 +339,8 @@ def _product(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             fits = 5 * n[rows, None] >= 4 * n[None, others]
             if r == s:
                 fits &= np.triu(np.ones(fits.shape, np.bool_), 1)
-            overlap = np.zeros(fits.shape, np.float32)
+            # A tile's product is exact in 32 bits, as it is narrower than 2^24; the sum needs whole numbers.
+            overlap = np.zeros(fits.shape, np.int64)
             left_x, left_y = (np.bincount(row, minlength=len(n))[x].astype(np.int64) for x in (rows, others))
             for t in range(len(tile_edge) - 1):
                 within = slice(tile_edge[t], tile_edge[t + 1])
@@ -320,7 +348,7 @@ def _product(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
                 y, used_y = (x, used_x) if r == s else _tile(
                     row[within], col[within] - t * _COLUMNS, others, min(_COLUMNS, columns - t * _COLUMNS)
                 )
-                overlap += x @ y.T
+                overlap += (x @ y.T).astype(np.int64)
                 left_x, left_y = left_x - used_x, left_y - used_y
                 if not (fits & (overlap + np.minimum(left_x[:, None], left_y[None, :]) >= need)).any():
                     break
@@ -408,7 +436,7 @@ def _in_blocks(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     ``text_key`` is a hash of the text that tells rows of one id apart;
@@ -421,13 +449,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, block_shingles: int =
     text = docs.select("doc_id", text_of("text").alias("text"), F.xxhash64(text_of("text")).alias("text_key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = np.zeros(1 << _SKETCH_BITS, np.uint8)
-    width = len(order) // _SLICES
     slices = (
-        text.select("text").mapInArrow(_sketch(shingle), "slice int, counts binary")
+        text.select("text").mapInArrow(_sketch(shingle), "slice int, cells binary, counts binary")
         .repartition(2 * _SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_levels, "slice int, levels binary")
     )
     for k, raw in slices.toLocalIterator():  # a table of 16 megabytes
-        order[k * width : (k + 1) * width] = np.frombuffer(raw, np.uint8)
+        order[k * _WIDTH : (k + 1) * _WIDTH] = np.frombuffer(raw, np.uint8)
     levels = spark.sparkContext.broadcast(order)
     chars = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts, int(chars // 30_000_000) + 1)
