@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import vocabulary as V
 from tideline.operators import cleaning as C
+from tideline.sources.checks import WriteChecks
 from tideline.sources.profiles import read_profiles, row_count, write_clean
 
 
@@ -130,3 +131,72 @@ def test_text_that_is_no_number_raises_with_and_without_ansi(spark, ansi):
         assert good.first()["total"] == 2.5
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def checked(spark, rows, path, expected_rows, checks):
+    df = spark.createDataFrame(rows, "tenure int, Total_Charges string")
+    df = C.expect_shape(df, expected_rows, 2, checks=checks)
+    df = C.coerce_numeric_with_rule(df, "Total_Charges", F.col("tenure") == 0, checks=checks)
+    return write_clean(df, path, checks=checks)
+
+
+GOOD = [(0, " "), (3, "4.5"), (2, " 7 "), (0, "1")]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_checks_hold_in_the_write_job(spark, tmp_path, kind):
+    checks = WriteChecks()
+    df = C.expect_shape(spark.createDataFrame(GOOD, "a int, b string"), 4, 2, checks=checks)
+    path = write_clean(df, str(tmp_path / f"t.{kind}"), kind=kind, checks=checks)
+    assert checks.found == {"rows": 4}
+    reader = spark.read.option("header", True)
+    assert {(int(r.a), r.b) for r in reader.format(kind).load(path).collect()} == set(GOOD)
+    assert [p.name for p in tmp_path.iterdir()] == [f"t.{kind}"]
+
+
+def test_a_checked_write_runs_one_job_and_replaces_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    checked(spark, [(1, "9")], path, 1, WriteChecks())
+    tracker, group = spark.sparkContext.statusTracker(), "one-checked-write"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        checks = WriteChecks()
+        checked(spark, GOOD, path, 4, checks)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) == 1
+    assert checks.found == {"rows": 4, "Total_Charges blank": 0, "Total_Charges text": 0}
+    assert sorted(r.Total_Charges for r in spark.read.parquet(path).collect()) == [0.0, 1.0, 4.5, 7.0]
+
+
+@pytest.mark.parametrize(
+    "rows, expected, said",
+    [
+        (GOOD, 5, "unexpected number of rows 4, expected 5"),
+        ([*GOOD, (2, ""), (None, None)], 6, "2 blank Total_Charges row"),
+        ([*GOOD, (2, "x"), (0, "y")], 6, "2 Total_Charges text"),
+        ([], 1, "unexpected number of rows 0, expected 1"),
+        ([(2, " "), (2, "x")], 1, "rows 2, expected 1; 1 blank .*; 1 Total_Charges text"),
+    ],
+)
+def test_a_failed_check_leaves_what_was_there(spark, tmp_path, rows, expected, said):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match=said):
+        checked(spark, rows, path, expected, WriteChecks())
+    assert list(tmp_path.iterdir()) == []
+    checked(spark, [(1, "9")], path, 1, WriteChecks())
+    with pytest.raises(ValueError, match=said):
+        checked(spark, rows, path, expected, WriteChecks())
+    assert [r.Total_Charges for r in spark.read.parquet(path).collect()] == [9.0]
+
+
+def test_an_empty_table_passes_checks_for_none(spark, tmp_path):
+    path = checked(spark, [], str(tmp_path / "t"), 0, WriteChecks())
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_a_failing_job_leaves_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int").withColumn("b", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        write_clean(df, str(tmp_path / "t"), checks=WriteChecks())
+    assert list(tmp_path.iterdir()) == []

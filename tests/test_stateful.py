@@ -9,8 +9,13 @@ from tideline.operators import budgets as B
 from tideline.operators import sessions as S
 from tideline.operators.scoring import LinearModel
 from tideline.operators.turns import answer_turns, process_turns, read_turns
-from tideline.streaming.folds import call_budget_stream, redact_stream, session_profile_stream
-from tideline.streaming.run import read_files, run_available
+from tideline.streaming.folds import (
+    call_budget_stream,
+    redact_stream,
+    session_epochs_stream,
+    session_profile_stream,
+)
+from tideline.streaming.run import Closing, Report, read_files, run_available
 
 SECOND = 1_000_000
 START = 1_700_000_000 * SECOND
@@ -201,3 +206,100 @@ def test_budget_of_null_keys_busy_keys_and_pauses(spark):
     assert out == want
     none = B.call_budget(df, max_calls=0, window_us=60 * SECOND)
     assert none.where("admitted").isEmpty() and none.count() == len(rows)
+
+
+TTL = 50 * SECOND
+TURN = "key string, ts timestamp, event_id long, feature string, stated string"
+
+
+def make_turns(n=200, seed=11):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        key = "hot" if rng.random() < 0.34 else f"s{rng.randrange(4)}"
+        feature = rng.choice([None, "f0", "f1", "f2"])  # no feature is a reset
+        rows.append((key, START + rng.randrange(0, 2000) * SECOND, i, feature, rng.choice([None, f"v{i}"])))
+    return rows
+
+
+def epochs(rows):
+    """The plain loop: (epoch, profile) by event."""
+    alive, out = {}, {}
+    for key, ts, event, feature, stated in sorted(rows, key=lambda r: (r[1], r[2])):
+        epoch, profile, last = alive.get(key, (None, {}, None))
+        if last is None or ts - last > TTL or feature is None:
+            epoch, profile = event, {}
+        if feature is not None and stated is not None:
+            profile = {**profile, feature: stated}
+        alive[key] = (epoch, profile, ts)
+        out[event] = (epoch, profile)
+    return out
+
+
+def epoch_stream(spark, folder, closing=None, **options):
+    stream = read_files(spark, folder, TURN, **options)
+    if closing is not None:
+        stream = closing.added_to(stream)
+    facts = F.when(F.col("feature").isNotNull(), F.create_map("feature", "stated"))
+    return session_epochs_stream(
+        stream.select("key", "ts", "event_id", facts.alias("facts")), ttl_us=TTL, delay="400 seconds"
+    )
+
+
+def write_turns(spark, folder, rows):
+    spark.createDataFrame(rows, "key string, us long, event_id long, feature string, stated string").select(
+        "key", F.timestamp_micros("us").alias("ts"), "event_id", "feature", "stated"
+    ).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_stream_epochs_equal_a_plain_loop_and_leave_no_state(spark, tmp_path):
+    rows, path = make_turns(), str(tmp_path / "turns")
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1] // (300 * SECOND), random.Random(i).random()))
+    for at in range(0, len(rows), 50):
+        write_turns(spark, path, [rows[i] for i in order[at : at + 50]])
+    closing, report = Closing(spark, spark.createDataFrame([], TURN).schema), Report()
+    stream = epoch_stream(spark, path, closing, files_per_batch=1)
+    found = run_available(stream, "epochs", closing=closing, report=report).collect()
+    assert {r.event_id: (r.epoch, r.profile) for r in found} == epochs(rows)
+    assert len(found) == len(rows)
+    assert report.late_rows == 0
+    # What is left belongs to the closing row: one held slot and its timer.
+    only, nothing = Report(), str(tmp_path / "none")
+    spark.createDataFrame([], TURN).write.parquet(nothing)
+    closing = Closing(spark, spark.createDataFrame([], TURN).schema)
+    run_available(epoch_stream(spark, nothing, closing), "none", closing=closing, report=only)
+    assert report.state_rows == only.state_rows
+
+
+def test_a_turn_at_the_end_of_the_time_to_live_goes_on(spark, tmp_path):
+    path = str(tmp_path / "turns")
+    at = [0, TTL, 2 * TTL + 1, 2 * TTL + 1]
+    rows = [("k", START + t, i, "f0", f"v{i}" if i != 3 else None) for i, t in enumerate(at)]
+    write_turns(spark, path, [*rows, ("z", START + 3600 * SECOND, 99, "f0", "x")])
+    found = run_available(epoch_stream(spark, path), "t").orderBy("event_id").collect()
+    assert [r.epoch for r in found] == [0, 0, 2, 2]
+    assert [r.profile for r in found] == [{"f0": "v0"}, {"f0": "v1"}, {"f0": "v2"}, {"f0": "v2"}]
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    schema = "key long, ts timestamp, event_id long"
+
+    def arrive(*calls):
+        spark.createDataFrame(calls, "key long, s long, event_id long").select(
+            "key", F.timestamp_seconds("s").alias("ts"), "event_id"
+        ).coalesce(1).write.mode("append").parquet(path)
+
+    arrive((1, 1000, 1), (2, 2000, 2))
+    closing, report = Closing(spark, spark.createDataFrame([], schema).schema), Report()
+    calls = closing.added_to(read_files(spark, path, schema))
+    out = run_available(
+        call_budget_stream(calls, max_calls=9, window_us=SECOND, delay="100 seconds"),
+        "late",
+        # The watermark stands at 1900: a row of that time is late, one after it is not.
+        arrivals=[lambda: arrive((1, 1100, 3), (3, 1900, 4), (3, 1901, 5), (1, 2500, 6))],
+        closing=closing,
+        report=report,
+    )
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 5, 6]
+    assert report.late_rows == 2

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tideline.functions import vocabulary as V
 from tideline.functions.numeric import blank, round_dp, strip
+from tideline.sources.checks import WriteChecks
+
 
 def trim_headers(df: DataFrame) -> DataFrame:
     """Strip whitespace from column names; two names may not become one."""
@@ -19,8 +21,18 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def expect_shape(df: DataFrame, rows: int, columns: int) -> DataFrame:
-    """Return the table unchanged, or raise if its shape is not the expected one."""
+def expect_shape(
+    df: DataFrame, rows: int, columns: int, *, checks: WriteChecks | None = None
+) -> DataFrame:
+    """Return the table unchanged, or raise if its shape is not the expected one.
+
+    With ``checks`` the rows are counted by the job that writes the table.
+    """
+    if checks is not None:
+        if len(df.columns) != columns:
+            raise ValueError(f"unexpected number of columns {len(df.columns)}, expected {columns}")
+        wrong = f"unexpected number of rows {{found}}, expected {rows}"
+        return checks.expect(df, {"rows": (F.lit(True), rows, wrong)})
     found = (df.count(), len(df.columns))
     if found != (rows, columns):
         raise ValueError(f"unexpected shape {found}, expected {(rows, columns)}")
@@ -70,14 +82,28 @@ def rule_violations(
 
 
 def coerce_numeric_with_rule(
-    df: DataFrame, column: str, guard: Column, *, check: bool = True
+    df: DataFrame, column: str, guard: Column, *, check: bool = True, checks: WriteChecks | None = None
 ) -> DataFrame:
     """Blank becomes 0.0 where the guard holds; anything else must be a number.
 
     A blank row outside the guard raises. With ``check`` the violations are
     counted first; without it the same row raises while the job runs, which
-    saves the extra pass. Text that is no number raises either way.
+    saves the extra pass. Text that is no number raises either way. With
+    ``checks`` the job that writes the table counts such rows and texts and
+    lets them through as null, so that all of them are reported.
     """
+    if checks is not None:
+        empty, text = blank(F.col(column)), strip(F.col(column).cast("string"))
+        number = text.try_cast("double")
+        broken = empty & ~F.coalesce(guard, F.lit(False))
+        rule = f"{{found}} blank {column} row(s) violate the blank-row rule"
+        counts = {
+            f"{column} blank": (broken, 0, rule),
+            f"{column} text": (~empty & number.isNull(), 0, f"{{found}} {column} text(s) are no number"),
+        }
+        return checks.expect(df, counts).withColumn(
+            column, F.when(~empty, number).when(guard, F.lit(0.0))
+        )
     if check:
         broken = rule_violations(df, column, guard).first()["violations"]
         if broken:
@@ -107,7 +133,7 @@ def ratio_feature(
     return df.withColumn(name, ratio_expr(F.col(total), F.col(periods)))
 
 
-def clean(df: DataFrame, *, check: bool = True) -> DataFrame:
+def clean(df: DataFrame, *, check: bool = True, checks: WriteChecks | None = None) -> DataFrame:
     """Trim, flag, coerce, add the ratio: one narrow stage over the raw table."""
     return (
         df.transform(trim_strings)
@@ -115,7 +141,11 @@ def clean(df: DataFrame, *, check: bool = True) -> DataFrame:
         .withColumn("tenure", F.col("tenure").cast("int"))
         .withColumn("Monthly_Charges", F.col("Monthly_Charges").cast("double"))
         .transform(
-            coerce_numeric_with_rule, "Total_Charges", F.col("tenure") == 0, check=check
+            coerce_numeric_with_rule,
+            "Total_Charges",
+            F.col("tenure") == 0,
+            check=check,
+            checks=checks,
         )
         .transform(ratio_feature)
     )

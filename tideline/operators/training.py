@@ -29,7 +29,8 @@ from tideline.operators.logistic import search_logistic
 from tideline.operators.prepare import Preparer, feature_groups, fit_fold_preparers, fit_preparers
 from tideline.operators.splits import stratified_folds, stratified_split
 from tideline.session import materialize, scratch_path, shared_folder
-from tideline.sources.ledger import Ledger, file_system
+from tideline.sources.files import file_system
+from tideline.sources.ledger import Ledger
 from tideline.sources.registry import Bundle, load_bundle
 
 MODELS = ("logistic", "levelwise", "leafwise")

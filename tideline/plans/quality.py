@@ -20,6 +20,7 @@ from tideline.plans.tables import (
     table,
 )
 from tideline.session import scratch_path
+from tideline.sources.checks import WriteChecks
 from tideline.sources.profiles import read_profiles, row_count, write_clean
 
 _COLUMNS = ", ".join([*V.PROFILE_COLUMNS, V.RATIO])
@@ -47,6 +48,16 @@ def write_clean_query(spark, sf_dir):
     return spark.read.parquet(write_clean(cleaned, scratch_path(spark, "profiles-clean")))
 
 
+@query("checked_write", _CLEAN_SQL)
+def checked_write(spark, sf_dir):
+    """Shape and blank-row rule checked by the job that writes the cleaned table."""
+    checks = WriteChecks()
+    expected = (table(spark, sf_dir, "customer").count(), len(V.PROFILE_COLUMNS))
+    raw = read_profiles(spark, df=raw_profile(spark, sf_dir), shape=expected, checks=checks)
+    path = scratch_path(spark, "profiles-checked")
+    return spark.read.parquet(write_clean(C.clean(raw, checks=checks), path, checks=checks))
+
+
 @query(
     "header_trim",
     f"WITH {RAW_SQL} SELECT Senior_Citizen, count(*) AS n FROM raw_profile GROUP BY 1",

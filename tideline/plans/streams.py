@@ -9,8 +9,16 @@ from tideline.plans.registry import query
 from tideline.plans.stateful import _EVENTS_SQL, BUDGET_SQL, KINDS, MAX_CALLS, WINDOW_US
 from tideline.plans.tables import table
 from tideline.plans.text_queries import redact_sql
-from tideline.streaming.folds import call_budget_stream, redact_stream, session_profile_stream
-from tideline.streaming.run import Closing, read_files, run_available
+from tideline.session import scratch_path
+from tideline.streaming.folds import (
+    call_budget_stream,
+    redact_stream,
+    session_epochs_stream,
+    session_profile_stream,
+)
+from tideline.streaming.run import Closing, Report, read_files, run_available
+
+TTL_US = 12 * 3600 * 1_000_000
 
 
 def _stream(spark, sf_dir, name):
@@ -61,3 +69,74 @@ def session_profile_stream_query(spark, sf_dir):
     )
     rows = run_available(session_profile_stream(turns), "profiles", closing=closing)
     return rows.withColumn("profile", facts_text(F.col("profile")))
+
+
+def _epochs_sql() -> str:
+    facts = ", ".join(
+        f"'{kind}=' || last_value(CASE WHEN event_type = '{kind}' AND NOT reset THEN k END IGNORE NULLS) OVER w"
+        for kind in KINDS
+    )
+    return f"""WITH {_EVENTS_SQL},
+    r AS (SELECT *, event_type = 'error' AND event_id % 10 < 5 AS reset FROM f),
+    c AS (SELECT *, CASE WHEN reset OR ts_us - lag(ts_us) OVER o > {TTL_US} THEN 1 ELSE 0 END AS cut FROM r
+      WINDOW o AS (PARTITION BY session_id ORDER BY ts_us, event_id)),
+    e AS (SELECT *, sum(cut) OVER (PARTITION BY session_id ORDER BY ts_us, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM c)
+    SELECT session_id AS key, ts_us, event_id, first_value(event_id) OVER w AS epoch,
+      array_to_string([x for x in [{facts}] if x IS NOT NULL], ', ') AS profile FROM e
+    WINDOW w AS (PARTITION BY session_id, n ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query("session_epochs_stream", _epochs_sql())
+def session_epochs_stream_query(spark, sf_dir):
+    """Resets as in the batch query, and sessions that expire after twelve hours."""
+    closing = Closing(spark, table(spark, sf_dir, "events").schema)
+    reset = (F.col("event_type") == "error") & (F.col("event_id") % 10 < 5)
+    turns = closing.added_to(_stream(spark, sf_dir, "events")).select(
+        F.col("user_id").alias("key"),
+        "ts",
+        "event_id",
+        F.when(
+            ~reset, F.create_map(F.col("event_type"), F.get_json_object("props", "$.k"))
+        ).alias("facts"),
+    )
+    rows = run_available(session_epochs_stream(turns, ttl_us=TTL_US), "epochs", closing=closing)
+    return rows.withColumn("profile", facts_text(F.col("profile")))
+
+
+# Arrival of the calls: the first days without stragglers, then all the rest.
+_SECOND_PART = "timestamp '2024-01-16 00:00:00'"
+_FIRST = f"event_id % 20 <> 0 AND ts < {_SECOND_PART}"
+_DELAY_S = 3600
+
+
+@query(
+    "late_calls_stream",
+    f"""WITH RECURSIVE arrived AS (SELECT *, NOT ({_FIRST}) AND epoch_us(ts) <= (
+        SELECT epoch_ms(max(ts)) - {_DELAY_S} * 1000 FROM events WHERE {_FIRST}) * 1000 AS late FROM events),
+    on_time AS (SELECT * FROM arrived WHERE NOT late),
+    {BUDGET_SQL.replace("FROM events)", "FROM on_time)")}
+    SELECT key, ts_us, event_id, admitted, (SELECT count(*) FROM arrived WHERE late) AS late_rows FROM log""",
+)
+def late_calls_stream(spark, sf_dir):
+    """Every twentieth call arrives last: those behind the watermark are dropped
+    and counted, the others are folded as if they had come in time."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    folder = scratch_path(spark, "arrivals")
+    events.filter(_FIRST).write.parquet(folder)
+    closing = Closing(spark, events.schema)
+    arrived = closing.added_to(read_files(spark, folder, events.schema))
+    report = Report()
+    rows = run_available(
+        call_budget_stream(
+            arrived.select(F.col("user_id").alias("key"), "ts", "event_id"),
+            max_calls=MAX_CALLS,
+            window_us=WINDOW_US,
+            delay=f"{_DELAY_S} seconds",
+        ),
+        "late",
+        arrivals=[lambda: events.filter(f"NOT ({_FIRST})").write.mode("append").parquet(folder)],
+        closing=closing,
+        report=report,
+    )
+    return rows.withColumn("late_rows", F.lit(report.late_rows).cast("long"))

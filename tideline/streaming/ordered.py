@@ -44,6 +44,11 @@ class OrderedFold(StatefulProcessor):
     def step(self, carry, ts_us: int, event_id: int, body: str):
         raise NotImplementedError
 
+    def lapses(self, carry) -> int | None:
+        """The time after which a row no longer depends on the carry, if there is
+        one: the carry is dropped once the watermark has reached it."""
+        return None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._held = handle.getMapState("held", _SLOT, _HELD)
@@ -76,6 +81,7 @@ class OrderedFold(StatefulProcessor):
             if rest := [r for r in rows if r[0] > limit]:
                 self._hold(slot, rest)
         if not due:
+            self._drop_lapsed(limit)
             return
         due.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or ""))
         carry = json.loads(self._carry.get()[0]) if self._carry.exists() else self.start()
@@ -84,8 +90,25 @@ class OrderedFold(StatefulProcessor):
             carry, value = self.step(carry, ts_us, event_id, body)
             out.append((key[0], ts_us, event_id, value))
         self._carry.update((json.dumps(carry),))
+        self._drop_lapsed(limit)
         yield pd.DataFrame(out, columns=["key", "ts_us", "event_id", "value"])
 
+    def _drop_lapsed(self, limit: int) -> None:
+        """Drop the carry if its time is over, or look again when it will be.
+
+        Rows still held or still to come are later than the watermark, so none
+        of them needs a carry that lapsed before it.
+        """
+        if not self._carry.exists():
+            return
+        lapse = self.lapses(json.loads(self._carry.get()[0]))
+        if lapse is None:
+            return
+        if lapse <= limit:
+            self._carry.clear()
+        else:
+            self._handle.registerTimer(_timer(lapse))
+
     def close(self) -> None:
         pass
 

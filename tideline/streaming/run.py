@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from tideline.session import scratch_path
 
@@ -56,14 +59,50 @@ class Closing:
         spark.createDataFrame([row], self.schema).write.mode("append").parquet(self.folder)
 
 
+@dataclass
+class Report:
+    """What the batches of a stream say of its state, by (run, batch)."""
+
+    _batches: dict = field(default_factory=dict)
+
+    def add(self, running: StreamingQuery) -> None:
+        """Note the batches a query still remembers; call it often, as Spark
+        forgets all but the last hundred."""
+        for progress in running.recentProgress:
+            states = progress["stateOperators"]
+            self._batches[(progress["runId"], progress["batchId"])] = (
+                sum(s["numRowsDroppedByWatermark"] for s in states),
+                sum(s["numRowsTotal"] for s in states),
+            )
+
+    @property
+    def late_rows(self) -> int:
+        """Rows dropped behind the watermark. A batch done again after a failure
+        belongs to another run and counts again."""
+        return sum(late for late, _ in self._batches.values())
+
+    @property
+    def state_rows(self) -> int:
+        """Rows of state after the last batch."""
+        return list(self._batches.values())[-1][1] if self._batches else 0
+
+
 def run_available(
-    stream: DataFrame, name: str, *, closing: Closing | None = None, time_column: str = "ts"
+    stream: DataFrame,
+    name: str,
+    *,
+    arrivals: Sequence[Callable[[], None]] = (),
+    closing: Closing | None = None,
+    time_column: str = "ts",
+    report: Report | None = None,
 ) -> DataFrame:
     """Process all available files with a checkpoint and return the sink's rows.
 
     Sink and checkpoint lie in the shared folder; a restarted query goes on
-    from its checkpoint and writes each row once. With ``closing`` the query is
-    started again after the last file, and the rows still held are folded too.
+    from its checkpoint and writes each row once. After each of ``arrivals``,
+    which bring new files, the query is started again. With ``closing`` it is
+    started once more in the end, and the rows still held are folded too.
+    A ``report`` is told how many rows came too late.
     """
     spark = stream.sparkSession
     before = spark.conf.get(_PROVIDER, None)
@@ -79,10 +118,20 @@ def run_available(
             .trigger(availableNow=True)
             .start()
         )
-        running.awaitTermination()
+        if report is None:
+            running.awaitTermination()
+            return
+        try:
+            while not running.awaitTermination(1):
+                report.add(running)
+        finally:
+            report.add(running)
 
     try:
         run()
+        for arrive in arrivals:
+            arrive()
+            run()
         if closing is not None:
             closing.close(spark, time_column)
             run()
