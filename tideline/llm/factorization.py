@@ -263,21 +263,23 @@ def train_quality(
     labelled = docs.select(*columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     texts = F.min(F.struct(F.xxhash64(text_of("text")).alias("key"), *(c for c in columns if c != "doc_id")))
     one_each = labelled.groupBy("doc_id", "__target").agg(texts.alias("row")).select("__target", "row.*")
+    # As arrays, not as Python rows: the bound on rows is then small in the driver too.
     rows = (
         _inputs_of(one_each, F.col("__target").alias("label"))
         .mapInArrow(_features, "label double, index array<int>, value array<float>")
-        .toPandas()
+        .toArrow()
+        .combine_chunks()
     )
-    if not len(rows):
+    if not rows.num_rows:
         return None
-    x = Inputs(
-        np.concatenate(rows["index"].to_list()), np.concatenate(rows["value"].to_list()),
-        np.concatenate([[0], np.cumsum(rows["index"].map(len))]),
-    )
+    index, value = (rows.column(c).combine_chunks() for c in ("index", "value"))
+    size = index.value_lengths().to_numpy(zero_copy_only=False)
+    x = Inputs(index.flatten().to_numpy(), value.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]))
+    label_of = rows.column("label").to_numpy()
     # Rows arrive in no fixed order; the fit must not depend on it.
     total = np.add.reduceat(x.index.astype(np.float64) * x.value, x.first[:-1])
-    order = np.lexsort((rows["label"].to_numpy(), np.diff(x.first), total))
-    return fit(_rows_of(x, order), rows["label"].to_numpy()[order])
+    order = np.lexsort((label_of, size, total))
+    return fit(_rows_of(x, order), label_of[order])
 
 
 def score_quality(docs: DataFrame, machine: Machine | None, *, threshold: float = 0.3) -> DataFrame:
