@@ -224,6 +224,16 @@ def test_decontaminate(spark, docs, rows, block):
     assert expected(have) == expected(want)
 
 
+def test_decontaminate_finds_words_longer_than_a_polynomial_hash(spark):
+    """Words of more than 16 bytes, in bytes or in letters, hash alike in items and documents."""
+    item = "one two three four arciónciónosarmici six seven eight nine averyveryverylongword eleven twelve"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "Arciónciónosarmici"), (3, "one two")], "doc_id long, text string")
+    items = [("a", item), ("b", "arciónciónosarmici"), ("c", "averyveryverylongword")]
+    got = find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"))
+    have = {g["doc_id"]: (g["n_words"], g["n_hit"], g["items"]) for g in got.collect()}
+    assert have == {1: (14, 12, ["a", "b", "c"]), 2: (1, 1, ["b"]), 3: (2, 0, [])}
+
+
 def test_token_files(spark, docs, rows):
     from tokenizers import Tokenizer
 

@@ -84,7 +84,7 @@ def build_windows(items: list[tuple[str | None, str | None]], size: int, hasher:
     flat = b"".join(w for window in found for w in window)
     ends = np.cumsum(np.array([len(w) for window in found for w in window], np.int64))
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    words = hasher.ranges(np.frombuffer(flat, np.uint8), starts.astype(np.int64), ends)
+    words = hasher.strings(np.frombuffer(flat, np.uint8), starts.astype(np.int64), ends)
     sizes = np.array([len(w) for w in found], np.int64)
     last = np.cumsum(sizes)
     first = last - sizes
