@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from tideline.operators import budgets as B
 from tideline.operators import sessions as S
 from tideline.operators.scoring import LinearModel
 from tideline.operators.turns import answer_turns, process_turns, read_turns
+from tideline.streaming import ordered
 from tideline.streaming.folds import (
+    BudgetFold,
     call_budget_stream,
     redact_stream,
     session_epochs_stream,
@@ -303,3 +306,52 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     )
     assert sorted(r.event_id for r in out.collect()) == [1, 2, 5, 6]
     assert report.late_rows == 2
+
+
+class CountingState:
+    """A handle, its map, its value and its timers as plain objects, with the calls that touch them."""
+
+    def __init__(self):
+        self.map, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def __getattr__(self, name):
+        calls = {
+            "getMapState": lambda *_: self, "getValueState": lambda *_: CountingState(),
+            "containsKey": self.map.__contains__, "getValue": self.map.__getitem__,
+            "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "keys": lambda: list(self.map),
+            "exists": lambda: self.value is not None, "get": lambda: self.value,
+            "update": lambda v: setattr(self, "value", v), "registerTimer": self.timers.add,
+        }
+
+        def call(*args):
+            self.calls += 1
+            return calls[name](*args)
+
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_held_rows_touch_state_once_a_piece(monkeypatch, piece):
+    """Rows hours apart, many of one time, in two batches; the watermark comes in steps."""
+    monkeypatch.setattr(ordered, "PIECE_ROWS", piece, raising=False)
+    rng = random.Random(4)
+    rows = [(rng.choice([5 * SECOND, rng.randrange(10**6) * SECOND]), e, str(e)) for e in range(600)]
+    state, fold = CountingState(), BudgetFold(3, 3600 * SECOND)
+    fold.init(state)
+    for half in (rows[:300], rows[300:]):
+        assert not list(fold.handleInputRows(("k",), iter([pd.DataFrame(half, columns=["ts_us", "event_id", "body"])]), state))
+    held = len(state.map)
+    assert held <= 2 * (300 // piece + 1) and len(state.timers) == held and state.calls <= 5 * held + 5
+    out = []
+    for limit in (5, 400_000, 10**6):
+        state.watermark = limit * 1000
+        due = {t for t in state.timers if t < state.watermark}
+        state.timers -= due
+        for _ in due:
+            out += [tuple(r) for f in fold.handleExpiredTimer(("k",), state, None) for r in f.itertuples(index=False)]
+        assert len(out) == sum(t <= limit * SECOND for t, _, _ in rows)
+    want = admitted([("k", t, e) for t, e, _ in rows], 3, 3600 * SECOND)
+    assert {e: ok for _, _, e, ok in out} == want and not state.map and not state.timers

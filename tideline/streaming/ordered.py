@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SLOT_US = 60_000_000  # held rows lie in slots of a minute
+PIECE_ROWS = 4096  # rows of a key that are held as one piece
 
-_SLOT = T.StructType([T.StructField("slot", T.LongType())])
+_FIRST = T.StructType([T.StructField("first", T.LongType())])
 _HELD = T.StructType([T.StructField("rows", T.StringType())])
 _CARRY = T.StructType([T.StructField("carry", T.StringType())])
 
@@ -34,8 +34,10 @@ class OrderedFold(StatefulProcessor):
 
     Subclasses say how a carry and one row give a new carry and an output.
     The held rows of a key are bounded by the watermark delay, the carry by
-    the subclass. Rows are held by slots of time, so a batch writes only the
-    slots it adds to, and a timer reads only slots that are due.
+    the subclass. What a batch brings for a key is held in pieces, sorted and
+    named by their first time, so state is touched once for a piece and not
+    once for a row. A batch writes only pieces of its own rows, and a timer
+    reads only pieces that have rows due.
     """
 
     def start(self):
@@ -51,35 +53,42 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getMapState("held", _SLOT, _HELD)
+        self._held = handle.getMapState("held", _FIRST, _HELD)
         self._carry = handle.getValueState("carry", _CARRY)
 
-    def _hold(self, slot: int, rows: list) -> None:
-        self._held.updateValue((slot,), (json.dumps(rows),))
-        self._handle.registerTimer(_timer(min(r[0] for r in rows)))
+    def _hold(self, rows: list) -> None:
+        """Hold rows in pieces, each with a timer at its first row; rows of one time stay together."""
+        rows.sort(key=lambda r: r[0])
+        start = 0
+        while start < len(rows):
+            end = min(start + PIECE_ROWS, len(rows))
+            while end < len(rows) and rows[end][0] == rows[end - 1][0]:
+                end += 1
+            piece, first = rows[start:end], rows[start][0]
+            if self._held.containsKey((first,)):
+                piece = json.loads(self._held.getValue((first,))[0]) + piece
+            self._held.updateValue((first,), (json.dumps(piece),))
+            self._handle.registerTimer(_timer(first))
+            start = end
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        added: dict[int, list] = {}
+        added: list = []
         for batch in rows:
             for t, e, b in zip(batch["ts_us"], batch["event_id"], batch["body"]):
-                row = [int(t), None if pd.isna(e) else int(e), b]
-                added.setdefault(row[0] // SLOT_US, []).append(row)
-        for slot, new in added.items():
-            old = json.loads(self._held.getValue((slot,))[0]) if self._held.containsKey((slot,)) else []
-            self._hold(slot, old + new)
+                added.append([int(t), None if pd.isna(e) else int(e), b])
+        self._hold(added)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        due = []
-        for slot in sorted(k[0] for k in self._held.keys()):
-            if slot * SLOT_US > limit:
-                break
-            rows = json.loads(self._held.getValue((slot,))[0])
-            due += [r for r in rows if r[0] <= limit]
-            self._held.removeKey((slot,))
-            if rest := [r for r in rows if r[0] > limit]:
-                self._hold(slot, rest)
+        due, rest = [], []
+        for first in [k[0] for k in self._held.keys()]:
+            if first > limit:
+                continue
+            for r in json.loads(self._held.getValue((first,))[0]):
+                (due if r[0] <= limit else rest).append(r)
+            self._held.removeKey((first,))
+        self._hold(rest)
         if not due:
             self._drop_lapsed(limit)
             return
