@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tideline.operators import prepare as D
@@ -322,3 +323,15 @@ def test_reports_are_kept_apart_by_kind(spark, tmp_path):
     write_report(spark.createDataFrame([(2, "x")], "a int, b string"), path, "training", "r2")
     assert sorted(r.body for r in read_report(spark, path, "training").collect()) == ['{"a":1,"b":null}', '{"a":2,"b":"x"}']
     assert read_report(spark, path, "latency").count() == 1
+
+
+@pytest.mark.parametrize("model, params", [("logistic", {"C": 1.0}), ("forest", {"n_estimators": 2, "max_depth": 2})])
+def test_models_score_after_something_was_observed(spark, people, model, params):
+    """A session with an observation cannot be sent to tasks, so no model may hold it."""
+    seen = Observation(f"before-{model}")
+    people.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 280
+    numeric, categorical = D.feature_groups(people)
+    fitted, _ = M.fit_final(people, M.Trial(model, 0, params), numeric, categorical, 42)
+    scores = fitted.transform(people).select(vector_to_array("probability")[1].alias("p")).collect()
+    assert len(scores) == 280 and len({r.p for r in scores}) > 2 and all(0 <= r.p <= 1 for r in scores)

@@ -222,6 +222,20 @@ def search_params(
     return spark.read.schema(schema).parquet(*(f"{path}/{unit}" for unit in units))
 
 
+def _without_summary(model, spark: SparkSession):
+    """The model as a saved one loads.
+
+    A model fresh from its fit may hold a training summary, and that the
+    session. Tasks take the model along when it scores, but a session in which
+    anything was observed cannot be sent.
+    """
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(spark, "fitted")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def compare_trials(scores: DataFrame) -> DataFrame:
     """Best trial per model with mean and deviation of its fold metrics, winner flagged."""
     per_fold = curve_metrics(scores, "score", "label", ["model", "trial", "fold"], digits=12)
@@ -238,7 +252,7 @@ def fit_final(
     stages = prep.stages()
     ready = PipelineModel(stages=stages).transform(train).select("label", "features")
     ready = weighted(ready, trial.model, prep).persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = make_estimator(trial.model, trial.params, prep, seed).fit(ready)
+    fitted = _without_summary(make_estimator(trial.model, trial.params, prep, seed).fit(ready), train.sparkSession)
     ready.unpersist()
     return PipelineModel(stages=[*stages, fitted]), prep
 
