@@ -126,6 +126,18 @@ def test_maps_are_scrubbed_and_keys_stay_unique(spark):
     assert df.select(R.redact_map(F.col("m"))).first()[0] == {"[EMAIL]": "call [PHONE]", "k": "v"}
 
 
+def test_maps_are_scrubbed_once(spark):
+    """The entries are compared with each other, but scrubbed in one place of the plan."""
+    df = spark.sql("select map('a@b.org', k, 'b@c.org', 'x', k, null) as m from values ('k'), ('0123456789') as t(k)")
+    out = df.select(R.redact_map(F.col("m")).alias("m"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    once = df.select(F.transform(F.map_entries("m"), lambda e: F.struct(R.redact(e["key"]), R.redact(e["value"]))).alias("m"))
+    assert plan.count(R.MARK_PHONE) == once._jdf.queryExecution().analyzed().toString().count(R.MARK_PHONE)
+    assert [r.m for r in out.collect()] == [{"[EMAIL]": "x", "k": None}, {"[EMAIL]": "x", "[PHONE]": None}]
+    none = spark.sql("select cast(null as map<string,string>) as m").select(R.redact_map(F.col("m"))).first()[0]
+    assert none is None
+
+
 def test_urls_and_keys(spark):
     df = spark.createDataFrame([("https://h.example/a/b?mail=x@y.zz#f", "s3cret", "1.2.3.4")], "u string, t string, h string")
     path, by_token, by_host = df.select(

@@ -35,19 +35,27 @@ def redact(text: Column, *, strict: bool = True) -> Column:
 
 
 def redact_map(facts: Column) -> Column:
-    """A profile map with keys and values scrubbed; the later of two equal keys wins."""
-    entries = F.transform(
+    """A profile map with keys and values scrubbed; the later of two equal keys wins.
+
+    The scrubbed entries are bound as the one element of an array: named by
+    their expression, they would be scrubbed again for every entry they are
+    compared with.
+    """
+    scrubbed = F.transform(
         F.map_entries(facts),
         lambda e: F.struct(redact(e["key"]).alias("key"), redact(e["value"]).alias("value")),
     )
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
-            lambda later: later["key"] == e["key"],
-        ),
-    )
-    return F.map_from_entries(kept)
+
+    def last_of_each_key(entries: Column) -> Column:
+        return F.filter(
+            entries,
+            lambda e, i: ~F.exists(
+                F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))),
+                lambda later: later["key"] == e["key"],
+            ),
+        )
+
+    return F.map_from_entries(F.transform(F.array(scrubbed), last_of_each_key)[0])
 
 
 def pii_counts(text: Column) -> dict[str, Column]:
