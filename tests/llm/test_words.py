@@ -69,3 +69,21 @@ def test_units_are_told_apart_by_bytes_when_hashes_agree():
         first = np.flatnonzero(np.concatenate([[True], data[1:] == 0x20])) if len(data) else np.zeros(0, np.int64)
         ids, size = cache(data, first, np.append(first[1:], len(data)))
         assert bytes(ids.tolist()) == text and size.sum() == len(text)
+
+
+def test_cache_keeps_what_it_met_before():
+    asked = []
+
+    def spelled(units):
+        asked.append(len(units))
+        return np.frombuffer(b"".join(units), np.uint8).astype(np.uint32), np.array([len(u) for u in units])
+
+    cache = UnitCache(spelled)
+    draw = np.random.default_rng(4)
+    data = np.frombuffer(b"".join(b"%06d" % k for k in range(400_000)), np.uint8)
+    for lot in np.split(draw.permutation(400_000), 4) * 2:
+        first = lot * 6
+        ids, size = cache(data, first, first + 6)
+        assert (size == 6).all()
+        assert (ids.reshape(-1, 6) == data.reshape(-1, 6)[lot]).all()
+    assert asked == [100_000] * 4

@@ -108,7 +108,9 @@ class UnitEncoder:
         ]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.classes = _byte_classes()
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.letters = np.array([alphabet[b] for b in range(256)], "<u4")
+        self.letters[0x0A] = 0x0A
         self.line_end = self._ids("\n")
         self.cache = UnitCache(self._encode)
 
@@ -133,10 +135,15 @@ class UnitEncoder:
         words, joins = self._kinds(units)
         size = np.zeros(len(units), np.int64)
         pieces: list = [None] * len(units)
-        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
-        for i in np.flatnonzero(words):
-            pieces[i] = [t.id for t in tokenize(units[i].decode("latin-1").translate(alphabet))]
-            size[i] = len(pieces[i])
+        if words.any():
+            # Words hold no line end, so one pass gives all of them their characters.
+            own = list(itertools.compress(units, words))
+            spelled = self.letters[np.frombuffer(b"\n".join(own), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(word)] for word in spelled]
+            for i, ids in zip(np.flatnonzero(words).tolist(), found, strict=True):
+                pieces[i] = ids
+            size[words] = np.fromiter(map(len, found), np.int64, len(found))
         together = np.flatnonzero(joins & ~words)
         texts = [
             b"\n".join(units[i] for i in together[k : k + 256]).decode() for k in range(0, len(together), 256)
