@@ -7,12 +7,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.cases import DOCS, frame, lower
 
-from tideline.llm.collocations import mine_collocations
+from tideline.llm.collocations import _CODEC, _add_up, _count, _send, _summarise, mine_collocations
 from tideline.llm.misra_gries import Summary
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -121,3 +122,35 @@ def test_collocations_of_nothing(spark):
     assert mine_collocations(frame(spark, [(1, None, None, *[None] * 7)])).count() == 0
     with pytest.raises(ValueError, match="threshold"):
         mine_collocations(spark.createDataFrame([], DOCS), threshold=300)
+
+
+def test_a_pack_sends_a_partition_one_row():
+    """What the packs send does not grow with the phrases they share."""
+    draw = np.random.default_rng(3)
+    bodies = [" ".join(f"w{k}" for k in draw.integers(0, 40, 3_000)).encode() for _ in range(6)]
+    packs = pa.table(
+        {
+            "pack": pa.array(range(6), pa.int64()), "lang": ["en", "de"] * 3, "n_words": [3_000] * 6,
+            "n_bytes": [len(b) for b in bodies], "body": [pa.compress(b, codec=_CODEC, asbytes=True) for b in bodies],
+        }
+    )
+    parts, threshold = 3, 30
+    sent = pa.Table.from_batches(list(_send(4, parts)(iter(packs.to_batches()))))
+    answers = pa.concat_tables(
+        [_summarise(threshold)(sent.filter(np.array(sent.column("part")) == p)) for p in range(parts)]
+    )
+    counted = [
+        _count(4, parts)(packs.slice(k, 1), answers.filter(np.array(answers.column("pack")) == k)) for k in range(6)
+    ]
+    assert all(0 < t.num_rows <= parts for t in counted)
+    counted = pa.concat_tables(counted)
+    got = Counter()
+    for p in range(parts):
+        for r in _add_up(threshold)(counted.filter(np.array(counted.column("part")) == p)).to_pylist():
+            assert r["size"] == len(r["phrase"].split()) and (r["lang"], r["phrase"]) not in got
+            got[r["lang"], r["phrase"]] = r["n"]
+    want = Counter()
+    for lang, body in zip(["en", "de"] * 3, bodies, strict=True):
+        words = body.decode().split()
+        want.update((lang, " ".join(words[i : i + n])) for n in range(1, 5) for i in range(len(words) - n + 1))
+    assert got == {k: n for k, n in want.items() if n >= threshold} and len(got) > 40

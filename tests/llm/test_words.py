@@ -78,7 +78,7 @@ def test_cache_keeps_what_it_met_before():
         asked.append(len(units))
         return np.frombuffer(b"".join(units), np.uint8).astype(np.uint32), np.array([len(u) for u in units])
 
-    cache = UnitCache(spelled)
+    cache = UnitCache(spelled, kept=600_000)
     draw = np.random.default_rng(4)
     data = np.frombuffer(b"".join(b"%06d" % k for k in range(400_000)), np.uint8)
     for lot in np.split(draw.permutation(400_000), 4) * 2:

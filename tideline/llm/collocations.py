@@ -12,8 +12,10 @@
    frequent as the threshold is lost. What survives goes back to the packs, a
    bit for each key they sent.
 3. Second pass. Packs count exactly the n-grams whose key survived, by their
-   words and not by keys, and the counts are summed by phrase. Keys that
-   collide only let a rare n-gram into this pass, where its count ends it.
+   words and not by keys, and send each partition its phrases as one row. A
+   partition sums the counts by phrase, so what becomes a row of its own is
+   frequent over all packs. Keys that collide only let a rare n-gram into this
+   pass, where its count ends it.
 4. Scores. Every part of a frequent phrase is frequent itself, so the counts
    hold all that the scores need: left and right parts are joined by phrase,
    and products are decimals.
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -234,7 +237,7 @@ def _summarise(threshold: int):
 
 
 def _count(longest: int, parts: int):
-    """Exact counts of the n-grams of a pack whose key survived, by their words."""
+    """Exact counts of the n-grams of a pack whose key survived, by their words: a row for each partition."""
 
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         hasher = Hasher(_SEED)
@@ -252,40 +255,109 @@ def _count(longest: int, parts: int):
             chosen = value[alive]
             at = np.minimum(np.searchsorted(chosen, keys.value), max(len(chosen) - 1, 0))
             mine = chosen[at] == keys.value if len(chosen) else np.zeros(len(keys.value), np.bool_)
-            mine = np.split(mine, np.cumsum([len(x) for x in keys.places])[:-1])
-            out.append(_phrases(lang, words, [p[m] for p, m in zip(keys.places, mine, strict=True)]))
+            cuts = np.cumsum([len(x) for x in keys.places])[:-1]
+            mine, dealt = np.split(mine, cuts), np.split((keys.value >> np.uint64(32)).astype(np.int64), cuts)
+            out.append(_phrases(lang, words, [(p[m], d[m]) for p, m, d in zip(keys.places, mine, dealt, strict=True)]))
         return pa.concat_tables(out) if out else _COUNTED.empty_table()
 
     return run
 
 
-_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+_COUNTED = pa.schema(
+    [("part", pa.int64()), ("lang", pa.string()), ("n_phrases", pa.int64()), ("n_bytes", pa.int64()), ("phrases", pa.binary())]
+)
 
 
-def _phrases(lang: str, words: _Words, places: list[np.ndarray]) -> pa.Table:
-    """Count n-grams at the given places; n-grams are equal if their words are."""
-    raw = words.body.tobytes()
-    texts = [raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
-    names = list(number)
-    phrases, sizes, counts = [], [], []
-    for size, at in enumerate(places, 1):
+def _word_ids(words: _Words) -> tuple[np.ndarray, pa.Array]:
+    """Each word's place in a dictionary of the words, and the dictionary."""
+    if not len(words.start):
+        return np.zeros(0, np.int64), pa.array([], pa.binary())
+    # Words and what lies between them, turn by turn.
+    edges = np.column_stack([words.start, words.end]).ravel().astype(np.int32)
+    raw = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(words.body))]
+    coded = pa.Array.from_buffers(pa.binary(), len(edges) - 1, raw).dictionary_encode()
+    return coded.indices.to_numpy()[::2].astype(np.int64), coded.dictionary
+
+
+def _phrases(lang: str, words: _Words, places: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Count n-grams at the given places, each with its partition; n-grams are equal if their words are."""
+    ids, names = _word_ids(words)
+    phrases, counts, parts = [], [], []
+    for size, (at, part) in enumerate(places, 1):
         # The number of an n-gram: of its first words, then of that and the next word.
         code = ids[at]
         for step in range(1, size):
             code = np.unique(code, return_inverse=True)[1] * len(names) + ids[at + step]
         _, sample, n = np.unique(code, return_index=True, return_counts=True)
         first = at[sample]
-        columns = [[names[i] for i in ids[first + step].tolist()] for step in range(size)]
-        phrases += [b" ".join(x) for x in zip(*columns, strict=True)]
-        sizes.append(np.full(len(n), size, np.int32))
+        columns = [names.take(pa.array(ids[first + step])) for step in range(size)]
+        phrases.append(pc.binary_join_element_wise(*columns, b" ") if size > 1 else columns[0])
         counts.append(n)
-    text = pa.array(phrases, pa.binary()).cast(pa.string())
+        parts.append(part[sample])
+    part, n = np.concatenate(parts), np.concatenate(counts)
+    order = np.argsort(part, kind="stable")
+    text = pa.concat_arrays(phrases).take(pa.array(order))
+    part, n = part[order], n[order]
+    first = run_starts(part)
+    edge = np.append(first, len(part))
+    raw = [_pressed(text.slice(a, b - a), n[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
     return pa.table(
-        [pa.array([lang] * len(phrases), pa.string()), text, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(counts), pa.int64())],
+        [
+            pa.array(part[first], pa.int64()), pa.array([lang] * len(first), pa.string()), pa.array(np.diff(edge), pa.int64()),
+            pa.array([size for size, _ in raw], pa.int64()), pa.array([body for _, body in raw], pa.binary()),
+        ],
         schema=_COUNTED,
-    )
+    )
+
+
+def _pressed(text: pa.Array, counts: np.ndarray) -> tuple[int, bytes]:
+    """Counts, lengths and letters of phrases: their size, and all of them compressed."""
+    letters, offsets = text_bytes(text.cast(pa.large_binary()))
+    raw = counts.astype("<i8").tobytes() + np.diff(offsets).astype("<i8").tobytes() + letters.tobytes()
+    return len(raw), pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpressed(raw: pa.Buffer, n: int, n_bytes: int) -> tuple[pa.Array, np.ndarray]:
+    """Phrases and their counts."""
+    data = pa.decompress(raw, decompressed_size=n_bytes, codec=_CODEC)
+    counts, sizes = np.frombuffer(data, "<i8", 2 * n).reshape(2, n)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), data.slice(16 * n)]), counts
+
+
+#: Phrases that a partition holds unsummed, beside as many as it has summed up.
+_UNSUMMED = 1 << 19
+
+
+def _add_up(threshold: int):
+    """Sum the counts of a partition's phrases over all packs; the frequent ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        langs: dict[str, int] = {}
+        summed = pa.table({"lang": pa.array([], pa.int32()), "phrase": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+        waiting, held = [summed], 0
+
+        def settle() -> pa.Table:
+            both = pa.concat_tables(waiting).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+            return both.rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
+
+        for k in range(table.num_rows):
+            lang = langs.setdefault(table.column("lang")[k].as_py(), len(langs))
+            n = table.column("n_phrases")[k].as_py()
+            phrase, counts = _unpressed(table.column("phrases")[k].as_buffer(), n, table.column("n_bytes")[k].as_py())
+            waiting.append(pa.table({"lang": pa.array(np.full(n, lang, np.int32)), "phrase": phrase, "n": pa.array(counts)}))
+            held += n
+            if held > max(summed.num_rows, _UNSUMMED):
+                summed = settle()
+                waiting, held = [summed], 0
+        summed = settle()
+        frequent = summed.filter(pc.greater_equal(summed.column("n"), threshold))
+        phrase = frequent.column("phrase").cast(pa.string())
+        size = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+        names = pa.array(list(langs), pa.string())
+        return pa.table({"lang": names.take(frequent.column("lang")), "phrase": phrase, "size": size, "n": frequent.column("n")})
+
+    return run
 
 
 def frequent_phrases(
@@ -308,11 +380,11 @@ def frequent_phrases(
         .groupBy("part").applyInArrow(_summarise(threshold), "pack long, part long, alive binary"),
         "phrase-answers",
     )
-    counted = (
+    frequent = (
         packs.groupBy("pack").cogroup(answers.groupBy("pack"))
-        .applyInArrow(_count(longest, parts), "lang string, phrase string, size int, n long")
+        .applyInArrow(_count(longest, parts), "part long, lang string, n_phrases long, n_bytes long, phrases binary")
+        .groupBy("part").applyInArrow(_add_up(threshold), "lang string, phrase string, size int, n long")
     )
-    frequent = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold)
     return materialize(frequent, "frequent-phrases"), totals
 
 

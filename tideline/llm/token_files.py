@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.huffman import Codebook, code_lengths, decode, encode
 from tideline.llm.tables import text_of
-from tideline.llm.units import UnitCache, worker_cache
+from tideline.llm.units import KEPT, UnitCache, worker_cache
 from tideline.llm.words import packs, text_bytes
 from tideline.session import scratch_path
 
@@ -75,7 +75,7 @@ def unit_encoder(path: str) -> UnitEncoder:
     """The worker's encoder; what it has learnt serves its later tasks."""
     cache = worker_cache()
     if path not in cache:
-        cache[path] = UnitEncoder(path)
+        cache[path] = UnitEncoder(path, kept=2 * KEPT)
     return cache[path]
 
 
@@ -94,7 +94,7 @@ class UnitEncoder:
     own added tokens is encoded whole.
     """
 
-    def __init__(self, path: str, *, added_as_text: bool = False):
+    def __init__(self, path: str, *, added_as_text: bool = False, kept: int = KEPT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,7 +112,7 @@ class UnitEncoder:
         self.letters = np.array([alphabet[b] for b in range(256)], "<u4")
         self.letters[0x0A] = 0x0A
         self.line_end = self._ids("\n")
-        self.cache = UnitCache(self._encode)
+        self.cache = UnitCache(self._encode, kept=kept)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

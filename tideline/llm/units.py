@@ -15,8 +15,8 @@ import numpy as np
 
 from tideline.llm.words import Hasher
 
-#: Units that are remembered before the worker starts again.
-_KEPT = 600_000
+#: Units that are remembered, where nothing else is said, before the worker starts again.
+KEPT = 300_000
 
 #: Ids of units given as bytes: all ids in one array, and the number of each.
 Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -41,8 +41,8 @@ def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class UnitCache:
     """Ids by unit."""
 
-    def __init__(self, encode: Encode, hasher: Hasher | None = None):
-        self.encode, self.hasher = encode, hasher or Hasher(8)
+    def __init__(self, encode: Encode, hasher: Hasher | None = None, kept: int = KEPT):
+        self.encode, self.hasher, self.kept = encode, hasher or Hasher(8), kept
         self._forget()
 
     def _forget(self) -> None:
@@ -74,7 +74,7 @@ class UnitCache:
 
     def __call__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units in order, and the number of each unit."""
-        if len(self.known) > _KEPT:
+        if len(self.known) > self.kept:
             self._forget()
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
