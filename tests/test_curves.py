@@ -2,13 +2,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.operators import curves as U
-from tideline.operators.calibration import apply_knots, fit_isotonic, interpolate, pool
+from tideline.operators.calibration import _pool_by, apply_knots, fit_isotonic, interpolate, pool
 from tideline.operators.evaluation import band_gate, latency_report, select_candidate, slot_accuracy
 from tideline.operators.prefix import running, value_cells
 from tideline.operators.quantiles import medians, nearest_rank
@@ -216,6 +217,36 @@ def test_isotonic_of_nothing(spark):
     assert [r.y for r in apply_knots(frame(spark, [(0.5, 1)]), blocks, "score", "y").collect()] == [None]
 
 
+def test_cells_of_a_batch_are_pooled_at_once():
+    rng = np.random.default_rng(5)
+    n = 4000
+    coarse, fine = np.sort(rng.integers(0, 40, n)), np.zeros(n, np.int64)
+    fine[:2000] = np.arange(2000)  # cells of one row; the others hold some hundred
+    w = rng.integers(1, 4, n).astype(float)
+    s = np.floor(rng.random(n) * (w + 1))
+    lo = np.arange(n, dtype=float)
+    rows = pa.table({"coarse": coarse, "fine": fine, "lo": lo, "hi": lo, "w": w, "s": s}).to_batches(700)
+    made = list(_pool_by(["coarse", "fine"])(iter(rows)))
+    assert len(made) <= 2 * len(rows)  # one for each cell before
+    want = []
+    for c, f in dict.fromkeys(zip(coarse.tolist(), fine.tolist(), strict=True)):
+        own = (coarse == c) & (fine == f)
+        want += [(c, f, *b) for b in zip(*(v.tolist() for v in pool(lo[own], lo[own], w[own], s[own])), strict=True)]
+    assert [tuple(r.values()) for r in pa.Table.from_batches(made).to_pylist()] == want
+
+
+def test_one_level_of_cells_gives_the_same_curve(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(g, rng.choice([rng.random(), 0.5, -0.25, 0.0]) if g else None, rng.randrange(2)) for g in (0, 1, 2, None) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g int, score double, label int").cache()
+    found = lambda levels: sorted(map(str, U.curve_metrics(df, "score", "label", ["g"], digits=12, levels=levels).collect()))
+    assert found(1) == found(2)
+    assert U.cell_levels(df, "score", ["g"]) == 1
+    monkeypatch.setattr(U, "FEW_ROWS", 20)
+    assert U.cell_levels(df, "score", ["g"]) == 2
+    assert U.cell_levels(df.where("false"), "score", ["g"]) == 1
+
+
 def test_pooling_takes_any_order_of_violators():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50, 400):

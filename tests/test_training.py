@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from tideline.operators import logistic as L
 from tideline.operators import prepare as D
 from tideline.operators import training as M
 from tideline.operators.boosting import LeafwiseModel
@@ -199,6 +200,36 @@ def test_logistic_models_of_all_folds_are_those_fitted_alone(spark, people):
                 assert scores[t.trial, r["customerID"]] == pytest.approx(r["score"], abs=2e-3)
 
 
+def test_few_models_of_a_search_ask_for_curvature(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(3000):
+        a, b, word = rng.normal(), 1e9 + rng.normal(), ("x", "y", None)[i % 3]
+        label = int(rng.random() < 1 / (1 + math.exp(-a - 0.5 * (word == "x"))))
+        rows.append((i, float(a) if i % 7 else None, float(b), word, label, i % 3))
+    df = spark.createDataFrame(rows, "k long, a double, b double, w string, label int, fold int").repartition(2).cache()
+    preps = D.fit_fold_preparers(df, ["a", "b"], ["w"], folds=3)
+    design = L.Design.of(preps, ["a", "b"], ["w"])
+    raw = df.select("label", "fold", design.raw().alias("raw"))
+    held = raw.collect()
+    x = np.array([r["raw"] for r in held])
+    for fold in range(3):
+        assert np.allclose(design.prepared(x, fold), design.shared(x) @ design.mapped(fold), rtol=0, atol=1e-6)
+    passes = []
+    monkeypatch.setattr(L, "_sums", lambda d, shared, f=L._sums: (passes.append([p[2] for p in shared.value]), f(d, shared))[1])
+    specs = [(fold, 10.0 ** (k / 4 - 2)) for fold in range(3) for k in range(16)]
+    betas = L.fit_models(raw, design, specs)
+    # Newton steps for every model would be 48 curvatures each.
+    assert sum(map(sum, passes)) < 48 < sum(map(len, passes))
+    y, out_of = np.array([r["label"] for r in held]), np.array([r["fold"] for r in held])
+    for (fold, c), beta in zip(specs, betas, strict=True):
+        own = design.prepared(x[out_of != fold], fold)
+        label, (down, up) = y[out_of != fold], design.folds[fold][4]
+        p = 1 / (1 + np.exp(-own @ beta))
+        gradient = own.T @ (np.where(label > 0, up, down) * (p - label)) + beta * np.r_[0, np.full(len(beta) - 1, 1 / c)]
+        assert np.abs(gradient).max() < 1e-6
+
+
 def test_search_goes_on_where_it_ended(spark, people, tmp_path, monkeypatch):
     numeric, categorical = D.feature_groups(people)
     folded = people.withColumn("fold", F.pmod(F.hash("customerID"), F.lit(2))).cache()
