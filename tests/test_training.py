@@ -15,6 +15,7 @@ from tideline.operators import training as M
 from tideline.operators.boosting import LeafwiseModel
 from tideline.operators.explain import tree_drivers
 from tideline.operators.scoring import LinearModel, raw_feature, top_drivers
+from tideline.plans import QUERIES
 from tideline.plans.learning import linear_model_of
 from tideline.sources.ledger import Ledger
 from tideline.sources.registry import load_bundle, load_default_bundle, save_bundle
@@ -366,3 +367,23 @@ def test_models_score_after_something_was_observed(spark, people, model, params)
     fitted, _ = M.fit_final(people, M.Trial(model, 0, params), numeric, categorical, 42)
     scores = fitted.transform(people).select(vector_to_array("probability")[1].alias("p")).collect()
     assert len(scores) == 280 and len({r.p for r in scores}) > 2 and all(0 <= r.p <= 1 for r in scores)
+
+
+class Asked(Exception):
+    pass
+
+
+def asked(*args, **kwargs):
+    raise Asked(args, kwargs)
+
+
+def test_search_params_draws_all_trials_from_the_full_ranges(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(M, "search_params", asked)
+    with pytest.raises(Asked) as told:
+        QUERIES["search_params"](spark, sf_dir)
+    trials = told.value.args[0][1]
+    assert [t.model for t in trials] == [m for m in M.MODELS for _ in range(20)]
+    trees = [t.params["n_estimators"] for t in trials if t.model != "logistic"]
+    assert min(trees) >= 100 and max(trees) > 500
+    assert max(t.params["max_depth"] for t in trials if t.model == "levelwise") == 10
+    assert max(t.params["num_leaves"] for t in trials if t.model == "leafwise") > 200
