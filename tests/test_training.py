@@ -18,7 +18,7 @@ from tideline.operators.scoring import LinearModel, raw_feature, top_drivers
 from tideline.plans import QUERIES
 from tideline.plans.learning import linear_model_of
 from tideline.sources.ledger import Ledger
-from tideline.sources.registry import load_bundle, load_default_bundle, save_bundle
+from tideline.sources.registry import Bundle, load_bundle, load_default_bundle, save_bundle
 from tideline.sources.reports import read_report, write_report
 
 QUICK = {
@@ -387,3 +387,22 @@ def test_search_params_draws_all_trials_from_the_full_ranges(spark, sf_dir, monk
     assert min(trees) >= 100 and max(trees) > 500
     assert max(t.params["max_depth"] for t in trials if t.model == "levelwise") == 10
     assert max(t.params["num_leaves"] for t in trials if t.model == "leafwise") > 200
+
+
+def test_train_protocol_runs_all_trials_of_every_candidate_and_seed(spark, sf_dir, people, monkeypatch):
+    calls = []
+
+    def protocol(frame, *, seed, **settings):
+        calls.append((seed, settings))
+        return Bundle(None, 0.5, None, [], {}, metrics={"test_auc": 0.8})
+
+    whole = M.train_protocol
+    monkeypatch.setattr(M, "train_protocol", protocol)
+    assert QUERIES["train_protocol"](spark, sf_dir).count() == 3
+    assert sorted(seed for seed, _ in calls) == [42, 43, 44]
+    monkeypatch.setattr(M, "search_params", asked)
+    for seed, settings in calls:
+        with pytest.raises(Asked) as told:
+            whole(people, seed=seed, **settings)
+        (_, trials), more = told.value.args
+        assert trials == M.draw_trials(seed=seed) and len(trials) == 60 and more["folds"] == 5
